@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, topk, urls, warc
+from . import mixing, packing, topk, toxicity, urls, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,15 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_warc_archives"] = op10_warc_archives
+
+#: From this score on, a document counts as toxic.
+TOXIC_FROM = 0.7
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.learn_for(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+QUERIES["op9_toxicity"] = op9_toxicity
