@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, topk, toxicity, urls, warc
+from . import mixing, packing, secrets, topk, toxicity, urls, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,17 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_toxicity"] = op9_toxicity
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.col("base_spans")
+    return scanned.select(
+        "doc_id",
+        *[secrets.counted(base, kind).alias(f"n_{kind}") for kind, *_ in secrets.BASE],
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+    )
+
+
+QUERIES["op7_secret_scan"] = op7_secret_scan
