@@ -2,9 +2,559 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import join, locality, predicates, quadtree, select
+from .operators.join import Side
+from .plans import planner
+from .sources import tables
+from .sources.tables import WORLD
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+K_SELECT, K_JOIN, PRICE, MORE_THAN, MANY, LATE_UNDER = 10, 5, 250_000, 5, 10, 6
+AT = select.FOCUS
+OUTER_CAPACITY = 8
+
+# ---- SQL parts
+
+CUSTOMER = """c AS (SELECT c_custkey, c_acctbal,
+  cast(((c_nationkey * 37) % 5) * 20000 + ((c_custkey * 7919 + 13) % 15013) AS DOUBLE) AS c_x,
+  cast(((c_nationkey * 11) % 5) * 20000 + ((c_custkey * 10473 + 17) % 15031) AS DOUBLE) AS c_y FROM customer)"""
+SUPPLIER = """s AS (SELECT s_suppkey, s_acctbal,
+  cast(((s_nationkey * 37) % 5) * 20000 + ((s_suppkey * 6151 + 29) % 15013) AS DOUBLE) AS s_x,
+  cast(((s_nationkey * 11) % 5) * 20000 + ((s_suppkey * 5021 + 31) % 15031) AS DOUBLE) AS s_y FROM supplier)"""
+CHEAP = f"pq AS (SELECT o_custkey FROM orders WHERE o_totalprice < {PRICE} GROUP BY o_custkey HAVING count(*) > {MORE_THAN})"
+COUNTED = f"mq AS (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > {MANY})"
+ITEM = """item AS (SELECT l_orderkey, l_suppkey,
+  (l_orderkey * 17 + l_partkey * 13 + l_linenumber * 5) % 30 + 1 > (l_orderkey * 31 + l_partkey * 7 + l_linenumber) % 61 - 10 AS late FROM lineitem)"""
+LATE = (
+    ITEM
+    + """,
+lc AS (SELECT s_suppkey, coalesce(n, 0)::BIGINT AS late_count FROM supplier LEFT JOIN (
+  SELECT i.l_suppkey, count(*) AS n FROM item i
+  WHERE i.late AND EXISTS (SELECT 1 FROM orders WHERE o_orderkey = i.l_orderkey AND o_orderstatus = 'F')
+    AND EXISTS (SELECT 1 FROM item j WHERE j.l_orderkey = i.l_orderkey AND j.l_suppkey <> i.l_suppkey)
+    AND NOT EXISTS (SELECT 1 FROM item j WHERE j.l_orderkey = i.l_orderkey AND j.l_suppkey <> i.l_suppkey AND NOT j.late)
+  GROUP BY 1) ON l_suppkey = s_suppkey)"""
+)
+LATE_KEYS = f"lq AS (SELECT s_suppkey FROM lc WHERE late_count < {LATE_UNDER})"
+LEVELS = f"lv AS (SELECT unnest(range({quadtree.LEVELS + 1})) AS level)"
+
+
+def d_sql(p: str, at: tuple[float, float] = AT) -> str:
+    return f"sqrt(({p}_x - {at[0]}::DOUBLE) * ({p}_x - {at[0]}::DOUBLE) + ({p}_y - {at[1]}::DOUBLE) * ({p}_y - {at[1]}::DOUBLE))"
+
+
+D_PAIR = "sqrt((c_x - s_x) * (c_x - s_x) + (c_y - s_y) * (c_y - s_y))"
+
+
+def tree_sql(name: str, source: str, p: str, capacity: int) -> str:
+    """name_cells and name (leaves) over a table with p_x and p_y."""
+    cell = lambda a: f"greatest(ceil({p}_{a} / ({WORLD}::DOUBLE / power(2, level))) - 1, 0)::BIGINT"
+    return f"""{name}_cells AS (SELECT level, {cell("x")} AS ix, {cell("y")} AS iy, count(*) AS n FROM {source}, lv GROUP BY ALL),
+{name} AS (SELECT level * 1099511627776 + iy * 1048576 + ix AS leaf, level, ix, iy, n,
+  ix * ({WORLD}::DOUBLE / power(2, level)) AS bx, iy * ({WORLD}::DOUBLE / power(2, level)) AS by, {WORLD}::DOUBLE / power(2, level) AS w
+  FROM {name}_cells a WHERE (n <= {capacity} OR level = {quadtree.LEVELS}) AND (level = 0 OR EXISTS (
+    SELECT 1 FROM {name}_cells p WHERE p.level = a.level - 1 AND p.ix = a.ix // 2 AND p.iy = a.iy // 2 AND p.n > {capacity})))"""
+
+
+def gap_sql(a: str, aw: str, b: str, bw: str) -> str:
+    return f"greatest({a} - ({b} + {bw}), {b} - ({a} + {aw}), 0.0::DOUBLE)"
+
+
+def far_sql(a: str, aw: str, b: str, bw: str) -> str:
+    return f"greatest(abs({a} - ({b} + {bw})), abs({b} - ({a} + {aw})))"
+
+
+def norm_sql(x: str, y: str) -> str:
+    return f"sqrt(({x}) * ({x}) + ({y}) * ({y}))"
+
+
+def point_gap_sql(x: str, b: str) -> str:
+    return f"greatest({b} - {x}, {x} - ({b} + w), 0.0::DOUBLE)"
+
+
+PAIRS = f"""pr AS (SELECT o.leaf AS block, i.leaf AS other, i.n,
+  {norm_sql(gap_sql("o.bx", "o.w", "i.bx", "i.w"), gap_sql("o.by", "o.w", "i.by", "i.w"))} AS near,
+  {norm_sql(far_sql("o.bx", "o.w", "i.bx", "i.w"), far_sql("o.by", "o.w", "i.by", "i.w"))} AS far FROM ol o, il i),
+sc AS (SELECT *, (sum(n) OVER w)::BIGINT AS held, max(far) OVER w AS reach FROM pr WINDOW w AS (PARTITION BY block ORDER BY near, far, other ROWS UNBOUNDED PRECEDING))"""
+
+
+def costs_sql(k: int | str) -> str:
+    return f"""bc AS (SELECT p.block, count(*) AS n_blocks, sum(p.n)::BIGINT AS n_points FROM pr p JOIN (
+  SELECT block, coalesce(min(CASE WHEN held >= {k} THEN reach END), max(reach)) AS m FROM sc GROUP BY 1) t ON p.block = t.block AND p.near <= t.m GROUP BY 1)"""
+
+
+TREES = ", ".join([CUSTOMER, SUPPLIER, LEVELS, tree_sql("ol", "s", "s", OUTER_CAPACITY), tree_sql("il", "c", "c", quadtree.CAPACITY)])
+CATALOG = f"""st AS (SELECT block, reach, max(held) AS e FROM sc GROUP BY 1, 2),
+st2 AS (SELECT block, reach, e, coalesce(lag(e) OVER w, 0) + 1 AS b, lead(e) OVER w IS NULL AS last FROM st WINDOW w AS (PARTITION BY block ORDER BY reach)),
+cat AS (SELECT s.block, b AS start_k, CASE WHEN last OR e > {locality.MAX_K} THEN {locality.MAX_K} ELSE e END::BIGINT AS end_k, count(*) AS n_blocks, sum(p.n)::BIGINT AS n_points
+  FROM st2 s JOIN pr p ON p.block = s.block AND p.near <= s.reach WHERE b <= {locality.MAX_K} GROUP BY s.block, s.reach, b, e, last)"""
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = re.sub(r"\b(by|pivot)\b", r'"\1"', sql)  # columns, not keywords
+        return f
+
+    return add
+
+
+def outer_side(spark: SparkSession, d: str) -> Side:
+    return Side(tables.suppliers(spark, d).select("s_suppkey", "s_x", "s_y"), "s_suppkey", "s_x", "s_y")
+
+
+def inner_side(spark: SparkSession, d: str) -> Side:
+    return Side(tables.customers(spark, d).select("c_custkey", "c_x", "c_y"), "c_custkey", "c_x", "c_y")
+
+
+def cheap_keys(spark: SparkSession, d: str) -> DataFrame:
+    return predicates.by_order_count(tables.customers(spark, d), tables.orders(spark, d), MORE_THAN, PRICE)
+
+
+def counted_keys(spark: SparkSession, d: str) -> DataFrame:
+    return predicates.by_order_count(tables.customers(spark, d), tables.orders(spark, d), MANY)
+
+
+def late_keys(spark: SparkSession, d: str) -> DataFrame:
+    return predicates.by_late_count(tables.suppliers(spark, d), tables.items(spark, d), tables.orders(spark, d), LATE_UNDER)
+
+
+def trees(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Leaves of the suppliers (outer) and of the customers (inner)."""
+    return quadtree.leaves(tables.suppliers(spark, d), "s_x", "s_y", OUTER_CAPACITY), quadtree.leaves(tables.customers(spark, d), "c_x", "c_y")
+
+
+# ---- selects
+
+CXY = ("c_x", "c_y", "c_custkey")
+SXY = ("s_x", "s_y", "s_suppkey")
+NEAREST = f"SELECT c_custkey, {d_sql('c')} AS d FROM c"
+P_SELECT = f"WITH {CUSTOMER}, {CHEAP} SELECT c_custkey, d FROM ({NEAREST} ORDER BY d, c_custkey LIMIT {K_SELECT}) WHERE c_custkey IN (SELECT o_custkey FROM pq)"
+Q_SELECT = f"WITH {CUSTOMER}, {CHEAP} {NEAREST} WHERE c_custkey IN (SELECT o_custkey FROM pq) ORDER BY d, c_custkey LIMIT {K_SELECT}"
+
+
+@query("knn_select_plain", f"WITH {CUSTOMER} {NEAREST} ORDER BY d, c_custkey LIMIT {K_SELECT}")
+def _(spark, d):
+    return select.nearest(tables.customers(spark, d), K_SELECT, AT, *CXY).select("c_custkey", "d")
+
+
+@query("knn_select_p_relfirst", P_SELECT)
+def _(spark, d):
+    return select.p_relational_first(tables.customers(spark, d), cheap_keys(spark, d), K_SELECT, AT, *CXY).select("c_custkey", "d")
+
+
+@query("knn_select_p_knnfirst", P_SELECT.replace("SELECT c_custkey, d FROM", "SELECT c_custkey, d, (SELECT count(*) FROM orders o WHERE o.o_custkey = c_custkey AND o_totalprice < 250000) AS n_orders FROM"))
+def _(spark, d):
+    counts = predicates.order_counts(tables.orders(spark, d), PRICE).where(F.col("n") > MORE_THAN).select(F.col("o_custkey").alias("c_custkey"), F.col("n").alias("n_orders"))
+    return select.p_knn_first(tables.customers(spark, d), counts, K_SELECT, AT, *CXY).select("c_custkey", "d", "n_orders")
+
+
+@query("knn_select_p_auto", P_SELECT)
+def _(spark, d):
+    c = tables.customers(spark, d)
+    plan = planner.for_select("P", c, tables.orders(spark, d), AT, K_SELECT, PRICE, MORE_THAN)
+    run = select.p_knn_first if plan == planner.KNN_FIRST else select.p_relational_first
+    return run(c, cheap_keys(spark, d), K_SELECT, AT, *CXY).select("c_custkey", "d")
+
+
+@query("knn_select_q_relfirst", Q_SELECT)
+def _(spark, d):
+    return select.q_relational_first(tables.customers(spark, d), cheap_keys(spark, d), K_SELECT, AT, *CXY).select("c_custkey", "d")
+
+
+@query("knn_select_q_knnfirst", Q_SELECT)
+def _(spark, d):
+    return select.q_knn_first(tables.customers(spark, d), cheap_keys(spark, d), K_SELECT, AT, *CXY).select("c_custkey", "d")
+
+
+@query("knn_select_q_browse", Q_SELECT)
+def _(spark, d):
+    return select.q_browse(tables.customers(spark, d), cheap_keys(spark, d), K_SELECT, AT, *CXY).select("c_custkey", "d")
+
+
+@query("knn_select_q_auto", Q_SELECT)
+def _(spark, d):
+    c = tables.customers(spark, d)
+    plan = planner.for_select("Q", c, tables.orders(spark, d), AT, K_SELECT, PRICE, MORE_THAN)
+    run = select.q_knn_first if plan == planner.KNN_FIRST else select.q_relational_first
+    return run(c, cheap_keys(spark, d), K_SELECT, AT, *CXY).select("c_custkey", "d")
+
+
+Q21_SELECT = f"WITH {SUPPLIER}, {LATE}, {LATE_KEYS} SELECT s_suppkey, {d_sql('s')} AS d FROM s WHERE s_suppkey IN (SELECT s_suppkey FROM lq) ORDER BY d, s_suppkey LIMIT {K_SELECT}"
+
+
+@query("knn_select_q21_relfirst", Q21_SELECT)
+def _(spark, d):
+    return select.q_relational_first(tables.suppliers(spark, d), late_keys(spark, d), K_SELECT, AT, *SXY).select("s_suppkey", "d")
+
+
+@query("knn_select_q21_locality", Q21_SELECT)
+def _(spark, d):
+    return select.q_knn_first(tables.suppliers(spark, d), late_keys(spark, d), K_SELECT, AT, *SXY, OUTER_CAPACITY).select("s_suppkey", "d")
+
+
+ONE_SUPPLIER = 3
+
+
+@query("knn_select_theta_one_supplier", f"WITH {CUSTOMER}, {SUPPLIER} SELECT c_custkey, {D_PAIR} AS d FROM c, s WHERE s_suppkey = {ONE_SUPPLIER} AND c_acctbal < s_acctbal ORDER BY d, c_custkey LIMIT {K_SELECT}")
+def _(spark, d):
+    one = tables.suppliers(spark, d).where(F.col("s_suppkey") == ONE_SUPPLIER)  # one row
+    pairs = tables.customers(spark, d).join(F.broadcast(one), F.col("c_acctbal") < F.col("s_acctbal"))
+    return pairs.withColumn("d", join._distance(outer_side(spark, d), inner_side(spark, d))).orderBy("d", "c_custkey").limit(K_SELECT).select("c_custkey", "d")
+
+
+@query("k_in_circle", f"WITH {CUSTOMER} SELECT count(*) AS n_inside, count(*) >= {K_SELECT} AS k_inside FROM c WHERE {d_sql('c')} < 5000")
+def _(spark, d):
+    return select.k_in_circle(tables.customers(spark, d), K_SELECT, AT, 5000.0, "c_x", "c_y")
+
+
+# ---- joins
+
+
+def ranked_sql(pairs: str, k: int = K_JOIN, outer: str = "s_suppkey", inner: str = "c_custkey", ties: bool = False) -> str:
+    order = f"PARTITION BY {outer} ORDER BY d" + ("" if ties else f", {inner}")
+    return f"SELECT {outer}, {inner}, d, ({'rank' if ties else 'row_number'}() OVER ({order}))::BIGINT AS rn FROM (SELECT *, {D_PAIR} AS d FROM {pairs}) QUALIFY {'rank' if ties else 'row_number'}() OVER ({order}) <= {k}"
+
+
+def shown(df: DataFrame, outer: str = "s_suppkey", inner: str = "c_custkey") -> DataFrame:
+    return df.select(outer, inner, "d", F.col("rn").cast("long").alias("rn"))
+
+
+PLAIN_JOIN = f"WITH {CUSTOMER}, {SUPPLIER} {ranked_sql('s, c')}"
+P_JOIN = f"WITH {CUSTOMER}, {SUPPLIER}, {CHEAP} SELECT * FROM ({ranked_sql('s, c')}) WHERE c_custkey IN (SELECT o_custkey FROM pq)"
+Q_JOIN = f"WITH {CUSTOMER}, {SUPPLIER}, {CHEAP} {ranked_sql('s, (SELECT * FROM c WHERE c_custkey IN (SELECT o_custkey FROM pq))')}"
+
+
+def add_joins(names: dict[str, str], sql: str, run) -> None:
+    for name, strategy in names.items():
+        query(name, sql)(lambda spark, d, strategy=strategy: shown(run(spark, d, strategy)))
+
+
+add_joins({"knn_join_plain_naive": "nested_loop", "knn_join_plain_pruned": "leaves", "knn_join_plain_rings": "rings"}, PLAIN_JOIN, lambda spark, d, how: join.knn_join(outer_side(spark, d), inner_side(spark, d), K_JOIN, how))
+add_joins({"knn_join_p_relfirst": "leaves", "knn_join_p_knnfirst": "rings"}, P_JOIN, lambda spark, d, how: join.p_join(outer_side(spark, d), inner_side(spark, d), cheap_keys(spark, d), K_JOIN, how))
+add_joins({"knn_join_q_relfirst": "rings", "knn_join_q_knnfirst": "leaves"}, Q_JOIN, lambda spark, d, how: join.q_join(outer_side(spark, d), inner_side(spark, d), cheap_keys(spark, d), K_JOIN, how))
+
+
+def _auto(level: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        s = planner.statistics(tables.customers(spark, d), tables.orders(spark, d), PRICE, MORE_THAN)
+        plan = planner.for_join(level, *trees(spark, d), s, K_JOIN, step=10)
+        do = join.p_join if level == "P" else join.q_join
+        how = "leaves" if (plan == planner.KNN_FIRST) == (level == "Q") else "rings"
+        return shown(do(outer_side(spark, d), inner_side(spark, d), cheap_keys(spark, d), K_JOIN, how))
+
+    return run
+
+
+query("knn_join_p_auto", P_JOIN)(_auto("P"))
+query("knn_join_q_auto", Q_JOIN)(_auto("Q"))
+
+
+@query("knn_join_q13_p", f"WITH {CUSTOMER}, {SUPPLIER}, {COUNTED} SELECT * FROM ({ranked_sql('s, c')}) WHERE c_custkey IN (SELECT o_custkey FROM mq)")
+def _(spark, d):
+    return shown(join.p_join(outer_side(spark, d), inner_side(spark, d), counted_keys(spark, d), K_JOIN))
+
+
+Q13_Q = f"WITH {CUSTOMER}, {SUPPLIER}, {COUNTED} {ranked_sql('s, (SELECT * FROM c WHERE c_custkey IN (SELECT o_custkey FROM mq))')}"
+
+
+@query("knn_join_q13_q_locality", Q13_Q)
+def _(spark, d):
+    return shown(join.q_join(outer_side(spark, d), inner_side(spark, d), counted_keys(spark, d), K_JOIN, "leaves"))
+
+
+@query("knn_join_q13_q_materialized", Q13_Q)
+def _(spark, d):
+    return shown(join.q_join(outer_side(spark, d), inner_side(spark, d), counted_keys(spark, d), K_JOIN, "rings", materialise=True))
+
+
+Q21_Q = f"WITH {CUSTOMER}, {SUPPLIER}, {LATE}, {LATE_KEYS} {ranked_sql('c, (SELECT * FROM s WHERE s_suppkey IN (SELECT s_suppkey FROM lq))', K_JOIN, 'c_custkey', 's_suppkey')}"
+
+
+@query("knn_join_q21_q_locality", Q21_Q)
+def _(spark, d):
+    return shown(join.q_join(inner_side(spark, d), outer_side(spark, d), late_keys(spark, d), K_JOIN, "leaves", materialise=True), "c_custkey", "s_suppkey")
+
+
+@query("knn_join_q21_q_materialized", Q21_Q)
+def _(spark, d):
+    return shown(join.q_join(inner_side(spark, d), outer_side(spark, d), late_keys(spark, d), K_JOIN, "rings", materialise=True), "c_custkey", "s_suppkey")
+
+
+THETA = f"WITH {CUSTOMER}, {SUPPLIER} {ranked_sql('s JOIN c ON c_acctbal < s_acctbal')}"
+
+
+def _theta_sides(spark: SparkSession, d: str) -> tuple[Side, Side]:
+    return Side(tables.suppliers(spark, d), "s_suppkey", "s_x", "s_y"), Side(tables.customers(spark, d), "c_custkey", "c_x", "c_y")
+
+
+@query("knn_join_theta_locality", THETA)
+def _(spark, d):
+    return shown(join.rings(*_theta_sides(spark, d), K_JOIN, on=F.col("c_acctbal") < F.col("s_acctbal")))
+
+
+@query("knn_join_theta_relational", THETA)
+def _(spark, d):
+    return shown(join.knn_join(*_theta_sides(spark, d), K_JOIN, "nested_loop", on=F.col("c_acctbal") < F.col("s_acctbal")))
+
+
+@query("knn_join_theta_hybrid", THETA)
+def _(spark, d):
+    outer, inner = _theta_sides(spark, d)
+    n, cap = inner.rows(), quadtree.CAPACITY
+    sel = F.least(F.greatest((F.col("s_acctbal") + 999.99) / 10999.98, F.lit(1e-9)), F.lit(1.0))
+    by_place = sel * n / cap > F.lit(K_JOIN) / (sel * cap)
+    on = F.col("c_acctbal") < F.col("s_acctbal")
+    near = Side(outer.df.where(by_place), outer.key, outer.x, outer.y)
+    rest = Side(outer.df.where(~by_place), outer.key, outer.x, outer.y)
+    return shown(join.rings(near, inner, K_JOIN, on=on)).unionByName(shown(join.knn_join(rest, inner, K_JOIN, "nested_loop", on=on)))
+
+
+COARSE_C = "c AS (SELECT c_custkey, floor(c_x / 4000) * 4000 AS c_x, floor(c_y / 4000) * 4000 AS c_y FROM c0)"
+COARSE_S = "s AS (SELECT s_suppkey, floor(s_x / 4000) * 4000 AS s_x, floor(s_y / 4000) * 4000 AS s_y FROM s0)"
+
+
+@query("knn_join_ties_all", f"WITH {CUSTOMER.replace('c AS', 'c0 AS', 1)}, {SUPPLIER.replace('s AS', 's0 AS', 1)}, {COARSE_C}, {COARSE_S} {ranked_sql('s, c', ties=True)}")
+def _(spark, d):
+    coarse = lambda side: Side(side.df.withColumns({a: (F.floor(F.col(a) / 4000) * 4000).cast("double") for a in (side.x, side.y)}), side.key, side.x, side.y)
+    return shown(join.knn_join(coarse(outer_side(spark, d)), coarse(inner_side(spark, d)), K_JOIN, "rings", "all"))
+
+
+@query("result_strings")
+def _(spark, d):
+    outer = outer_side(spark, d)
+    return join.as_strings(join.knn_join(outer, inner_side(spark, d), K_JOIN), outer)
+
+
+# ---- predicates and statistics
+
+
+@query("q13_qualifiers", f"WITH {COUNTED} SELECT o_custkey AS c_custkey FROM mq")
+def _(spark, d):
+    return counted_keys(spark, d)
+
+
+@query("q13_price_qualifiers", f"WITH {CHEAP} SELECT o_custkey AS c_custkey FROM pq")
+def _(spark, d):
+    return cheap_keys(spark, d)
+
+
+@query("q21_late_counts", f"WITH {LATE} SELECT s_suppkey, late_count FROM lc")
+def _(spark, d):
+    return predicates.late_counts(tables.suppliers(spark, d), tables.items(spark, d), tables.orders(spark, d))
+
+
+@query("q21_late_counts_tpch", "WITH " + LATE.replace("AND NOT j.late)", "AND j.late)") + " SELECT s_suppkey, late_count FROM lc")
+def _(spark, d):
+    return predicates.late_counts(tables.suppliers(spark, d), tables.items(spark, d), tables.orders(spark, d), "tpch")
+
+
+@query("orders_per_customer_hist", "SELECT n AS value, count(*) AS how_many FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey) GROUP BY 1")
+def _(spark, d):
+    return predicates.histogram(predicates.order_counts(tables.orders(spark, d)), "n")
+
+
+@query("late_count_hist", f"WITH {LATE} SELECT late_count AS value, count(*) AS how_many FROM lc GROUP BY 1")
+def _(spark, d):
+    return predicates.histogram(predicates.late_counts(tables.suppliers(spark, d), tables.items(spark, d), tables.orders(spark, d)), "late_count")
+
+
+@query(
+    "selectivities",
+    f"""SELECT n_orders, n_prices, n_customers, n_cheap, n_many, 1 - n_cheap / n_orders AS price_rejected, 1 - n_many / n_customers AS count_rejected FROM
+(SELECT count(*) AS n_orders, count(DISTINCT o_totalprice) AS n_prices, count(CASE WHEN o_totalprice < {PRICE} THEN 1 END) AS n_cheap FROM orders),
+(SELECT count(*) AS n_many FROM (SELECT 1 FROM orders GROUP BY o_custkey HAVING count(*) > {MORE_THAN})), (SELECT count(*) AS n_customers FROM customer)""",
+)
+def _(spark, d):
+    return predicates.selectivities(tables.customers(spark, d), tables.orders(spark, d), PRICE, MORE_THAN)
+
+
+# ---- quadtrees, localities, catalogs, estimates
+
+LEAF = "leaf, level, ix, iy, n, bx, by, w"
+
+
+@query("quadtree_leaves", f"WITH {TREES} SELECT {LEAF.replace('level', 'level::INT AS level')} FROM il")
+def _(spark, d):
+    return trees(spark, d)[1].select(*LEAF.split(", ")).withColumn("level", F.col("level").cast("int"))
+
+
+@query("leaf_of_points", f"WITH {TREES} SELECT c_custkey, leaf FROM c JOIN il ON (c_x > bx OR bx = 0 AND c_x = 0) AND c_x <= bx + w AND (c_y > by OR by = 0 AND c_y = 0) AND c_y <= by + w")
+def _(spark, d):
+    return quadtree.assign(tables.customers(spark, d), trees(spark, d)[1], "c_x", "c_y").select("c_custkey", "leaf")
+
+
+@query("leaf_overlap", f"WITH {TREES} SELECT leaf, n FROM il WHERE bx <= 60000 AND 40000 <= bx + w AND by <= 60000 AND 30000 <= by + w")
+def _(spark, d):
+    return quadtree.overlapping(trees(spark, d)[1], 40000, 30000, 20000, 30000).select("leaf", "n")
+
+
+POINT_D = norm_sql(point_gap_sql(f"{AT[0]}::DOUBLE", "bx"), point_gap_sql(f"{AT[1]}::DOUBLE", "by"))
+POINT_FAR = norm_sql(f"greatest(abs({AT[0]}::DOUBLE - bx), abs(bx + w - {AT[0]}::DOUBLE))", f"greatest(abs({AT[1]}::DOUBLE - by), abs(by + w - {AT[1]}::DOUBLE))")
+
+
+@query(
+    "locality_point",
+    f"""WITH {TREES}, z AS (SELECT leaf, n, {POINT_D} AS near, {POINT_FAR} AS far FROM il),
+zz AS (SELECT *, sum(n) OVER w AS held, max(far) OVER w AS reach FROM z WINDOW w AS (ORDER BY near, far, leaf ROWS UNBOUNDED PRECEDING))
+SELECT leaf, n, near AS min_d FROM zz WHERE near <= (SELECT coalesce(min(CASE WHEN held >= {K_SELECT} THEN reach END), max(reach)) FROM zz)""",
+)
+def _(spark, d):
+    return select.locality(trees(spark, d)[1], AT, K_SELECT).select("leaf", "n", "min_d")
+
+
+@query("locality_block_cost", f"WITH {TREES}, {PAIRS}, {costs_sql(K_JOIN)} SELECT block, n_blocks, n_points FROM bc")
+def _(spark, d):
+    return locality.block_costs(*trees(spark, d), K_JOIN)
+
+
+@query("join_cost_exact", f"WITH {TREES}, {PAIRS}, {costs_sql(K_JOIN)} SELECT sum(n_blocks)::BIGINT AS cost FROM bc")
+def _(spark, d):
+    return locality.join_cost(*trees(spark, d), K_JOIN)
+
+
+STEP = 5
+SAMPLED = TREES.replace("ol_cells AS", "oa_cells AS").replace("FROM ol_cells", "FROM oa_cells").replace("ol AS (", "oa AS (") + f", ol AS (SELECT * FROM oa QUALIFY (row_number() OVER (ORDER BY leaf) - 1) % {STEP} = 0)"
+SAMPLED_COST = "(SELECT sum(n_blocks)::BIGINT FROM bc) * (SELECT count(*) FROM oa) / (SELECT count(*) FROM ol)"
+
+
+@query("join_cost_sampled", f"WITH {SAMPLED}, {PAIRS}, {costs_sql(K_JOIN)} SELECT {SAMPLED_COST} AS cost")
+def _(spark, d):
+    return locality.join_cost_sampled(*trees(spark, d), K_JOIN, STEP)
+
+
+@query("locality_catalog", f"WITH {TREES}, {PAIRS}, {CATALOG} SELECT * FROM cat")
+def _(spark, d):
+    return locality.catalog(*trees(spark, d))
+
+
+@query("catalog_lookup", f"WITH {TREES}, {PAIRS}, {CATALOG} SELECT * FROM cat WHERE 300 BETWEEN start_k AND end_k")
+def _(spark, d):
+    return locality.lookup(locality.catalog(*trees(spark, d)), 300)
+
+
+@query("catalog_storage", f"WITH {TREES}, {PAIRS}, {CATALOG} SELECT count(*) AS n_entries FROM cat")
+def _(spark, d):
+    return locality.storage(locality.catalog(*trees(spark, d)))
+
+
+MERGED_MAX = f"""ks AS (SELECT DISTINCT start_k AS k FROM cat),
+mx AS (SELECT k, max(n_blocks) AS v FROM ks JOIN cat ON k BETWEEN start_k AND end_k GROUP BY 1),
+mf AS (SELECT * FROM (SELECT *, lag(v) OVER (ORDER BY k) AS before FROM mx) WHERE before IS NULL OR before <> v)
+SELECT k AS start_k, coalesce(lead(k) OVER (ORDER BY k) - 1, {locality.MAX_K})::BIGINT AS end_k, v AS n_blocks FROM mf"""
+MERGED_SUM = """ms AS (SELECT k, (sum(v))::BIGINT AS v FROM (SELECT start_k AS k, n_blocks AS v FROM cat UNION ALL SELECT end_k + 1, -n_blocks FROM cat) GROUP BY 1),
+mr AS (SELECT k AS start_k, lead(k) OVER (ORDER BY k) - 1 AS end_k, (sum(v) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING))::BIGINT AS n_blocks FROM ms)"""
+
+
+@query("catalog_merge_max", f"WITH {TREES}, {PAIRS}, {CATALOG}, {MERGED_MAX}")
+def _(spark, d):
+    return locality.merge_max(locality.catalog(*trees(spark, d)))
+
+
+@query("catalog_merge_sum", f"WITH {TREES}, {PAIRS}, {CATALOG}, {MERGED_SUM} SELECT * FROM mr WHERE end_k IS NOT NULL")
+def _(spark, d):
+    return locality.merge_sum(locality.catalog(*trees(spark, d)))
+
+
+@query("join_cost_merged_catalog", f"WITH {SAMPLED}, {PAIRS}, {CATALOG}, {MERGED_SUM} SELECT floor(n_blocks * (SELECT count(*) FROM oa) / (SELECT count(*) FROM ol))::BIGINT AS cost FROM mr WHERE {K_JOIN} BETWEEN start_k AND end_k")
+def _(spark, d):
+    merged = locality.merged_sampled(*trees(spark, d), STEP)
+    return merged.where(F.lit(K_JOIN).between(F.col("start_k"), F.col("end_k"))).select(F.col("n_blocks").alias("cost"))
+
+
+PARTS = 10
+CELL = float(int(WORLD) // PARTS)
+
+
+@query(
+    "join_cost_virtual_grid",
+    f"""WITH {TREES.replace("ol_cells AS", "oa_cells AS").replace("FROM ol_cells", "FROM oa_cells").replace("ol AS (", "oa AS (")},
+ol AS (SELECT i AS leaf, (i % {PARTS}) * {CELL}::DOUBLE AS bx, (i // {PARTS}) * {CELL}::DOUBLE AS by, {CELL}::DOUBLE AS w FROM range({PARTS * PARTS}) t(i)), {PAIRS}, {costs_sql(K_JOIN)},
+seen AS (SELECT a.leaf, a.w, min(g.leaf) AS block FROM oa a JOIN ol g ON g.bx <= a.bx + a.w AND a.bx <= g.bx + g.w AND g.by <= a.by + a.w AND a.by <= g.by + g.w GROUP BY 1, 2)
+SELECT round(sum(n_blocks * s.w / {CELL}), 3) AS cost FROM seen s JOIN bc USING (block)""",
+)
+def _(spark, d):
+    return locality.virtual_grid_cost(spark, *trees(spark, d), K_JOIN, PARTS, WORLD).select(F.round("cost", 3).alias("cost"))
+
+
+KTH = f"kth AS (SELECT max(d) AS d FROM (SELECT {d_sql('c')} AS d FROM c ORDER BY 1 LIMIT {K_SELECT}))"
+
+
+@query("select_cost_actual", f"WITH {TREES}, {KTH} SELECT count(*) AS cost FROM il, kth WHERE {POINT_D} <= kth.d")
+def _(spark, d):
+    return locality.select_cost(tables.customers(spark, d), trees(spark, d)[1], AT, K_SELECT, "c_x", "c_y")
+
+
+ENCLOSING = f"el AS (SELECT * FROM il WHERE bx < {AT[0]} AND bx + w >= {AT[0]} AND by < {AT[1]} AND by + w >= {AT[1]})"
+PIVOTS = "pv AS (SELECT 0 AS pivot, bx + w / 2 AS px, by + w / 2 AS py FROM el UNION ALL SELECT i + 1, bx + w * (i % 2), by + w * (i // 2) FROM el, range(4) t(i))"
+PIVOT_COSTS = f"""pk AS (SELECT pivot, px, py, max(d) AS kth FROM (SELECT *, sqrt((c_x - px) * (c_x - px) + (c_y - py) * (c_y - py)) AS d FROM pv, c QUALIFY row_number() OVER (PARTITION BY pivot ORDER BY d) <= {K_SELECT}) GROUP BY 1, 2, 3),
+pc AS (SELECT pivot, count(*) AS n_blocks FROM pk, il WHERE {norm_sql(point_gap_sql("px", "bx"), point_gap_sql("py", "by"))} <= kth GROUP BY 1)"""
+
+
+@query("select_cost_center", f"WITH {TREES}, {ENCLOSING}, {PIVOTS}, {PIVOT_COSTS} SELECT n_blocks AS cost FROM pc WHERE pivot = 0")
+def _(spark, d):
+    return locality.select_cost_center(tables.customers(spark, d), trees(spark, d)[1], AT, K_SELECT, "c_x", "c_y")
+
+
+@query(
+    "select_cost_corners",
+    f"""WITH {TREES}, {ENCLOSING}, {PIVOTS}, {PIVOT_COSTS},
+cc AS (SELECT max(CASE WHEN pivot = 0 THEN n_blocks END) AS a, max(CASE WHEN pivot > 0 THEN n_blocks END) AS b FROM pc)
+SELECT floor(a + abs(b - a) * {norm_sql(f"bx + w / 2 - {AT[0]}::DOUBLE", f"by + w / 2 - {AT[1]}::DOUBLE")} / (sqrt(w * w + w * w) / 2))::BIGINT AS cost FROM cc, el""",
+)
+def _(spark, d):
+    return locality.select_cost_corners(tables.customers(spark, d), trees(spark, d)[1], AT, K_SELECT, "c_x", "c_y")
+
+
+@query(
+    "select_cost_density",
+    f"""WITH {TREES}, {ENCLOSING},
+nr AS (SELECT i.*, {norm_sql(gap_sql("e.bx", "e.w", "i.bx", "i.w"), gap_sql("e.by", "e.w", "i.by", "i.w"))} AS near FROM il i, el e),
+rn AS (SELECT leaf, near, min(bx) OVER w AS x0, min(by) OVER w AS y0, max(bx + w) OVER w AS x1, max(by + w) OVER w AS y1, sum(n) OVER w::DOUBLE AS held FROM nr WINDOW w AS (ORDER BY near, leaf ROWS UNBOUNDED PRECEDING)),
+rr AS (SELECT *, sqrt({float(K_SELECT)}::DOUBLE / (3.141592653589793::DOUBLE * (held / ((x1 - x0) * (y1 - y0))))) AS r FROM rn),
+ff AS (SELECT *, {AT[0]} - r >= x0 AND {AT[0]} + r <= x1 AND {AT[1]} - r >= y0 AND {AT[1]} + r <= y1 AS fits FROM rr),
+stop AS (SELECT coalesce((SELECT r FROM ff WHERE fits ORDER BY near, leaf LIMIT 1), (SELECT r FROM ff ORDER BY near DESC, leaf DESC LIMIT 1)) AS r)
+SELECT count(*) AS cost FROM nr, stop WHERE near <= stop.r""",
+)
+def _(spark, d):
+    return locality.select_cost_density(trees(spark, d)[1], AT, K_SELECT)
+
+
+PIVOT_CATALOG = f"""pv AS (SELECT leaf AS block, bx + w / 2 AS px, by + w / 2 AS py FROM ol),
+dk AS (SELECT block, d, row_number() OVER (PARTITION BY block ORDER BY d) AS k FROM (SELECT block, sqrt((c_x - px) * (c_x - px) + (c_y - py) * (c_y - py)) AS d FROM pv, c) QUALIFY k <= {locality.MAX_K}),
+nb AS (SELECT block, {norm_sql(point_gap_sql("px", "bx"), point_gap_sql("py", "by"))} AS near FROM pv, il),
+kc AS (SELECT dk.block, k, count(*) AS n_blocks FROM dk JOIN nb ON nb.block = dk.block AND near <= d GROUP BY 1, 2),
+ki AS (SELECT block, n_blocks, min(k) AS start_k, max(k) AS e FROM kc GROUP BY 1, 2)
+SELECT block, start_k, CASE WHEN lead(start_k) OVER (PARTITION BY block ORDER BY start_k) IS NULL THEN {locality.MAX_K} ELSE e END::BIGINT AS end_k, n_blocks FROM ki"""
+
+
+@query("select_catalog_centers", f"WITH {TREES}, {PIVOT_CATALOG}")
+def _(spark, d):
+    outer, inner = trees(spark, d)
+    return locality.pivot_catalog(locality.center_pivots(outer), inner, tables.customers(spark, d), "c_x", "c_y")
+
+
+@query(
+    "estimate_accuracy",
+    f"""WITH {SAMPLED}, {PAIRS}, {costs_sql(K_JOIN)}, e AS (SELECT {SAMPLED_COST} AS v), """
+    + PAIRS.replace("pr AS", "pr2 AS").replace("ol o", "oa o").replace("sc AS", "sc2 AS").replace("FROM pr ", "FROM pr2 ")
+    + ", "
+    + costs_sql(K_JOIN).replace("bc AS", "bc2 AS").replace("FROM pr p", "FROM pr2 p").replace("FROM sc ", "FROM sc2 ")
+    + """, a AS (SELECT sum(n_blocks)::BIGINT AS v FROM bc2)
+SELECT e.v AS estimate, a.v AS actual, least(e.v, a.v) / greatest(e.v, a.v) AS accuracy, CASE WHEN e.v > 2 * a.v THEN 0.0 ELSE 1 - abs(e.v - a.v) / a.v END::DOUBLE AS closeness FROM e, a""",
+)
+def _(spark, d):
+    outer, inner = trees(spark, d)
+    estimate = locality.join_cost_sampled(outer, inner, K_JOIN, STEP).select(F.col("cost").alias("estimate"))
+    actual = locality.join_cost(outer, inner, K_JOIN).select(F.col("cost").alias("actual"))
+    both = estimate.join(F.broadcast(actual), F.lit(True))  # one row each
+    return both.select("estimate", "actual", locality.accuracy(F.col("estimate"), F.col("actual")).alias("accuracy"), locality.closeness(F.col("estimate"), F.col("actual")).alias("closeness"))
