@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import n_words, positions, spool, spread
@@ -46,6 +46,25 @@ def targets(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
     )
 
 
+def _copied(docs: DataFrame, source: Column, size: Column, doc_id: Column, weights: Sequence[float], share: float, most: int, seed: str, spread_n: int) -> DataFrame:
+    """docs with _mix_size, _mix_source_size, _mix_target and _mix_copies added to their columns."""
+    size_ = F.col("_mix_size")
+    bits = F.length(F.bin(size_))
+    band = bits * 16 + F.when(bits > 4, F.expr("shiftright(_mix_size, cast(length(bin(_mix_size)) - 4 as int))")).otherwise(size_)
+    sized = (
+        docs.withColumns({"_mix_source": source, "_mix_id": doc_id, "_mix_size": size})
+        .withColumns({"_mix_key": F.coalesce(F.concat(F.lit("="), "_mix_source"), F.lit("")), "_mix_band": band.cast("int"), "_mix_sub": spread("_mix_id", spread_n)})
+    )
+    plan = targets(sized.select(F.col("_mix_source").alias("source"), F.col("_mix_size").alias("size")), weights, share, most)
+    plan = plan.select(F.col("key").alias("_mix_key"), F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"))
+    placed = positions(sized, "_mix_key", ["_mix_band", "_mix_sub"], ["_mix_size", "_mix_id"], "_mix_position")
+    at, total = F.col("_mix_position"), F.col("_mix_source_size")
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), "_mix_key")), 1, 4), 16, 10).cast("double") / 65536
+    rate = F.when(total > 0, F.col("_mix_target") / total).otherwise(0.0)
+    copies = F.least(F.floor(rate * (at + 1) + offset) - F.floor(rate * at + offset), F.lit(most)).cast("long")
+    return placed.join(plan, "_mix_key").withColumn("_mix_copies", copies)
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -65,38 +84,33 @@ def mix(
     comes out at each integer that the sum crosses. In order of size, the words
     taken stay near the target. Sizes are words; a null text has none.
 
-    Null ids sort first and share a bucket; repeated rows are numbered like
-    others, so they may get different copies; null sources are a source; an
-    empty table gives no rows; other columns are not read.
+    Texts are read once, for their sizes. Null ids sort first and share a
+    bucket; repeated rows are numbered like others, so they may get different
+    copies; null sources are a source; an empty table gives no rows; other
+    columns are not read.
     """
-    size = n_words(text_col)
-    bits = F.length(F.bin(F.col("size")))
-    band = bits * 16 + F.when(bits > 4, F.expr("shiftright(size, cast(length(bin(size)) - 4 as int))")).otherwise(F.col("size"))
-    sized = spool(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
-        .withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-        .withColumn("band", band.cast("int"))
-        .withColumn("sub", spread("doc_id", spread_n))
-    )
-    placed = positions(sized, "key", ["band", "sub"], ["size", "doc_id"], "position")
-    plan = targets(sized, weights, share, most).drop("source", "n_docs")
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), "key")), 1, 4), 16, 10).cast("double") / 65536
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    begun = F.floor(rate * F.col("position") + offset)
-    ended = F.floor(rate * (F.col("position") + 1) + offset)
-    copies = F.least(ended - begun, F.lit(most)).cast("long")
-    return placed.join(plan, "key").select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    sized = spool(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text_col).alias("size")))
+    copied = _copied(sized, F.col("source"), F.col("size"), F.col("doc_id"), weights, share, most, seed, spread_n)
+    copies = F.col("_mix_copies")
+    return copied.select("doc_id", "source", "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[float] = (5, 2, 1),
+    share: float = 1.0,
+    most: int = 3,
+    seed: str = "mix",
+    spread_n: int = SPREAD,
+) -> DataFrame:
     """The documents of the mix, each as often as mix() takes it, with their own columns.
 
-    The counts come back to the rows by id; ids are taken to be unique here,
-    and a null id keeps its document as it is.
+    Rows keep their columns on the way, so ids need not be unique.
     """
-    id_col = options.get("id_col", "doc_id")
-    plan = mix(docs, **options).select(F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_mix_copies"))
     names = docs.columns
-    joined = docs.join(plan, F.col(id_col) == F.col("_mix_id"), "left")
-    times = F.coalesce(F.col("_mix_copies"), F.lit(1)).cast("int")
-    return joined.where(times > 0).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), times))).select(*names)
+    copied = _copied(docs, F.col(source_col), n_words(text_col), F.col(id_col), weights, share, most, seed, spread_n)
+    taken = copied.where(F.col("_mix_copies") > 0).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))))
+    return taken.select(*names)
