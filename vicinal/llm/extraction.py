@@ -206,16 +206,21 @@ class Model:
         return self._normal(math.exp(a - top), math.exp(b - top))
 
 
-#: What a feature counts, as the features of a block say partly the same.
-WEIGHT = 0.7
+#: What a feature counts: those of a block's text say partly the same, its tag and names stand for themselves.
+TEXT_WEIGHT, NAME_WEIGHT = 0.5, 1.2
 
 
 @functools.lru_cache(maxsize=1)
 def trained() -> Model:
-    """The potentials, by smoothed counts over the labelled pages: a fixed set, so this is the same everywhere."""
+    """The model of the labelled pages: a fixed set, so it is the same everywhere."""
+    return train(labelled_pages())
+
+
+def train(pages: list[str]) -> Model:
+    """The potentials, by smoothed counts over labelled pages."""
     seen: dict[str, list[float]] = {}
     totals, pair = [0.0, 0.0], [[1.0, 1.0], [1.0, 1.0]]
-    for page in labelled_pages():
+    for page in pages:
         nodes, _ = parse(page)
         for i, found in enumerate(features(nodes)):
             if nodes[i].hidden or i == 0:
@@ -225,7 +230,8 @@ def trained() -> Model:
             for f in found:
                 seen.setdefault(f, [0.0, 0.0])[y] += 1
             pair[nodes[nodes[i].parent].label or 0][y] += 1
-    unary = {f: tuple(WEIGHT * math.log((c + 0.3) / (t + 0.6)) for c, t in zip(counts, totals, strict=True)) for f, counts in seen.items()}
+    weight = lambda f: NAME_WEIGHT if f.startswith(("tag=", "name=")) else TEXT_WEIGHT
+    unary = {f: tuple(weight(f) * math.log((c + 0.3) / (t + 0.6)) for c, t in zip(counts, totals, strict=True)) for f, counts in seen.items()}
     return Model(unary, tuple(tuple(x / sum(row) for x in row) for row in pair))
 
 
