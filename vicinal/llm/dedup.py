@@ -14,10 +14,15 @@ from .components import components
 
 #: Words in a shingle, and the similarity from which two documents are near copies.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bands of a signature and coordinates of a band. A pair at 0.8 shares no band with probability 2.6e-5.
-BANDS, ROWS = 20, 4
-#: A pair is not compared exactly if so few coordinates agree; at 0.8 that has probability below 1e-7.
-AGREE = 0.55
+#: Bands of a signature and coordinates of a band. A pair at 0.8 shares no band with probability 1e-4, one at 0.4 shares
+#: one with probability 0.03: families of loosely related texts would otherwise fill the buckets.
+BANDS, ROWS = 50, 8
+#: Coordinates kept, a byte each, to look at a pair first, and the share of them that must agree; at 0.8 fewer do with
+#: probability below 1e-9.
+SKETCH, AGREE = 128, 0.55
+#: How often leaders are taken at most before all pairs across classes are compared, and how many orders of
+#: documents they are the first of: a document meets so many leaders a turn.
+TURNS, LEADERS = 8, 4
 #: Documents that are hashed together, and words remembered, in a task.
 CHUNK, REMEMBERED = 128, 500_000
 #: Ends of the rank levels that darts are thrown on: the last holds 16,384 darts of even one element.
@@ -144,14 +149,14 @@ def shingles(texts: list[str], size: int, hashes) -> tuple[np.ndarray, np.ndarra
     return total[starts], np.diff(np.append(starts, len(total))), owner[starts]
 
 
-SIGNED = "id long, node binary, n int, bands array<long>, sig binary, shingles binary"
+SIGNED = "id long, node binary, n int, bands array<long>, sig binary"
 
 
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, node, n, bands, sig, shingles) per document: node is a 128-bit hash of its set of shingles.
+    """(id, node, n, bands, sig) per document: node is a 128-bit hash of its set of n shingles.
 
     Null ids get one from the text, below all others. Every distinct shingle
-    weighs 1, so similarity is that of the sets. shingles are sorted uint32.
+    weighs 1, so similarity is that of the sets.
     """
     darts = Darts(bands * rows)
     salt = mixed(np.arange(1, bands + 1, dtype=_U))
@@ -172,20 +177,37 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
                 for r in range(rows):
                     key = mixed(key * _U(3) + packed[:, :, r])
                 sizes = np.diff(cut)
-                short = (sets >> _U(32)).astype("<u4")
                 yield pd.DataFrame(
                     {
                         "id": part["id"].to_numpy(),
                         "node": [xxhash.xxh3_128_digest(sets[a:b].tobytes()) for a, b in zip(cut, cut[1:])],
                         "n": sizes,
                         "bands": [row if m else row[:0] for row, m in zip(key.astype(np.int64), sizes, strict=True)],
-                        "sig": [row.tobytes() for row in sig],
-                        "shingles": [np.sort(short[a:b]).tobytes() for a, b in zip(cut, cut[1:])],
+                        "sig": [row.tobytes() for row in sig[:, :SKETCH].astype(np.uint8)],
                     }
                 )
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(internal_id(id_col, text_col).alias("id"), text.alias("text")).mapInPandas(run, SIGNED)
+    return texts(docs, id_col, text_col).mapInPandas(run, SIGNED)
+
+
+def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(internal_id(id_col, text_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """(id, shingles) of rows (id, text): the distinct shingles as sorted uint32."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = word_hasher()
+        for pdf in batches:
+            for at in range(0, len(pdf), CHUNK):
+                part = pdf.iloc[at : at + CHUNK]
+                sets, _, owner = shingles(part["text"].tolist(), shingle, hashes)
+                cut = np.searchsorted(owner, np.arange(len(part) + 1))
+                short = (sets >> _U(32)).astype("<u4")
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "shingles": [short[a:b].tobytes() for a, b in zip(cut, cut[1:])]})
+
+    return rows.mapInPandas(run, "id long, shingles binary")
 
 
 def internal_id(id_col: str, text_col: str):
@@ -194,7 +216,7 @@ def internal_id(id_col: str, text_col: str):
     return F.coalesce(F.col(id_col).cast("long"), made)
 
 
-def verified(pairs: DataFrame, reps: DataFrame, similarity: float, k: int) -> DataFrame:
+def verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets are at least so similar.
 
     First by signatures and set sizes, which are small; what passes is compared
@@ -208,8 +230,8 @@ def verified(pairs: DataFrame, reps: DataFrame, similarity: float, k: int) -> Da
     def agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                left, right = (np.frombuffer(b"".join(pdf[c]), np.uint32).reshape(len(pdf), k) for c in ("sig_a", "sig_b"))
-                pdf = pdf[(left == right).sum(1) >= AGREE * k]
+                left, right = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(len(pdf), -1) for c in ("sig_a", "sig_b"))
+                pdf = pdf[(left == right).mean(1) >= AGREE]
             yield pdf[["a", "b"]]
 
     near = spool(near.select("a", "b", "sig_a", "sig_b").mapInPandas(agree, "a long, b long"))
@@ -224,8 +246,7 @@ def verified(pairs: DataFrame, reps: DataFrame, similarity: float, k: int) -> Da
                 ok[i] = common >= similarity * (len(x) + len(y) - common)
             yield pdf.loc[ok, ["a", "b"]]
 
-    full = reps.select("id", "shingles")
-    return near.join(side(full, "a"), "a").join(side(full, "b"), "b").mapInPandas(compare, "a long, b long")
+    return near.join(side(sets, "a"), "a").join(side(sets, "b"), "b").mapInPandas(compare, "a long, b long")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -244,22 +265,25 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     """
     base = spool(signed(docs, id_col, text_col, shingle, bands, rows))
     nodes = base.where(F.col("n") > 0).groupBy("node").agg(F.min("id").alias("rep"))
-    reps = spool(base.join(nodes.select(F.col("node"), F.col("rep").alias("id")), ["node", "id"]).select("id", "n", "bands", "sig", "shingles").dropDuplicates(["id"]))
+    reps = spool(base.join(nodes.select(F.col("node"), F.col("rep").alias("id")), ["node", "id"]).select("id", "n", "bands", "sig").dropDuplicates(["id"]))
     met = reps.select(F.explode("bands").alias("band"), F.col("id").alias("rep"))
     buckets = spool(met.join(met.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("band"), "band"))
     n_rows = buckets.count()
-    k = bands * rows
+    met = buckets.select(F.col("rep").alias("id")).distinct()
+    sets = spool(shingle_sets(texts(docs, id_col, text_col).join(met, "id", "left_semi").dropDuplicates(["id"]), shingle))
     edges: DataFrame | None = None
     label = reps.select(F.col("id").alias("node"), F.col("id").alias("label")).limit(0)
-    for turn in range(12):
-        placed = buckets.join(label, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
-        kinds = placed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)), F.col("rep"))).alias("lead"))
+    before = float("inf")
+    for turn in range(TURNS):
+        placed = spool(buckets.join(label, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("label", "rep").alias("label")))
+        kinds = placed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("rep", F.pmod("band", F.lit(LEADERS)), F.lit(turn)), F.col("rep"))).alias("lead"))
         mixed_bands = kinds.groupBy("band").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("pairs"), F.min("lead").alias("lead")).where(F.col("pairs") > 0)
         mixed_bands = mixed_bands.select("band", "pairs", F.col("lead.rep").alias("lead"))
-        left = mixed_bands.agg(F.sum(F.col("pairs") / 2)).first()[0] or 0
+        left = float(mixed_bands.agg(F.sum(F.col("pairs") / 2)).first()[0] or 0)
         if not left:
             break
-        few = left <= 2 * n_rows + 10_000 or turn == 11
+        few = left <= n_rows + 10_000 or left > 0.8 * before or turn == TURNS - 1  # or leaders have done what they can
+        before = left
         inside = placed.join(mixed_bands, "band")
         if few:
             other = inside.select("band", F.col("rep").alias("b"), F.col("label").alias("label_b"))
@@ -267,7 +291,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
             pairs = inside.where(F.col("rep") != F.col("lead")).select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct()
-        found = verified(pairs, reps, similarity, k)
+        found = verified(pairs, reps, sets, similarity)
         edges = found if edges is None else edges.union(found)
         edges = spool(edges)
         label = components(edges)
