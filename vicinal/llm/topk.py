@@ -107,6 +107,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOC
 
 
 def search(df: DataFrame, every: int = 20, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
-    """top_k() of a table against itself; the queries are the rows whose id is divisible by `every`."""
+    """top_k() of a table against itself; the queries are the rows whose id is divisible by `every`, one for an id."""
     rows = spool(usable(df, id_col, vector_col, scale))
-    return top_k(rows, rows.where(F.col("vec_id") % every == 0), k)
+    return top_k(rows, rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), k)
