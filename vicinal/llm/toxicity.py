@@ -32,16 +32,15 @@ HIDDEN = dict.fromkeys((0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD))
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "pond scum")
 
 _LOOKALIKE = str.maketrans(HOMOGLYPHS)
+_SIGNS = str.maketrans(SUBSTITUTES)
 _WORD = re.compile(r"[^\W_]+")
-_LETTER_SIGN = re.compile(r"(?<=[^\W\d_])[013457@8$!|](?=[^\W\d_])|\b[013457@8$](?=[^\W\d_])|(?<=[^\W\d_])[0134578$@](?=[^\W\d_])")
+_LETTER_SIGN = re.compile(r"(?<=[^\W\d_])[013457@8$!|]+(?=[^\W\d_])|\b[013457@8$](?=[^\W\d_])")
 
 
 def fold(text: str) -> str:
     """Lower case, compatibility forms, look-alike letters and in-word substitutes undone; words apart by one space."""
     text = unicodedata.normalize("NFKC", text).lower().translate(HIDDEN).translate(_LOOKALIKE)
-    if not text.isalpha():
-        for _ in range(2):  # neighbouring signs overlap
-            text = _LETTER_SIGN.sub(lambda m: SUBSTITUTES[m[0]], text)
+    text = _LETTER_SIGN.sub(lambda m: m[0].translate(_SIGNS), text)
     return " ".join(_WORD.findall(text))
 
 
