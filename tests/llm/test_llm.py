@@ -532,7 +532,7 @@ def test_pipeline_stages(spark):
             assert {r["doc_id"] for r in kept.collect()} == {ids[c] for c in set(classes.values())}
         if name == "secrets":
             assert counts[-1] == counts[-2] and kept.where(F.col("text").rlike("[0-9a-f]{24}")).count() == 0
-    assert counts[0] > counts[1] > counts[2]
+    assert counts[0] >= counts[1] > counts[2]
     packed = p.STAGES[-1][1](spark, kept, SMALL).toPandas()
     check_packed(packed, 4096)
     assert packed[packed["piece"] == 0].shape[0] == counts[-1]
