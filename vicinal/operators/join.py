@@ -79,7 +79,8 @@ def rings(outer: Side, inner: Side, k: int, ties: str = "break", on: Column | No
     left, done = outer.df, []
     while True:
         width = world / 2**level
-        at = lambda side, level=level: (g.cell(F.col(side.x), level, world), g.cell(F.col(side.y), level, world))
+        last = F.lit(2**level - 1)  # points out of the world go to the cells on its border
+        at = lambda side, level=level, last=last: tuple(F.least(g.cell(F.col(a), level, world), last) for a in (side.x, side.y))
         ox, oy = at(outer)
         steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in ((-1, 0, 1) if level else (0,)) for b in ((-1, 0, 1) if level else (0,))]))
         around = left.withColumns({"_ox": ox, "_oy": oy}).withColumn("_s", steps).withColumns({"_cx": F.col("_ox") + F.col("_s.a"), "_cy": F.col("_oy") + F.col("_s.b")}).drop("_ox", "_oy", "_s")
@@ -92,7 +93,7 @@ def rings(outer: Side, inner: Side, k: int, ties: str = "break", on: Column | No
             done.append(found)
             return quadtree.union(done)
         found = _cut(found)
-        # out-of-world points share border cells, so only points inside may stop early
+        # only points inside see all that is near in the cells around them
         inside = (F.col(outer.x) >= 0) & (F.col(outer.x) < world) & (F.col(outer.y) >= 0) & (F.col(outer.y) < world)
         enough = found.where(inside).groupBy(outer.key).agg(F.count(F.lit(1)).alias("_n"), F.max("d").alias("_far")).where((F.col("_n") >= k) & (F.col("_far") < width)).select(outer.key)
         done.append(found.join(enough, outer.key, "left_semi"))
