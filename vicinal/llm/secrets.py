@@ -18,8 +18,11 @@ BASE = (
 HINTS = {"assign": r"[:=]", "access": "AKIA", "hex": r"(?<![0-9a-f])[0-9a-f]{24}"}
 #: The kind of the method's own spans.
 ENTROPY = "entropy"
-#: A candidate string for the entropy scan.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
+#: The least length of a candidate string for the entropy scan, and its form.
+LEAST = 20
+CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}"
+#: What may join a candidate's parts.
+JOINTS = r"^[+/_-]+|[+/_-]+$"
 WINDOW = 20
 #: Character classes from narrow to wide, with the bits per character from which a window counts.
 CLASSES = ((r"^[0-9a-fA-F]+$", 3.0), (r"^[A-Za-z0-9]+$", 3.7), (r"^.*$", 3.9))
@@ -79,22 +82,38 @@ def window_entropy(value: Column, window: int = WINDOW) -> Column:
 
 
 def suspicious(value: Column, window: int = WINDOW, classes: Sequence[tuple[str, float]] = CLASSES, allowed: Sequence[str] = ALLOWED) -> Column:
-    """Whether a candidate string is no allowed one, mixes digits and letters, and has a window of its class's entropy."""
+    """Whether a candidate string is no allowed one and has a window of its class's entropy."""
     from_bits = F.lit(99.0)
     for pattern, bits in reversed(classes):
         from_bits = F.when(F.rlike(value, F.lit(pattern)), F.lit(bits)).otherwise(from_bits)
-    mixed = F.rlike(value, F.lit("[0-9]")) & F.rlike(value, F.lit("[A-Za-z]"))
     harmless = F.lit(False)
     for pattern in allowed:
         harmless |= F.rlike(value, F.lit(pattern))
-    return mixed & ~harmless & (window_entropy(value, window) >= from_bits)
+    return ~harmless & (window_entropy(value, window) >= from_bits)
+
+
+def left_of(candidate: Column, touching: Column) -> Column:
+    """The parts of a candidate, as long as one, that no span of an array by start covers."""
+    empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
+
+    def until(a: Column, end: Column) -> Column:
+        value = F.substring(candidate["value"], a["at"] - candidate["start"] + 1, end - a["at"])
+        one = F.struct(a["at"].alias("start"), candidate["rank"].alias("rank"), end.alias("end"), candidate["kind"].alias("kind"), value.alias("value"))
+        return F.when(end - a["at"] >= LEAST, F.concat(a["parts"], F.array(one))).otherwise(a["parts"])
+
+    def add(a: Column, b: Column) -> Column:
+        return F.struct(F.greatest(a["at"], b["end"]).alias("at"), until(a, b["start"]).alias("parts"))
+
+    return F.aggregate(touching, F.struct(candidate["start"].alias("at"), empty.alias("parts")), add, lambda a: until(a, candidate["end"]))
 
 
 def scan(docs: DataFrame, text_col: str = "text", window: int = WINDOW, classes: Sequence[tuple[str, float]] = CLASSES, allowed: Sequence[str] = ALLOWED) -> DataFrame:
     """Add base_spans and spans: arrays of (start, rank, end, kind, value) by start, then kind.
 
     Base spans are the matches of the known forms. Further spans are candidate
-    strings of high entropy that overlap none of them. A null text is empty.
+    strings of high entropy that overlap none of them; of a candidate that base
+    spans cover in part, what is left is judged, with and without the signs that
+    join it to them. A null text is empty.
     Rows are scanned whole and where they are: one projection, no shuffle.
     Columns of these two names are replaced.
     """
@@ -105,8 +124,15 @@ def scan(docs: DataFrame, text_col: str = "text", window: int = WINDOW, classes:
     docs = docs.withColumn("base_spans", F.sort_array(F.concat(*found)))
     more = F.when(F.rlike(text, F.lit(CANDIDATE)), spans_of(text, CANDIDATE, ENTROPY, len(BASE))).otherwise(none)
     docs = docs.withColumn("_more", more)
-    apart = lambda c: ~F.exists("base_spans", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    extra = F.filter(F.filter("_more", apart), lambda c: suspicious(c["value"], window, classes, allowed))
+    judged = lambda v: suspicious(v, window, classes, allowed)
+
+    def secret(c: Column) -> Column:
+        touching = F.filter("base_spans", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+        bare = lambda v: F.regexp_replace(v, JOINTS, "")
+        parts = F.filter(left_of(c, touching), lambda p: judged(p["value"]) | (F.length(bare(p["value"])) >= LEAST) & judged(bare(p["value"])))
+        return F.when(F.size(touching) > 0, parts).when(judged(c["value"]), F.array(c)).otherwise(none)
+
+    extra = F.flatten(F.transform("_more", secret))
     return docs.withColumn("spans", F.sort_array(F.concat("base_spans", extra))).drop("_t", "_more")
 
 
