@@ -159,6 +159,19 @@ def test_extraction_of_odd_pages(spark):
     assert got[1] == "" and got[2] == "" and got[6] == "" and all(v is not None for v in got.values())
 
 
+def test_an_open_head_and_closed_drawings_hide_nothing():
+    article = "<article><h1>A title</h1><p>Some text that goes on for a while. It has two sentences.</p></article>"
+    text = "A title Some text that goes on for a while. It has two sentences."
+    for head in ("<head>", "<head><title>T</title><meta charset=utf-8><style>p{}</style><script>x</script>", "<html><head><link rel=x href=y>"):
+        assert extraction.main_text(head + article) == text
+        assert extraction.main_text(head + "</head><body>" + article) == text
+    nodes, texts = extraction.parse("<head><title>T</title>Bare text")
+    assert [(t.strip(), nodes[b].hidden) for b, t in texts] == [("Bare text", False)]
+    for drawing in ("<svg/>", '<svg class="icon" width="5" />', "<math/>", '<svg><title/><path d="x"/><a/></svg>'):
+        assert extraction.main_text(article.replace("<h1>", drawing + "<h1>")) == text
+    assert extraction.main_text(article.replace("<h1>", '<svg><path d="x"/><text>Hidden words</text></svg><h1>')) == text
+
+
 def test_extraction_finds_the_articles_of_all_pages(spark):
     got = queries.op3_html_extraction(spark, SMALL).toPandas()
     html_of = spark.read.parquet(f"{SMALL}/pages.parquet").toPandas().set_index("page_id")["html"]

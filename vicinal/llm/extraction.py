@@ -21,6 +21,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe template xmp".split())
 HIDDEN = RAW | frozenset("head select option button svg math object canvas audio video datalist".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+#: What may stand in a head; whatever else begins ends it.
+METADATA = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+FOREIGN = frozenset("svg math".split())
 #: What a start tag closes if it is open, up to the elements that bound it.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("tr", "td", "th", "thead"), "body": ("head",)}
 BOUNDS = frozenset("html body table ul ol dl div section article main aside nav header footer form blockquote td th select".split())
@@ -63,6 +66,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         nonlocal fresh
         if not raw:
             return
+        if stack and stack[-1][0] == "head" and raw.strip("\x20\x09\x0a\x0c\x0d"):
+            close(("head",), BOUNDS)
         text = html.unescape(raw) if "&" in raw else raw
         node = nodes[block]
         texts.append((block, "\n" + text if fresh else text))
@@ -110,6 +115,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 fresh = True
         elif start:
             tag, attributes = start.lower(), m[3]
+            if open_tags["head"] and tag not in METADATA:
+                close(("head",), BOUNDS)
             if tag in VOID:
                 fresh = fresh or tag not in INLINE
                 continue
@@ -127,10 +134,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 nodes.append(Node(tag, block, names, label, nodes[block].hidden or tag in HIDDEN or any(a == "hidden" for a, _ in found)))
                 nodes[block].kids.append(len(nodes) - 1)
                 block = len(nodes) - 1
-            if tag in RAW:  # up to the end tag, whatever stands there
+            closed = attributes.endswith("/") and (tag in FOREIGN or any(open_tags[t] for t in FOREIGN))
+            if tag in RAW and not closed:  # up to the end tag, whatever stands there
                 stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
                 at = stop.end() if stop else len(page)
                 block = stack[-1][1] if stack else 0
+            elif closed:
+                links -= tag == "a"
+                block = stack[-1][1] if stack else 0
             else:
                 stack.append((tag, block))
                 open_tags[tag] += 1
