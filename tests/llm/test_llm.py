@@ -124,6 +124,17 @@ def test_one_document_of_a_class_stays(spark, empty):
     assert dedup.deduplicated(null).count() == 2
 
 
+def test_different_texts_of_one_id_keep_their_links(spark):
+    rng = random.Random(4)
+    text = lambda: " ".join(f"w{rng.randint(0, 3000)}" for _ in range(100))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, a), (1, b), (4, a + " end"), (-2, b + " end"), (7, c), (7, ""), (3, c + " end"), (8, d), (9, d), (9, "one two"), (10, ""), (11, None), (12, "one two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["id"], r["class_id"]) for r in dedup.classes(df.repartition(3)).collect())
+    want = {1: -2, 4: -2, -2: -2, 7: 3, 3: 3, 8: 8, 9: 8, 12: 8, 10: 10, 11: 11}
+    assert got == sorted((i, want[i]) for i, _ in rows)
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     k, darts = 4000, dedup.Darts(4000)

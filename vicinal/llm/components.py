@@ -11,7 +11,7 @@ from .common import spool, unspool
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) for every node of an edge: label is the smallest node that it is connected to.
 
-    edges has long columns a and b. Each step hangs a node's neighbours on the
+    edges has columns a and b of one ordered type. Each step hangs a node's neighbours on the
     smallest of them (first the larger neighbours, then the smaller ones), so
     paths shrink fast and no node ever gathers its neighbours in one place: a
     minimum is taken per node before the shuffle, and the join back deals a hub

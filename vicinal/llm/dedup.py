@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import spool
@@ -153,7 +153,7 @@ SIGNED = "id long, node binary, n int, bands array<long>, sig binary"
 
 
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, node, n, bands, sig) per document: node is a 128-bit hash of its set of n shingles.
+    """(id, node, n, bands, sig) per document: node is a 128-bit hash of its set of n shingles, or of the id if it has none.
 
     Null ids get one from the text, below all others. Every distinct shingle
     weighs 1, so similarity is that of the sets.
@@ -180,7 +180,7 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
                 yield pd.DataFrame(
                     {
                         "id": part["id"].to_numpy(),
-                        "node": [xxhash.xxh3_128_digest(sets[a:b].tobytes()) for a, b in zip(cut, cut[1:])],
+                        "node": [xxhash.xxh3_128_digest(sets[a:b].tobytes() if a < b else b"id %d" % i) for i, a, b in zip(part["id"], cut, cut[1:])],
                         "n": sizes,
                         "bands": [row if m else row[:0] for row, m in zip(key.astype(np.int64), sizes, strict=True)],
                         "sig": [row.tobytes() for row in sig[:, :SKETCH].astype(np.uint8)],
@@ -195,9 +195,11 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """(id, shingles) of rows (id, text): the distinct shingles as sorted uint32."""
+    """(id, node, shingles) of rows (id, text): the distinct shingles as sorted uint32, and their node as in signed()."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
         hashes = word_hasher()
         for pdf in batches:
             for at in range(0, len(pdf), CHUNK):
@@ -205,9 +207,20 @@ def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
                 sets, _, owner = shingles(part["text"].tolist(), shingle, hashes)
                 cut = np.searchsorted(owner, np.arange(len(part) + 1))
                 short = (sets >> _U(32)).astype("<u4")
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "shingles": [short[a:b].tobytes() for a, b in zip(cut, cut[1:])]})
+                node = [xxhash.xxh3_128_digest(sets[a:b].tobytes()) for a, b in zip(cut, cut[1:])]
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "node": node, "shingles": [short[a:b].tobytes() for a, b in zip(cut, cut[1:])]})
+
+    return rows.mapInPandas(run, "id long, node binary, shingles binary")
+
+
+def node_key(id_: Column, node: Column) -> Column:
+    """16 bytes that name a node and sort by its smallest id: the id, and a hash that tells nodes with one id apart."""
+    digits = lambda x: F.unhex(F.lpad(F.hex(x), 16, "0"))
+    return F.concat(digits(id_.bitwiseXOR(F.lit(-(2**63)))), digits(F.xxhash64(node)))
+
 
-    return rows.mapInPandas(run, "id long, shingles binary")
+def id_of(key: Column) -> Column:
+    return F.conv(F.hex(F.substring(key, 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(2**63)))
 
 
 def internal_id(id_col: str, text_col: str):
@@ -234,7 +247,7 @@ def verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, similarity: flo
                 pdf = pdf[(left == right).mean(1) >= AGREE]
             yield pdf[["a", "b"]]
 
-    near = spool(near.select("a", "b", "sig_a", "sig_b").mapInPandas(agree, "a long, b long"))
+    near = spool(near.select("a", "b", "sig_a", "sig_b").mapInPandas(agree, "a binary, b binary"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -246,13 +259,13 @@ def verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, similarity: flo
                 ok[i] = common >= similarity * (len(x) + len(y) - common)
             yield pdf.loc[ok, ["a", "b"]]
 
-    return near.join(side(sets, "a"), "a").join(side(sets, "b"), "b").mapInPandas(compare, "a long, b long")
+    return near.join(side(sets, "a"), "a").join(side(sets, "b"), "b").mapInPandas(compare, "a binary, b binary")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, class_id) per document: documents joined by a chain of near copies share a class, named by its smallest id.
 
-    Documents with equal shingle sets are one node. Nodes that share a band meet
+    Documents with equal shingle sets are one node, whatever their ids. Nodes that share a band meet
     in its bucket. Not all pairs of a bucket are formed: its members are first
     compared with one leader, and linked ones share a class from then on; then
     only pairs across classes are left, for which a leader is taken again as
@@ -261,18 +274,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     between two classes is passed over.
 
     Documents without words are classes of their own. Rows that share an id
-    share a class. Null ids get a negative one made from their text.
+    share a class, also if their texts differ. Null ids get a negative one made from their text.
     """
     base = spool(signed(docs, id_col, text_col, shingle, bands, rows))
-    nodes = base.where(F.col("n") > 0).groupBy("node").agg(F.min("id").alias("rep"))
-    reps = spool(base.join(nodes.select(F.col("node"), F.col("rep").alias("id")), ["node", "id"]).select("id", "n", "bands", "sig").dropDuplicates(["id"]))
+    nodes = base.groupBy("node").agg(F.min("id").alias("id")).withColumn("key", node_key(F.col("id"), F.col("node")))
+    reps = spool(base.join(nodes, ["node", "id"]).select(F.col("key").alias("id"), "n", "bands", "sig").dropDuplicates(["id"]))
+    several = base.groupBy("id").agg(F.min(F.xxhash64("node")).alias("low"), F.max(F.xxhash64("node")).alias("high")).where(F.col("low") < F.col("high"))
+    shared = base.join(several, "id", "left_semi").join(nodes.select("node", "key"), "node").select("id", "key")
+    edges = spool(shared.join(shared.groupBy("id").agg(F.min("key").alias("a")), "id").where(F.col("a") < F.col("key")).select("a", F.col("key").alias("b")).distinct())
     met = reps.select(F.explode("bands").alias("band"), F.col("id").alias("rep"))
     buckets = spool(met.join(met.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("band"), "band"))
     n_rows = buckets.count()
-    met = buckets.select(F.col("rep").alias("id")).distinct()
-    sets = spool(shingle_sets(texts(docs, id_col, text_col).join(met, "id", "left_semi").dropDuplicates(["id"]), shingle))
-    edges: DataFrame | None = None
-    label = reps.select(F.col("id").alias("node"), F.col("id").alias("label")).limit(0)
+    met = buckets.select(id_of(F.col("rep")).alias("id")).distinct()
+    some = texts(docs, id_col, text_col).join(met, "id", "left_semi").withColumn("_md5", F.md5("text")).dropDuplicates(["id", "_md5"])
+    sets = shingle_sets(some.select("id", "text"), shingle).select(node_key(F.col("id"), F.col("node")).alias("id"), "shingles")
+    sets = spool(sets.dropDuplicates(["id"]))
+    label = reps.select(F.col("id").alias("node"), F.col("id").alias("label")).limit(0) if edges.isEmpty() else components(edges)
     before = float("inf")
     for turn in range(TURNS):
         placed = spool(buckets.join(label, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("label", "rep").alias("label")))
@@ -292,13 +309,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
         else:
             pairs = inside.where(F.col("rep") != F.col("lead")).select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct()
         found = verified(pairs, reps, sets, similarity)
-        edges = found if edges is None else edges.union(found)
-        edges = spool(edges)
+        edges = spool(edges.union(found))
         label = components(edges)
         if few:
             break
-    own = base.select("id", "node", "n").join(nodes, "node", "left").select("id", F.coalesce("rep", "id").alias("rep"))
-    return own.join(label, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("label", "rep").alias("class_id"))
+    own = base.select("id", "node").join(nodes.select("node", "key"), "node").select("id", "key")
+    return own.join(label, F.col("key") == F.col("node"), "left").select("id", id_of(F.coalesce("label", "key")).alias("class_id"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
