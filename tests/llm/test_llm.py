@@ -357,7 +357,7 @@ def test_good_documents_stay_and_junk_goes(spark):
     d = "/root/testdata/sf0.01"
     judged = queries.op6_quality_rules(spark, d).toPandas().merge(pd.read_parquet(f"{d}/labels.parquet"), on="doc_id")
     judged = judged[~judged["base_failed"]]
-    assert judged[judged["quality"] == 1]["kept"].mean() >= 0.97
+    assert judged[judged["quality"] == 1]["kept"].mean() >= 0.99
     assert judged[judged["quality"] == 0]["kept"].mean() <= 0.1
 
 
@@ -579,6 +579,21 @@ def test_pipeline_stages(spark):
     assert packed[packed["piece"] == 0].shape[0] == counts[-1]
 
 
+def test_pipeline_drops_planted_abuse(spark):
+    import corpus_pipeline as p
+
+    d = "/root/testdata/sf0.1"
+    docs0 = spark.read.parquet(f"{d}/documents.parquet")
+    labelled = docs0.join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+    planted = labelled.withColumn("doc_id", -1 - F.col("doc_id")).select("doc_id", *docs0.columns[1:], "toxic").toPandas()
+    stage = p.drop_toxic(spark, docs0.union(spark.createDataFrame(planted[docs0.columns], docs0.schema)), d)
+    kept = {r["doc_id"] for r in stage.select("doc_id").collect()}
+    goes = ~planted["doc_id"].isin(kept)
+    assert (planted["toxic"] == 1).sum() >= 10 and goes[planted["toxic"] == 1].mean() > 0.85
+    assert (planted["toxic"] == 0).sum() >= 100 and goes[planted["toxic"] == 0].mean() < 0.02
+    assert all((-1 - i in kept) == (i in kept) for i in planted["doc_id"])
+
+
 def test_pipeline_of_odd_rows(spark, tmp_path):
     import corpus_pipeline as p
 
