@@ -78,8 +78,18 @@ def shingle_sets(texts):
     return out
 
 
-def brute_classes(texts):
-    sets, parent = shingle_sets(texts), list(range(len(texts)))
+def counted_sets(texts):
+    """As many elements of a shingle as it occurs."""
+    out = []
+    for t in texts:
+        w, seen = re.findall(WORDS, t or ""), Counter()
+        own = [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+        out.append({(s, seen.update([s]) or seen[s]) for s in own})
+    return out
+
+
+def brute_classes(texts, sets_of=shingle_sets):
+    sets, parent = sets_of(texts), list(range(len(texts)))
 
     def find(x):
         while parent[x] != x:
@@ -113,6 +123,41 @@ def test_classes_equal_brute_force(spark):
     assert got == brute_classes(texts)
 
 
+def test_weighted_classes_equal_brute_force(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"w{rng.randint(0, 3000)}" for _ in range(n))
+    line, other = text(9) + "\n", text(150)
+    texts = [line * 30 + text(20), line * 30 + text(25), line * 10 + text(20), line * 10, line * 12, line * 40, other, other + " end", other + " " + other, line]
+    df = docs(spark, [*texts, *near_copies()])
+    every = [r["text"] for r in df.orderBy("doc_id").collect()]
+    weighted = {r["id"]: r["class_id"] for r in dedup.classes(df, counted=True).collect()}
+    assert weighted == brute_classes(every, counted_sets)
+    assert weighted[0] == weighted[1] and weighted[3] == weighted[4] != weighted[5]
+    plain = {r["id"]: r["class_id"] for r in dedup.classes(df).collect()}
+    assert plain == brute_classes(every) and plain[0] != plain[1] and plain[3] == plain[5]
+
+
+def family():
+    """Copies of one text with few to many edits, and of a second text like the first, as a large bucket holds them."""
+    rng = random.Random(9)
+    word = lambda: rng.choice(["the", "and", "of", f"w{rng.randint(0, 3000)}"])
+    base = [word() for _ in range(150)]
+    like, out = base[:90] + [word() for _ in range(60)], []
+    for i in range(260):
+        w = list(like if i % 3 == 0 else base)
+        for _ in range(int(rng.expovariate(0.2))):
+            w[rng.randrange(len(w))] = word()
+        out.append(" ".join(w[: rng.choice([150, 150, 150, 130])]))
+    return out
+
+
+def test_classes_of_a_large_family_equal_brute_force(spark):
+    texts = family()
+    got = {r["id"]: r["class_id"] for r in dedup.classes(docs(spark, texts)).collect()}
+    assert got == brute_classes(texts)
+    assert len(set(got.values())) > 20 and max(Counter(got.values()).values()) > 50
+
+
 def test_one_document_of_a_class_stays(spark, empty):
     texts = near_copies()
     df = docs(spark, texts)

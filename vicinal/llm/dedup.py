@@ -17,12 +17,6 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of a signature and coordinates of a band. A pair at 0.8 shares no band with probability 1e-4, one at 0.4 shares
 #: one with probability 0.03: families of loosely related texts would otherwise fill the buckets.
 BANDS, ROWS = 50, 8
-#: Coordinates kept, a byte each, to look at a pair first, and the share of them that must agree; at 0.8 fewer do with
-#: probability below 1e-9.
-SKETCH, AGREE = 128, 0.55
-#: How often leaders are taken at most before all pairs across classes are compared, and how many orders of
-#: documents they are the first of: a document meets so many leaders a turn.
-TURNS, LEADERS = 8, 4
 #: Documents that are hashed together, and words remembered, in a task.
 CHUNK, REMEMBERED = 128, 500_000
 #: Ends of the rank levels that darts are thrown on: the last holds 16,384 darts of even one element.
@@ -49,6 +43,20 @@ def _poisson(mean: float) -> np.ndarray:
     return np.minimum(np.cumsum(np.exp(logs)), 1.0)
 
 
+def unit_cells(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An element for each unit of weight: the first keeps its name, the nth is named after n too.
+
+    So weighted sets become plain ones, but for a fraction that the last unit may have.
+    """
+    cells = np.ceil(weights).astype(np.int64)
+    if not len(cells) or cells.max() <= 1:
+        return elements, weights, owner
+    rows = np.repeat(np.arange(len(elements)), cells)
+    cell = np.arange(len(rows)) - np.repeat(np.cumsum(cells) - cells, cells)
+    named = np.where(cell == 0, elements[rows], mixed(elements[rows] + cell.astype(_U) * _U(0x9E3779B97F4A7C15)))
+    return named, np.minimum(weights[rows] - cell, 1.0), owner[rows]
+
+
 class Darts:
     """DartMinHash with k coordinates.
 
@@ -72,11 +80,7 @@ class Darts:
         """
         k = self.k
         sig, full = np.zeros(n * k, np.uint32), np.zeros(n * k, bool)
-        cells = np.ceil(weights).astype(np.int64)
-        if len(cells) and cells.max() > 1:  # a row for each unit of weight
-            rows = np.repeat(np.arange(len(elements)), cells)
-            cell = np.arange(len(rows)) - np.repeat(np.cumsum(cells) - cells, cells)
-            elements, weights, owner = mixed(elements[rows] + cell.astype(_U)), np.minimum(weights[rows] - cell, 1.0), owner[rows]
+        elements, weights, owner = unit_cells(elements, weights, owner)
         partial = bool((weights < 1).any())
         todo = np.zeros(n, bool)
         todo[owner] = True
@@ -149,41 +153,52 @@ def shingles(texts: list[str], size: int, hashes) -> tuple[np.ndarray, np.ndarra
     return total[starts], np.diff(np.append(starts, len(total))), owner[starts]
 
 
-SIGNED = "id long, node binary, n int, bands array<long>, sig binary"
+def weighted_sets(part: list[str], size: int, hashes, counted: bool) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The shingles of texts by text: (elements, bounds of each text, a name for each text's elements).
+
+    If counted, a shingle is an element for each time it occurs, else one. The
+    name is a 128-bit hash; equal ones have equal elements.
+    """
+    import xxhash
+
+    elements, times, owner = shingles(part, size, hashes)
+    if counted:
+        elements, _, owner = unit_cells(elements, times.astype(float), owner)
+    cut = np.searchsorted(owner, np.arange(len(part) + 1))
+    return elements, cut, [xxhash.xxh3_128_digest(elements[a:b].tobytes()) for a, b in zip(cut, cut[1:])]
+
 
+SIGNED = "id long, node binary, n int, bands array<long>"
 
-def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, node, n, bands, sig) per document: node is a 128-bit hash of its set of n shingles, or of the id if it has none.
 
-    Null ids get one from the text, below all others. Every distinct shingle
-    weighs 1, so similarity is that of the sets.
+def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
+    """(id, node, n, bands) per document: node is a 128-bit hash of its n shingles, or of the id if it has none.
+
+    Null ids get one from the text, below all others. A shingle weighs 1, or if
+    counted as often as it occurs.
     """
     darts = Darts(bands * rows)
     salt = mixed(np.arange(1, bands + 1, dtype=_U))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
         hashes = word_hasher()
         for pdf in batches:
             for at in range(0, len(pdf), CHUNK):
                 part = pdf.iloc[at : at + CHUNK]
                 n = len(part)
-                sets, _, owner = shingles(part["text"].tolist(), shingle, hashes)
-                sig = darts.sign(sets, np.ones(len(sets)), owner, n)
-                cut = np.searchsorted(owner, np.arange(n + 1))
+                elements, cut, names = weighted_sets(part["text"].tolist(), shingle, hashes, counted)
+                sizes = np.diff(cut)
+                sig = darts.sign(elements, np.ones(len(elements)), np.repeat(np.arange(n), sizes), n)
                 packed = sig.reshape(n, bands, rows).astype(_U)
                 key = np.broadcast_to(salt, (n, bands)).copy()
                 for r in range(rows):
                     key = mixed(key * _U(3) + packed[:, :, r])
-                sizes = np.diff(cut)
                 yield pd.DataFrame(
                     {
                         "id": part["id"].to_numpy(),
-                        "node": [xxhash.xxh3_128_digest(sets[a:b].tobytes() if a < b else b"id %d" % i) for i, a, b in zip(part["id"], cut, cut[1:])],
+                        "node": [name if m else b"id %d" % i for i, name, m in zip(part["id"], names, sizes, strict=True)],
                         "n": sizes,
                         "bands": [row if m else row[:0] for row, m in zip(key.astype(np.int64), sizes, strict=True)],
-                        "sig": [row.tobytes() for row in sig[:, :SKETCH].astype(np.uint8)],
                     }
                 )
 
@@ -194,25 +209,34 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(internal_id(id_col, text_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """(id, node, shingles) of rows (id, text): the distinct shingles as sorted uint32, and their node as in signed()."""
+def shingle_sets(rows: DataFrame, shingle: int, counted: bool) -> DataFrame:
+    """(id, node, shingles) of rows (id, text): the shingles as uint64 in a row of bytes, and their node as in signed()."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
         hashes = word_hasher()
         for pdf in batches:
             for at in range(0, len(pdf), CHUNK):
                 part = pdf.iloc[at : at + CHUNK]
-                sets, _, owner = shingles(part["text"].tolist(), shingle, hashes)
-                cut = np.searchsorted(owner, np.arange(len(part) + 1))
-                short = (sets >> _U(32)).astype("<u4")
-                node = [xxhash.xxh3_128_digest(sets[a:b].tobytes()) for a, b in zip(cut, cut[1:])]
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "node": node, "shingles": [short[a:b].tobytes() for a, b in zip(cut, cut[1:])]})
+                elements, cut, names = weighted_sets(part["text"].tolist(), shingle, hashes, counted)
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "node": names, "shingles": [elements[a:b].tobytes() for a, b in zip(cut, cut[1:])]})
 
     return rows.mapInPandas(run, "id long, node binary, shingles binary")
 
 
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """(rep, own): how many shingles of a set are in no other one; sets without such have no row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), CHUNK):
+                part = pdf.iloc[at : at + CHUNK]
+                found = [np.frombuffer(x, "<i8") for x in part["shingles"]]
+                yield pd.DataFrame({"rep": np.repeat(part["rep"].to_numpy(), [len(x) for x in found]), "shingle": np.concatenate(found)})
+
+    once = sets.mapInPandas(run, "rep binary, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("rep")).where(F.col("m") == 1)
+    return once.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+
+
 def node_key(id_: Column, node: Column) -> Column:
     """16 bytes that name a node and sort by its smallest id: the id, and a hash that tells nodes with one id apart."""
     digits = lambda x: F.unhex(F.lpad(F.hex(x), 16, "0"))
@@ -229,92 +253,121 @@ def internal_id(id_col: str, text_col: str):
     return F.coalesce(F.col(id_col).cast("long"), made)
 
 
-def verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are at least so similar.
-
-    First by signatures and set sizes, which are small; what passes is compared
-    exactly, set by set.
-    """
-    light = reps.select(F.col("id"), "n", "sig")
-    side = lambda df, s: df.select([F.col(c).alias(s if c == "id" else f"{c}_{s}") for c in df.columns])
-    near = pairs.join(side(light, "a"), "a").join(side(light, "b"), "b")
-    near = near.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
-
-    def agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                left, right = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(len(pdf), -1) for c in ("sig_a", "sig_b"))
-                pdf = pdf[(left == right).mean(1) >= AGREE]
-            yield pdf[["a", "b"]]
-
-    near = spool(near.select("a", "b", "sig_a", "sig_b").mapInPandas(agree, "a binary, b binary"))
+def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) with how many shingles both have, and whether that makes them near copies."""
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ok = np.zeros(len(pdf), bool)
+            common, near = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), bool)
             for i, (x, y) in enumerate(zip(pdf["shingles_a"], pdf["shingles_b"], strict=True)):
-                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 both = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                ok[i] = common >= similarity * (len(x) + len(y) - common)
-            yield pdf.loc[ok, ["a", "b"]]
+                common[i] = (both[1:] == both[:-1]).sum()
+                near[i] = common[i] >= similarity * (len(x) + len(y) - common[i])
+            yield pdf[["a", "b"]].assign(common=common, near=near)
+
+    side = lambda s: sets.select(F.col("rep").alias(s), F.col("shingles").alias(f"shingles_{s}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").mapInPandas(run, "a binary, b binary, common long, near boolean")
 
-    return near.join(side(sets, "a"), "a").join(side(sets, "b"), "b").mapInPandas(compare, "a binary, b binary")
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) of every node that has met a link, after more links (a, b): only what these bring together is gone through."""
+    if links.isEmpty():
+        return labels
+    at = lambda s: labels.select(F.col("node").alias(s), F.col("label").alias(f"label_{s}"))
+    ends = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).where(F.col("a") != F.col("b"))
+    found = components(ends)
+    least = found.select(F.col("node").alias("label"), F.col("label").alias("_least"))
+    old = labels.join(least, "label", "left").select("node", F.coalesce("_least", "label").alias("label"))
+    return spool(old.union(found.join(labels, "node", "left_anti").select("node", "label")))
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+
+def mixed_buckets(placed: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of the buckets that hold several classes, each with its label."""
+    named = placed.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep")).drop("node")
+    several = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") < F.col("high"))
+    return named.join(several.select("band"), "band", "left_semi")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
     """(id, class_id) per document: documents joined by a chain of near copies share a class, named by its smallest id.
 
-    Documents with equal shingle sets are one node, whatever their ids. Nodes that share a band meet
-    in its bucket. Not all pairs of a bucket are formed: its members are first
-    compared with one leader, and linked ones share a class from then on; then
-    only pairs across classes are left, for which a leader is taken again as
-    long as they are many, and all are compared once they are few. So a bucket
-    of thousands of copies costs as many comparisons as members, and no link
-    between two classes is passed over.
+    Near copies have a Jaccard similarity of at least `similarity` between their
+    sets of word shingles; if counted, between these weighted by how often they
+    occur (the sum of the smaller weights by the sum of the larger ones), so
+    that what is said over and over weighs more than what is said once.
+
+    Documents with equal shingles are one node, whatever their ids. Nodes that
+    share a band meet in its bucket; all that are near copies there are found,
+    but not by forming all pairs:
+
+    - a shingle that no other node has is in no intersection, so a node with
+      too many of them for any partner in its bucket leaves it;
+    - every bucket has a leader, the node with the least share of such shingles,
+      which is the one most like the others, and its members are compared with
+      it; linked ones are a class from then on, and only pairs across classes
+      are left. Buckets with several classes get a second leader from another;
+    - of the pairs left, those are compared that may be near copies by what they
+      share with the leader: two nodes have at most the smaller of these parts
+      in common, and of the rest at most the smaller number of shared shingles.
+
+    All three rules are exact. The work does not grow with the square of a group
+    of near copies; it does in a group of texts that are loosely alike through
+    shingles of many, with none linked, which costs a look at each pair.
 
     Documents without words are classes of their own. Rows that share an id
-    share a class, also if their texts differ. Null ids get a negative one made from their text.
+    share a class, also if their texts differ; repeated rows are rows each. Null
+    ids get a negative one made from their text. An empty table gives no rows;
+    other columns are not read.
     """
-    base = spool(signed(docs, id_col, text_col, shingle, bands, rows))
-    nodes = base.groupBy("node").agg(F.min("id").alias("id")).withColumn("key", node_key(F.col("id"), F.col("node")))
-    reps = spool(base.join(nodes, ["node", "id"]).select(F.col("key").alias("id"), "n", "bands", "sig").dropDuplicates(["id"]))
+    share = similarity / (1 + similarity)  # of both sizes, what near copies have in common at least
+    base = spool(signed(docs, id_col, text_col, shingle, bands, rows, counted))
+    nodes = base.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = spool(nodes.select("node", node_key(F.col("id"), F.col("node")).alias("rep"), "n", "bands"))
     several = base.groupBy("id").agg(F.min(F.xxhash64("node")).alias("low"), F.max(F.xxhash64("node")).alias("high")).where(F.col("low") < F.col("high"))
-    shared = base.join(several, "id", "left_semi").join(nodes.select("node", "key"), "node").select("id", "key")
-    edges = spool(shared.join(shared.groupBy("id").agg(F.min("key").alias("a")), "id").where(F.col("a") < F.col("key")).select("a", F.col("key").alias("b")).distinct())
-    met = reps.select(F.explode("bands").alias("band"), F.col("id").alias("rep"))
+    shared = base.join(several, "id", "left_semi").join(nodes.select("node", "rep"), "node").select("id", "rep")
+    same_id = spool(shared.join(shared.groupBy("id").agg(F.min("rep").alias("a")), "id").where(F.col("a") < F.col("rep")).select("a", F.col("rep").alias("b")).distinct())
+    labels = joined(same_id.select(F.col("a").alias("node"), F.col("b").alias("label")).limit(0), same_id)
+
+    met = nodes.select(F.explode("bands").alias("band"), "rep", "n")
     buckets = spool(met.join(met.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("band"), "band"))
-    n_rows = buckets.count()
-    met = buckets.select(id_of(F.col("rep")).alias("id")).distinct()
-    some = texts(docs, id_col, text_col).join(met, "id", "left_semi").withColumn("_md5", F.md5("text")).dropDuplicates(["id", "_md5"])
-    sets = shingle_sets(some.select("id", "text"), shingle).select(node_key(F.col("id"), F.col("node")).alias("id"), "shingles")
-    sets = spool(sets.dropDuplicates(["id"]))
-    label = reps.select(F.col("id").alias("node"), F.col("id").alias("label")).limit(0) if edges.isEmpty() else components(edges)
-    before = float("inf")
-    for turn in range(TURNS):
-        placed = spool(buckets.join(label, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("label", "rep").alias("label")))
-        kinds = placed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("rep", F.pmod("band", F.lit(LEADERS)), F.lit(turn)), F.col("rep"))).alias("lead"))
-        mixed_bands = kinds.groupBy("band").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("pairs"), F.min("lead").alias("lead")).where(F.col("pairs") > 0)
-        mixed_bands = mixed_bands.select("band", "pairs", F.col("lead.rep").alias("lead"))
-        left = float(mixed_bands.agg(F.sum(F.col("pairs") / 2)).first()[0] or 0)
-        if not left:
-            break
-        few = left <= n_rows + 10_000 or left > 0.8 * before or turn == TURNS - 1  # or leaders have done what they can
-        before = left
-        inside = placed.join(mixed_bands, "band")
-        if few:
-            other = inside.select("band", F.col("rep").alias("b"), F.col("label").alias("label_b"))
-            pairs = inside.select("band", F.col("rep").alias("a"), "label").join(other, "band").where(F.col("label") < F.col("label_b"))
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ids = buckets.select(id_of(F.col("rep")).alias("id")).distinct()
+    some = texts(docs, id_col, text_col).join(ids, "id", "left_semi").withColumn("_md5", F.md5("text")).dropDuplicates(["id", "_md5"])
+    sets = shingle_sets(some.select("id", "text"), shingle, counted).select(node_key(F.col("id"), F.col("node")).alias("rep"), "shingles")
+    sets = spool(sets.join(buckets.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]))
+
+    rest = F.col("n") - F.coalesce("own", F.lit(0))
+    placed = buckets.join(own_shingles(sets), "rep", "left").select("band", "rep", "n", rest.alias("rest"), (rest / share - F.col("n") + 1e-6).alias("most"))
+    sizes = placed.groupBy("band").agg(F.min("n").alias("least_n"), F.max("most").alias("largest"))
+    placed = placed.join(sizes, "band").where((F.col("most") >= F.col("least_n")) & (F.col("n") <= F.col("largest"))).drop("least_n", "largest")
+    placed = spool(placed.drop("most"))
+
+    # what is known of a node before it has met a leader: all that it shares may be the leader's, or none
+    placed = placed.withColumns({"lead": F.lit(None).cast("binary"), "in_lead": F.col("rest"), "beside": F.col("rest")})
+    enough = lambda a, b: F.least(f"in_lead{a}", f"in_lead{b}") + F.least(f"beside{a}", f"beside{b}") >= share * (F.col(f"n{a}") + F.col(f"n{b}")) - 1e-6
+    for turn in range(2):
+        placed = spool(mixed_buckets(placed, labels))
+        former = placed.where(F.col("rep") == F.col("lead")).select("band", F.col("label").alias("led"))
+        central = F.struct((1 - F.col("rest") / F.col("n")).alias("own"), F.xxhash64("rep").alias("h"), "rep", "label", "n", "in_lead", "beside")
+        best = placed.join(former, "band", "left").groupBy("band").agg(F.min(F.when(~F.col("label").eqNullSafe(F.col("led")), central)).alias("best"))
+        inside = placed.join(best.select("band", *[F.col(f"best.{c}").alias(f"{c}_2") for c in ("rep", "label", "n", "in_lead", "beside")]), "band")
+        todo = inside.where((F.col("label") != F.col("label_2")) & ~F.col("rep").eqNullSafe(F.col("lead")) & enough("", "_2"))
+        found = spool(compared(todo.select(F.col("rep_2").alias("a"), F.col("rep").alias("b")).distinct(), sets, similarity))
+        labels = joined(labels, found.where("near").select("a", "b"))
+        if turn == 0:
+            known = found.select(F.col("a").alias("lead"), F.col("b").alias("rep"), "common")
+            placed = placed.drop("lead").join(best.select("band", F.col("best.rep").alias("lead")), "band").join(known, ["lead", "rep"], "left")
+            placed = placed.withColumns({"in_lead": F.coalesce("common", "rest"), "beside": F.coalesce(F.col("rest") - F.col("common"), F.col("rest"))}).drop("common", "label")
         else:
-            pairs = inside.where(F.col("rep") != F.col("lead")).select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct()
-        found = verified(pairs, reps, sets, similarity)
-        edges = spool(edges.union(found))
-        label = components(edges)
-        if few:
-            break
-    own = base.select("id", "node").join(nodes.select("node", "key"), "node").select("id", "key")
-    return own.join(label, F.col("key") == F.col("node"), "left").select("id", id_of(F.coalesce("label", "key")).alias("class_id"))
+            placed = inside.where((F.col("rep") != F.col("lead")) & (F.col("rep") != F.col("rep_2"))).select("band", "rep", "n", "in_lead", "beside")
+    placed = spool(mixed_buckets(placed, labels))
+    other = placed.select("band", *[F.col(c).alias(f"{c}_2") for c in ("rep", "label", "n", "in_lead", "beside")])
+    pairs = placed.join(other, "band").where((F.col("label") < F.col("label_2")) & enough("", "_2"))
+    pairs = pairs.select(F.least("rep", "rep_2").alias("a"), F.greatest("rep", "rep_2").alias("b")).distinct()
+    labels = joined(labels, spool(compared(pairs, sets, similarity).where("near").select("a", "b")))
+
+    own = base.select("id", "node").join(nodes.select("node", "rep"), "node").select("id", "rep")
+    return own.join(labels, F.col("rep") == labels["node"], "left").select("id", id_of(F.coalesce("label", "rep")).alias("class_id"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
