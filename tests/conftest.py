@@ -2,6 +2,7 @@ import os
 import sys
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -38,7 +39,7 @@ def duck():
 
 
 def _plain(v):
-    if v is None or v != v:
+    if pd.isna(v) if v is None or pd.api.types.is_scalar(v) else False:
         return "null"
     if isinstance(v, bool) or hasattr(v, "dtype") and v.dtype == bool:
         return str(int(v))
