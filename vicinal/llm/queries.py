@@ -124,6 +124,18 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+ORACLE_SQL["op10_warc_archives"] = """
+WITH sized AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
+-- base32 of the 20 bytes: 32 groups of 5 bits
+bits AS (SELECT page_id, html, sha, string_agg(lpad(bin(('0x' || substr(sha, 2 * i + 1, 2))::INT), 8, '0'), '' ORDER BY i) AS b FROM sized, range(20) t(i) GROUP BY ALL),
+named AS (SELECT page_id, html, sha, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', list_reduce(list_transform(range(1, 6), lambda j: substr(b, 5 * i + j, 1)::INT), lambda x, y: 2 * x + y)::INT + 1, 1), '' ORDER BY i) AS payload_digest
+  FROM bits, range(32) t(i) GROUP BY ALL),
+typed AS (SELECT *, min(page_id) OVER (PARTITION BY sha) AS first FROM named)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN first IS DISTINCT FROM page_id AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM typed
+"""
 QUERIES["op10_warc_archives"] = op10_warc_archives
 
 #: From this score on, a document counts as toxic.

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -19,8 +20,12 @@ from pyspark.sql import functions as F
 from .common import shared_dir
 
 #: Bytes of records that an archive is closed after.
-ARCHIVE_BYTES = 8 << 20
+ARCHIVE_BYTES = 32 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+#: When records are said to be taken; pages carry no date of their own.
+DATE = "2000-01-01T00:00:00Z"
+# Fixed value: the profile of a revisit whose payload has the digest of an earlier record.
+REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -29,26 +34,33 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, kind: str) -> bytes:
-    """One WARC record as a gzip member. A revisit names the record it repeats and has no block."""
+def _line(name: str, value: str | None) -> list[str]:
+    return [] if value is None else [f"{name}: " + value.replace("\r", "%0D").replace("\n", "%0A")]
+
+
+def record(name: str, page_id: str | None, url: str | None, payload: bytes, kind: str, refers_to: str | None = None, refers_url: str | None = None, date: str = DATE) -> bytes:
+    """One WARC record as a gzip member; `name` makes its id, which no other record has.
+
+    A revisit has no block and names the page that it repeats. The tables' ids
+    go in headers of their own (Page-ID, Refers-To-Page-ID): they may be null or
+    repeated, which a record's id may not.
+    """
     block = payload if kind == "response" else b""
-    head = [
-        "WARC/1.1",
-        f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
-        f"WARC-Payload-Digest: sha1:{digest(payload)}",
-        f"WARC-Payload-Length: {len(payload)}",
-        "Content-Type: text/html; charset=utf-8",
-        f"Content-Length: {len(block)}",
-    ]
-    if url is not None:
-        head.insert(3, "WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {date}", *_line("WARC-Target-URI", url), *_line("Page-ID", page_id)]
     if kind == "revisit":
-        head.insert(3, f"WARC-Refers-To: <urn:page:{refers_to}>")
+        head += [f"WARC-Profile: {REVISIT}", *_line("WARC-Refers-To-Target-URI", refers_url), f"WARC-Refers-To-Date: {date}", *_line("Refers-To-Page-ID", refers_to)]
+    head += [f"WARC-Payload-Digest: sha1:{digest(payload)}", f"WARC-Payload-Length: {len(payload)}", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}"]
     packer = zlib.compressobj(1, zlib.DEFLATED, 31)
     return packer.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
+def surt(url: str | None) -> str:
+    """A URL's key in an index: host labels from the last to the first, then the path; `-` without one."""
+    host, slash, path = (url or "").partition("://")[2].partition("/")
+    host = host.rpartition("@")[2].partition(":")[0].lower()
+    return re.sub(r"\s", "%20", f"{','.join(reversed(host.split('.')))}){slash}{path}") if host else "-"
+
+
 def parse(member: bytes) -> dict:
     """Headers of a gzip-packed record, with its block under `block`."""
     raw = zlib.decompress(member, 31)
@@ -149,7 +161,7 @@ class ZipRanges:
 
 
 def typed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, spread_n: int = 32) -> DataFrame:
-    """(page_id, url, html, record_type, refers_to): the first page of equal payloads is the response.
+    """(page_id, url, html, record_type, refers_to, refers_url): the first page of equal payloads is the response.
 
     First means smallest id; null ids come last and repeated rows of the first
     page are responses each. Payloads under `least` bytes are all responses. The
@@ -159,20 +171,22 @@ def typed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
     html = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html")).withColumn("_sha", F.unhex(F.sha1(F.encode("html", "utf-8"))))
     rows = rows.withColumn("_sha", F.when(F.octet_length("html") >= least, F.col("_sha")))
-    first = rows.where(F.col("_sha").isNotNull()).groupBy("_sha").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    known = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
+    first = rows.where(F.col("_sha").isNotNull()).groupBy("_sha").agg(F.min(known).alias("_first"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
     first = first.select("_sha", "_first", F.explode(F.sequence(F.lit(0), F.lit(spread_n - 1))).alias("_part"))
     part = F.pmod(F.xxhash64("page_id", "url"), F.lit(spread_n)).cast("int")
     joined = rows.withColumn("_part", part).join(first, ["_sha", "_part"], "left")
-    again = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    return joined.select("page_id", "url", "html", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_first")).alias("refers_to"))
+    again = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first.page_id"))
+    return joined.select("page_id", "url", "html", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_first.page_id")).alias("refers_to"), F.when(again, F.col("_first.url")).alias("refers_url"))
 
 
 def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write records (see typed()) as ZIP files under path, on any file system that Spark writes to.
+    """Write records (see typed()) as ZIP files in the folder path, on any file system that Spark writes to.
 
     Each archive is one row, so a task holds archive_bytes and one more record.
-    The text writer puts the bytes down as they are, one file an archive.
+    The text writer puts the bytes down as they are, one file a row.
     """
+    folder = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -181,16 +195,17 @@ def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_B
 
         def archive() -> pd.DataFrame:
             nonlocal n, data, entries, size
+            entries.sort()
             out = pack_zip([(DATA, b"".join(data)), (INDEX, "".join(entries).encode())])
-            frame = pd.DataFrame({"archive": [f"{task:06d}-{n:06d}"], "content": [out]})
             n, data, entries, size = n + 1, [], [], 0
-            return frame
+            return pd.DataFrame({"content": [out]})
 
         data, entries, size = [], [], 0
+        given = lambda x: None if pd.isna(x) else x
         for pdf in batches:
-            for page, url, html, kind, refers in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["record_type"], pdf["refers_to"], strict=True):
-                raw = record(None if pd.isna(page) else int(page), None if pd.isna(url) else url, html.encode("utf-8", "surrogatepass"), None if pd.isna(refers) else int(refers), kind)
-                entries.append(f"page:{page} 20000101000000 {json.dumps({'offset': size, 'length': len(raw), 'filename': DATA})}\n")
+            for page, url, html, kind, refers, refers_url in zip(*(pdf[c] for c in ("page_id", "url", "html", "record_type", "refers_to", "refers_url")), strict=True):
+                raw = record(f"{folder}/{task}/{n}/{len(data)}", given(page), given(url), html.encode("utf-8", "surrogatepass"), kind, given(refers), given(refers_url))
+                entries.append(f"{surt(given(url))} {re.sub('[^0-9]', '', DATE)} {json.dumps({'offset': size, 'length': len(raw), 'filename': DATA})}\n")
                 data.append(raw)
                 size += len(raw)
                 if size >= archive_bytes:
@@ -198,41 +213,68 @@ def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_B
         if data:
             yield archive()
 
-    rows = records.select("page_id", "url", "html", "record_type", "refers_to")
-    zipped = rows.mapInPandas(run, "archive string, content binary")
-    zipped.select("archive", F.col("content").cast("string").alias("value")).write.partitionBy("archive").option("lineSep", "\n").text(path)
+    # ids travel as text: pandas would make floats of long ids beside null ones
+    rows = records.select(F.col("page_id").cast("string"), "url", "html", "record_type", F.col("refers_to").cast("string"), "refers_url")
+    zipped = rows.mapInPandas(run, "content binary")
+    zipped.select(F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
+
+
+def opener(path: str) -> tuple[str, str] | None:
+    """What pyarrow's file systems read a folder by, (uri, its name there); None if they can't open it."""
+    from pyarrow import fs
+
+    uri = path if "://" in path else path.replace("file:", "file://", 1)
+    try:
+        system, name = fs.FileSystem.from_uri(uri)
+        return (uri, name) if system.get_file_info(name).type != fs.FileType.NotFound else None
+    except (OSError, ValueError):
+        return None
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record of the archives under path.
 
-    Spark's reader fetches each archive (bounded by its writer); within it the
-    directory, the index and each record are read by their ranges. For larger
-    files on a mounted path, ZipRanges(open(path, "rb")) reads only the ranges.
+    Spark lists the files; tasks open them by pyarrow's file systems and read the
+    directory, the index and each record by their ranges. In a store that only
+    Spark's readers open, a file's bytes come from those, and ranges are taken
+    of them: such an archive must fit in a task, as its writer sees to.
     """
+    ranged = opener(path) is not None
+
+    def rows_of(file: BinaryIO) -> pd.DataFrame:
+        rows = []
+        for r in ZipRanges(file).records():
+            kind, length = r["WARC-Type"], int(r["WARC-Payload-Length"])
+            stated = r["WARC-Payload-Digest"].removeprefix("sha1:")
+            if kind == "response" and (len(r["block"]) != length or digest(r["block"]) != stated):
+                raise ValueError(f"record {r['WARC-Record-ID']} doesn't have the payload it states")
+            rows.append((r.get("Page-ID"), length, stated, kind, r.get("Refers-To-Page-ID")))
+        return pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        page = lambda x: int(x[10:-1]) if x and x[10:-1] else None
+        from pyarrow import fs
+
         for pdf in batches:
-            for content in pdf["content"]:
-                rows = []
-                for r in ZipRanges(io.BytesIO(content)).records():
-                    kind, length = r["WARC-Type"], int(r["WARC-Payload-Length"])
-                    stated = r["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if kind == "response" and (len(r["block"]) != length or digest(r["block"]) != stated):
-                        raise ValueError(f"record {r['WARC-Record-ID']} doesn't have the payload it states")
-                    rows.append((page(r["WARC-Record-ID"]), length, stated, kind, page(r.get("WARC-Refers-To"))))
-                yield pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
+            if ranged:
+                for at in pdf["path"]:
+                    system, name = fs.FileSystem.from_uri(at if "://" in at else at.replace("file:", "file://", 1))
+                    with system.open_input_file(name) as file:
+                        yield rows_of(file)
+            else:
+                for content in pdf["content"]:
+                    yield rows_of(io.BytesIO(content))
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
-    return files.select("content").mapInPandas(run, RECORDS)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path" if ranged else "content")
+    found = files.mapInPandas(run, RECORDS.replace("page_id long", "page_id string").replace("refers_to long", "refers_to string"))
+    return found.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> DataFrame:
     """Write a record per page to archives in the shared folder and read them back.
 
-    A null payload is empty; null URLs have no target line; an empty table
-    gives no archives and no rows; other columns are not read.
+    A null payload is empty; null URLs have no target line; ties and repeated
+    rows are as in typed(); an empty table gives no archives and no rows; other
+    columns are not read.
     """
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
