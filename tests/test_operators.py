@@ -34,7 +34,7 @@ def found(df):
 CLUSTERED = [((i * 7919) % 131, (i * 6151) % 127) for i in range(150)] + [(90000 + (i * 37) % 4001, 110000 + (i * 91) % 3001) for i in range(150)]
 
 
-@pytest.mark.parametrize("strategy", ["nested_loop", "rings", "leaves"])
+@pytest.mark.parametrize("strategy", ["nested_loop", "rings", "pruned"])
 @pytest.mark.parametrize("k", [1, 5, 400])
 def test_join_strategies_equal_brute_force(spark, strategy, k):
     outer = [(0, 0), (131071, 131071), (60000, 60000), (91000, 111000), (50, 60)]
@@ -44,25 +44,90 @@ def test_join_strategies_equal_brute_force(spark, strategy, k):
 
 def test_neighbour_across_a_block_border(spark):
     outer, inner = [(1, 0.5)], [(-1 + 1, 0.001), (3.001, 0.5)]
-    got = join.knn_join(side(spark, outer, "s"), side(spark, inner, "c"), 1, "leaves")
+    got = join.knn_join(side(spark, outer, "s"), side(spark, inner, "c"), 1)
     assert found(got) == brute(outer, inner, 1)
 
 
 def test_outer_points_out_of_the_world(spark):
     outer = [(-50, -50), (200000, 200000)]
-    got = join.knn_join(side(spark, outer, "s"), side(spark, CLUSTERED, "c"), 3, "rings")
+    got = join.knn_join(side(spark, outer, "s"), side(spark, CLUSTERED, "c"), 3)
     assert found(got) == brute(outer, CLUSTERED, 3)
 
 
+ODD_INNER = [(0, 5.0, 5.0), (1, None, 5.0), (2, 6.0, None), (3, float("nan"), 1.0), (4, -40.0, 7.0), (5, 3e6, -2e6), (6, 5.0, 5.0)]
+ODD_OUTER = [(1, 4.0, 5.0), (1, 2.9e6, -2e6), (None, -39.0, 7.0), (None, 100.0, 0.0), (2, None, 1.0), (3, 5.0, 5.0), (3, 5.0, 5.0)]
+
+
+@pytest.mark.parametrize("strategy", ["nested_loop", "rings", "pruned"])
+def test_null_places_repeated_keys_and_points_anywhere(spark, strategy):
+    outer = Side(spark.createDataFrame(ODD_OUTER, "s_key long, s_x double, s_y double"), "s_key", "s_x", "s_y")
+    inner = Side(spark.createDataFrame(ODD_INNER, "c_key long, c_x double, c_y double"), "c_key", "c_x", "c_y")
+    got = sorted((str(r["s_key"]), r["s_x"], r["c_key"], r["rn"]) for r in join.knn_join(outer, inner, 2, strategy).collect())
+    good, want = [(j, a, b) for j, a, b in ODD_INNER if a is not None and b is not None and a == a], []
+    for i, x, y in ODD_OUTER:
+        if x is not None:
+            want += [(str(i), x, j, r + 1) for r, (_, j) in enumerate(sorted((math.hypot(x - a, y - b), j) for j, a, b in good)[:2])]
+    assert got == sorted(want)
+    nothing = Side(inner.df.where("false"), "c_key", "c_x", "c_y")
+    assert join.knn_join(outer, nothing, 2, strategy).count() == 0
+    assert join.knn_join(Side(outer.df.where("false"), "s_key", "s_x", "s_y"), inner, 2, strategy).count() == 0
+    assert {r["c_key"] for r in select.nearest(inner.df, 10, (0.0, 0.0), "c_x", "c_y", "c_key").collect()} == {0, 4, 5, 6}
+
+
+def test_plans_of_joins_agree_and_differ(spark):
+    outer, inner = side(spark, [(0, 0), (60000, 60000), (91000, 111000), (50, 60), (131000, 3)], "s"), side(spark, CLUSTERED, "c")
+    qualify = lambda keys: keys.where("c_key % 7 = 0")
+    kept = [p for i, p in enumerate(CLUSTERED) if i % 7 == 0]
+    where = [(0, 0), (60000, 60000), (91000, 111000), (50, 60), (131000, 3)]
+    q = {(s, 7 * c, r) for s, c, r in brute(where, kept, 6)}
+    p = {x for x in brute(where, CLUSTERED, 6) if x[1] % 7 == 0}
+    assert found(join.q_relational_first(outer, inner, qualify, 6)) == q == found(join.q_knn_first(outer, inner, qualify, 6))
+    assert found(join.p_relational_first(outer, inner, qualify, 6)) == p == found(join.p_knn_first(outer, inner, qualify, 6))
+    asked = []
+    seen = lambda keys: asked.append(keys.count()) or qualify(keys)
+    join.p_knn_first(outer, inner, seen, 6), join.p_relational_first(outer, inner, seen, 6)
+    assert asked[0] <= 30 and asked[1] == len(CLUSTERED)  # only what was found, or all
+
+
+def test_a_dense_cluster_costs_no_more_than_spread_points(spark):
+    """Few cells and points are looked at, though nearly all points are in one place and outer rows are far from it."""
+    n = 20_000
+    at = lambda c, m: (F.col("id") * c) % m
+    df = spark.range(n).select(F.col("id").alias("c_key"), (at(7919, 331) / 10 + 50_000).alias("c_x"), (at(6151, 337) / 10 + 70_000).alias("c_y"))
+    inner = Side(df, "c_key", "c_x", "c_y")
+    rows = spark.createDataFrame([(i, 50_000.0 + i, 70_000.0 + i % 7) for i in range(30)] + [(30, 1.0, 1.0)], "s_key long, s_x double, s_y double").withColumn("_row", F.col("s_key")).withColumn("_group", F.lit(0))
+    cells = join.Cells(Side(df.withColumn("_group", F.lit(0)), "c_key", "c_x", "c_y"), (0.0, 0.0, tables.WORLD), "_group", 64, 2)
+    looked = cells.reached(rows, "s_x", "s_y", 5).join(cells.points, ["_group", "_cell"]).groupBy("_row").count().agg(F.max("count")).first()[0]
+    assert looked < 2_000
+    got = {(r["s_key"], r["d"]) for r in join.knn_join(Side(rows.drop("_row", "_group"), "s_key", "s_x", "s_y"), inner, 1).collect()}
+    places = df.collect()
+    for s, d in got:
+        x, y = (1.0, 1.0) if s == 30 else (50_000.0 + s, 70_000.0 + s % 7)
+        assert d == min(math.sqrt((x - r["c_x"]) ** 2 + (y - r["c_y"]) ** 2) for r in places)
+
+
+def test_joins_under_a_limit_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(join, "RANGE_ROWS", 30)
+    outer = spark.createDataFrame([(i, float((i * 977) % 130_000), float((i * 331) % 130_000), None if i == 3 else float((i * 37) % 320 - 10)) for i in range(40)], "s_key long, s_x double, s_y double, s_b double")
+    inner = spark.createDataFrame([(i, float(x), float(y), None if i == 5 else float(i * 53 % 300)) for i, (x, y) in enumerate(CLUSTERED)], "c_key long, c_x double, c_y double, c_b double")
+    got = join.below(Side(outer, "s_key", "s_x", "s_y"), Side(inner, "c_key", "c_x", "c_y"), 4, "c_b", "s_b")
+    want, rows = set(), [tuple(r) for r in inner.collect()]
+    for s, x, y, b in (tuple(r) for r in outer.collect()):
+        if b is not None:
+            near = sorted((math.hypot(x - a, y - c), j) for j, a, c, v in rows if v is not None and v < b)[:4]
+            want |= {(s, j, r + 1) for r, (_, j) in enumerate(near)}
+    assert found(got) == want
+
+
 def test_ties_all_keeps_equal_distances(spark):
-    got = join.knn_join(side(spark, [(10, 10)], "s"), side(spark, [(10, 11), (11, 10), (9, 10), (50, 50)], "c"), 1, "rings", "all")
+    got = join.knn_join(side(spark, [(10, 10)], "s"), side(spark, [(10, 11), (11, 10), (9, 10), (50, 50)], "c"), 1, ties="all")
     assert {r["c_key"] for r in got.collect()} == {0, 1, 2}
 
 
 def test_empty_inner_and_kept_outers(spark):
     outer = side(spark, [(1, 1), (2, 2)], "s")
     nothing = outer.df.select(F.col("s_key").alias("c_key")).where("false")
-    got = join.q_join(outer, side(spark, CLUSTERED, "c"), nothing, 5)
+    got = join.q_relational_first(outer, side(spark, CLUSTERED, "c"), lambda keys: nothing, 5)
     assert got.count() == 0
     assert join.keep_empty(got.select("s_key", "c_key", "d"), outer).count() == 2
 
@@ -149,7 +214,6 @@ def test_planner_takes_the_cheaper_plan():
     assert planner.choose((10.0, 10.0)) == planner.RELATIONAL_FIRST
     assert planner.choose((10.0, 9.0)) == planner.KNN_FIRST
     assert planner.select_costs("P", s, 8, 2, 40) == (2 * 500 + 25 * 5.0, 40 + 80.0)
-    assert planner.uniform_selectivity(-999.99) == 0.0 and planner.uniform_selectivity(9999.99) == 1.0
 
 
 def test_text_and_binary_sources(spark, tmp_path):

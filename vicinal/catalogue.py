@@ -116,6 +116,19 @@ def inner_side(spark: SparkSession, d: str) -> Side:
     return Side(tables.customers(spark, d).select("c_custkey", "c_x", "c_y"), "c_custkey", "c_x", "c_y")
 
 
+def cheap_of(spark: SparkSession, d: str):
+    """Of customers, those with more than MORE_THAN orders under PRICE: only these customers' orders are counted."""
+    return lambda keys: predicates.by_order_count(keys, tables.orders(spark, d).join(keys, F.col("o_custkey") == F.col("c_custkey"), "left_semi"), MORE_THAN, PRICE)
+
+
+def counted_of(spark: SparkSession, d: str):
+    return lambda keys: predicates.by_order_count(keys, tables.orders(spark, d).join(keys, F.col("o_custkey") == F.col("c_custkey"), "left_semi"), MANY)
+
+
+def late_of(spark: SparkSession, d: str):
+    return lambda keys: predicates.by_late_count(keys, tables.items(spark, d), tables.orders(spark, d), LATE_UNDER)
+
+
 def cheap_keys(spark: SparkSession, d: str) -> DataFrame:
     return predicates.by_order_count(tables.customers(spark, d), tables.orders(spark, d), MORE_THAN, PRICE)
 
@@ -239,18 +252,24 @@ def add_joins(names: dict[str, str], sql: str, run) -> None:
         query(name, sql)(lambda spark, d, strategy=strategy: shown(run(spark, d, strategy)))
 
 
-add_joins({"knn_join_plain_naive": "nested_loop", "knn_join_plain_pruned": "leaves", "knn_join_plain_rings": "rings"}, PLAIN_JOIN, lambda spark, d, how: join.knn_join(outer_side(spark, d), inner_side(spark, d), K_JOIN, how))
-add_joins({"knn_join_p_relfirst": "leaves", "knn_join_p_knnfirst": "rings"}, P_JOIN, lambda spark, d, how: join.p_join(outer_side(spark, d), inner_side(spark, d), cheap_keys(spark, d), K_JOIN, how))
-add_joins({"knn_join_q_relfirst": "rings", "knn_join_q_knnfirst": "leaves"}, Q_JOIN, lambda spark, d, how: join.q_join(outer_side(spark, d), inner_side(spark, d), cheap_keys(spark, d), K_JOIN, how))
+add_joins({"knn_join_plain_naive": "nested_loop", "knn_join_plain_pruned": "pruned", "knn_join_plain_rings": "rings"}, PLAIN_JOIN, lambda spark, d, how: join.knn_join(outer_side(spark, d), inner_side(spark, d), K_JOIN, how))
+#: The plans of a join by level and choice.
+PLANS = {
+    ("P", planner.RELATIONAL_FIRST): join.p_relational_first,
+    ("P", planner.KNN_FIRST): join.p_knn_first,
+    ("Q", planner.RELATIONAL_FIRST): join.q_relational_first,
+    ("Q", planner.KNN_FIRST): join.q_knn_first,
+}
+for _level, _sql in (("P", P_JOIN), ("Q", Q_JOIN)):
+    _names = {f"knn_join_{_level.lower()}_relfirst": planner.RELATIONAL_FIRST, f"knn_join_{_level.lower()}_knnfirst": planner.KNN_FIRST}
+    add_joins(_names, _sql, lambda spark, d, plan, level=_level: PLANS[level, plan](outer_side(spark, d), inner_side(spark, d), cheap_of(spark, d), K_JOIN))
 
 
 def _auto(level: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         s = planner.statistics(tables.customers(spark, d), tables.orders(spark, d), PRICE, MORE_THAN)
         plan = planner.for_join(level, *trees(spark, d), s, K_JOIN, step=10)
-        do = join.p_join if level == "P" else join.q_join
-        how = "leaves" if (plan == planner.KNN_FIRST) == (level == "Q") else "rings"
-        return shown(do(outer_side(spark, d), inner_side(spark, d), cheap_keys(spark, d), K_JOIN, how))
+        return shown(PLANS[level, plan](outer_side(spark, d), inner_side(spark, d), cheap_of(spark, d), K_JOIN))
 
     return run
 
@@ -261,7 +280,7 @@ query("knn_join_q_auto", Q_JOIN)(_auto("Q"))
 
 @query("knn_join_q13_p", f"WITH {CUSTOMER}, {SUPPLIER}, {COUNTED} SELECT * FROM ({ranked_sql('s, c')}) WHERE c_custkey IN (SELECT o_custkey FROM mq)")
 def _(spark, d):
-    return shown(join.p_join(outer_side(spark, d), inner_side(spark, d), counted_keys(spark, d), K_JOIN))
+    return shown(join.p_relational_first(outer_side(spark, d), inner_side(spark, d), counted_of(spark, d), K_JOIN))
 
 
 Q13_Q = f"WITH {CUSTOMER}, {SUPPLIER}, {COUNTED} {ranked_sql('s, (SELECT * FROM c WHERE c_custkey IN (SELECT o_custkey FROM mq))')}"
@@ -269,12 +288,12 @@ Q13_Q = f"WITH {CUSTOMER}, {SUPPLIER}, {COUNTED} {ranked_sql('s, (SELECT * FROM
 
 @query("knn_join_q13_q_locality", Q13_Q)
 def _(spark, d):
-    return shown(join.q_join(outer_side(spark, d), inner_side(spark, d), counted_keys(spark, d), K_JOIN, "leaves"))
+    return shown(join.q_knn_first(outer_side(spark, d), inner_side(spark, d), counted_of(spark, d), K_JOIN))
 
 
 @query("knn_join_q13_q_materialized", Q13_Q)
 def _(spark, d):
-    return shown(join.q_join(outer_side(spark, d), inner_side(spark, d), counted_keys(spark, d), K_JOIN, "rings", materialise=True))
+    return shown(join.q_relational_first(outer_side(spark, d), inner_side(spark, d), counted_of(spark, d), K_JOIN))
 
 
 Q21_Q = f"WITH {CUSTOMER}, {SUPPLIER}, {LATE}, {LATE_KEYS} {ranked_sql('c, (SELECT * FROM s WHERE s_suppkey IN (SELECT s_suppkey FROM lq))', K_JOIN, 'c_custkey', 's_suppkey')}"
@@ -282,12 +301,12 @@ Q21_Q = f"WITH {CUSTOMER}, {SUPPLIER}, {LATE}, {LATE_KEYS} {ranked_sql('c, (SELE
 
 @query("knn_join_q21_q_locality", Q21_Q)
 def _(spark, d):
-    return shown(join.q_join(inner_side(spark, d), outer_side(spark, d), late_keys(spark, d), K_JOIN, "leaves", materialise=True), "c_custkey", "s_suppkey")
+    return shown(join.q_knn_first(inner_side(spark, d), outer_side(spark, d), late_of(spark, d), K_JOIN), "c_custkey", "s_suppkey")
 
 
 @query("knn_join_q21_q_materialized", Q21_Q)
 def _(spark, d):
-    return shown(join.q_join(inner_side(spark, d), outer_side(spark, d), late_keys(spark, d), K_JOIN, "rings", materialise=True), "c_custkey", "s_suppkey")
+    return shown(join.q_relational_first(inner_side(spark, d), outer_side(spark, d), late_of(spark, d), K_JOIN), "c_custkey", "s_suppkey")
 
 
 THETA = f"WITH {CUSTOMER}, {SUPPLIER} {ranked_sql('s JOIN c ON c_acctbal < s_acctbal')}"
@@ -299,24 +318,22 @@ def _theta_sides(spark: SparkSession, d: str) -> tuple[Side, Side]:
 
 @query("knn_join_theta_locality", THETA)
 def _(spark, d):
-    return shown(join.rings(*_theta_sides(spark, d), K_JOIN, on=F.col("c_acctbal") < F.col("s_acctbal")))
+    return shown(join.below(*_theta_sides(spark, d), K_JOIN, "c_acctbal", "s_acctbal"))
 
 
 @query("knn_join_theta_relational", THETA)
 def _(spark, d):
-    return shown(join.knn_join(*_theta_sides(spark, d), K_JOIN, "nested_loop", on=F.col("c_acctbal") < F.col("s_acctbal")))
+    outer, inner = _theta_sides(spark, d)
+    return shown(join.theta_relational(outer, inner, K_JOIN, "c_acctbal", "s_acctbal"))
 
 
 @query("knn_join_theta_hybrid", THETA)
 def _(spark, d):
     outer, inner = _theta_sides(spark, d)
-    n, cap = inner.rows(), quadtree.CAPACITY
-    sel = F.least(F.greatest((F.col("s_acctbal") + 999.99) / 10999.98, F.lit(1e-9)), F.lit(1.0))
-    by_place = sel * n / cap > F.lit(K_JOIN) / (sel * cap)
-    on = F.col("c_acctbal") < F.col("s_acctbal")
+    by_place = planner.prefers_locality(planner.uniform_selectivity(F.col("s_acctbal")), inner.rows(), K_JOIN)
     near = Side(outer.df.where(by_place), outer.key, outer.x, outer.y)
     rest = Side(outer.df.where(~by_place), outer.key, outer.x, outer.y)
-    return shown(join.rings(near, inner, K_JOIN, on=on)).unionByName(shown(join.knn_join(rest, inner, K_JOIN, "nested_loop", on=on)))
+    return shown(join.below(near, inner, K_JOIN, "c_acctbal", "s_acctbal")).unionByName(shown(join.theta_relational(rest, inner, K_JOIN, "c_acctbal", "s_acctbal")))
 
 
 COARSE_C = "c AS (SELECT c_custkey, floor(c_x / 4000) * 4000 AS c_x, floor(c_y / 4000) * 4000 AS c_y FROM c0)"
@@ -326,10 +343,10 @@ COARSE_S = "s AS (SELECT s_suppkey, floor(s_x / 4000) * 4000 AS s_x, floor(s_y /
 @query("knn_join_ties_all", f"WITH {CUSTOMER.replace('c AS', 'c0 AS', 1)}, {SUPPLIER.replace('s AS', 's0 AS', 1)}, {COARSE_C}, {COARSE_S} {ranked_sql('s, c', ties=True)}")
 def _(spark, d):
     coarse = lambda side: Side(side.df.withColumns({a: (F.floor(F.col(a) / 4000) * 4000).cast("double") for a in (side.x, side.y)}), side.key, side.x, side.y)
-    return shown(join.knn_join(coarse(outer_side(spark, d)), coarse(inner_side(spark, d)), K_JOIN, "rings", "all"))
+    return shown(join.knn_join(coarse(outer_side(spark, d)), coarse(inner_side(spark, d)), K_JOIN, ties="all"))
 
 
-@query("result_strings")
+@query("result_strings", f"WITH {CUSTOMER}, {SUPPLIER} SELECT r.s_suppkey, s_x::VARCHAR || ',' || s_y::VARCHAR || ': ' || string_agg(dd || ' - ', '' ORDER BY d DESC) AS line FROM (SELECT s_suppkey, d, CASE WHEN d = floor(d) THEN d::VARCHAR ELSE d::VARCHAR END AS dd FROM ({ranked_sql('s, c')})) r JOIN s USING (s_suppkey) GROUP BY r.s_suppkey, s_x, s_y")
 def _(spark, d):
     outer = outer_side(spark, d)
     return join.as_strings(join.knn_join(outer, inner_side(spark, d), K_JOIN), outer)

@@ -1,11 +1,16 @@
 """The k nearest inner points of every outer point.
 
-Joins are exact and need no cross product. `rings` looks for an outer point's
-neighbours in the 3 x 3 cells around it, at a level at which a cell should hold
-enough; what lies within one cell's width is surely seen, so a point whose kth
-neighbour is that near is done, and the others go on to a coarser level. `leaves`
-joins quadtree leaves with the leaves that can hold a neighbour, found from cell
-counts by equi-joins. Either costs what lies near the outer points.
+Joins are exact and need no cross product. Inner points are counted in the cells
+of a quadtree; every outer row goes down from the root, round by round, and
+keeps the cells that can hold one of its k nearest: those no farther than the
+farthest corner of the nearest cells that hold k points. Only points of the last
+cells are looked at. So an outer row costs some cells a level and some points,
+wherever it lies and however dense the points are.
+
+Rows without both coordinates have no neighbours and are nobody's neighbour.
+Outer rows are told apart, also if they share a key or have none. Ties go by
+inner key, or all stay; repeated inner rows are rows each. Points may lie
+anywhere: the root covers all of them. An empty side gives no rows.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,10 +27,16 @@ from ..functions import geometry as g
 from ..sources.tables import WORLD
 from . import quadtree
 
-#: Largest k that the rank filter is pushed below the window's sort for.
-GROUP_LIMIT = 200_000
 #: Outer rows up to which a nested loop is taken: what it sends to every executor.
 NESTED_ROWS = 10_000
+#: Parts that the uppermost cells are met in, as all outer rows begin there; and the level from which cells are many.
+PARTS, MANY_FROM = 32, 6
+#: Levels that cells are counted on at least.
+FIRST_LEVELS = 6
+#: Rounds in one statement.
+ROUNDS = 5
+#: Rows that a range of values holds at about, for joins by a condition on values.
+RANGE_ROWS = 1_000
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -42,8 +54,11 @@ def _cut(df: DataFrame) -> DataFrame:
 
 
 def best_k(pairs: DataFrame, outer_key: str, inner_key: str, k: int, ties: str = "break") -> DataFrame:
-    """The k nearest pairs of every outer key, with rn from 1. ties: `break` by inner key, or `all` (rank)."""
-    pairs.sparkSession.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", GROUP_LIMIT)
+    """The k nearest pairs of every outer key, with rn from 1. ties: `break` by inner key, or `all` (rank).
+
+    Sessions that take k above 1,000 set spark.sql.optimizer.windowGroupLimitThreshold
+    to it, so that the limit is pushed below the window's sort.
+    """
     order = ["d", inner_key] if ties == "break" else ["d"]
     rank = (F.row_number() if ties == "break" else F.rank()).over(Window.partitionBy(outer_key).orderBy(*order))
     return pairs.withColumn("rn", rank).where(F.col("rn") <= k)
@@ -58,6 +73,11 @@ class Side:
     def where(self, keys: DataFrame) -> Side:
         return Side(self.df.join(keys, self.key, "left_semi"), self.key, self.x, self.y)
 
+    def located(self) -> Side:
+        """Without the rows that lack a coordinate."""
+        ok = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+        return Side(self.df.where(ok(self.x) & ok(self.y)), self.key, self.x, self.y)
+
     def rows(self) -> int:
         return self.df.count()
 
@@ -68,111 +88,235 @@ def _distance(outer: Side, inner: Side) -> Column:
 
 def nested_loop(outer: Side, inner: Side, k: int, ties: str = "break", on: Column | None = None) -> DataFrame:
     """Every inner row against every outer row; for few outer rows, which the caller has counted."""
-    pairs = inner.df.join(F.broadcast(outer.df), on if on is not None else F.lit(True))
-    return best_k(pairs.withColumn("d", _distance(outer, inner)), outer.key, inner.key, k, ties)
+    outer, inner = outer.located(), inner.located()
+    rows = _cut(outer.df.withColumn("_row", F.monotonically_increasing_id()))
+    pairs = inner.df.join(F.broadcast(rows), on if on is not None else F.lit(True))
+    return best_k(pairs.withColumn("d", _distance(outer, inner)), "_row", inner.key, k, ties).drop("_row")
 
 
-def rings(outer: Side, inner: Side, k: int, ties: str = "break", on: Column | None = None, world: float = WORLD, deepest: int = 16) -> DataFrame:
-    """Neighbours from growing rings of cells; `on` is a condition on outer and inner columns together."""
-    n = inner.rows()
-    level = max(0, min(deepest, math.floor(math.log(max(n / (2 * k), 1), 4))))
-    left, done = outer.df, []
-    while True:
-        width = world / 2**level
-        last = F.lit(2**level - 1)  # points out of the world go to the cells on its border
-        at = lambda side, level=level, last=last: tuple(F.least(g.cell(F.col(a), level, world), last) for a in (side.x, side.y))
-        ox, oy = at(outer)
-        steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in ((-1, 0, 1) if level else (0,)) for b in ((-1, 0, 1) if level else (0,))]))
-        around = left.withColumns({"_ox": ox, "_oy": oy}).withColumn("_s", steps).withColumns({"_cx": F.col("_ox") + F.col("_s.a"), "_cy": F.col("_oy") + F.col("_s.b")}).drop("_ox", "_oy", "_s")
-        ix, iy = at(inner)
-        pairs = around.join(inner.df.withColumns({"_cx": ix, "_cy": iy}), ["_cx", "_cy"]).drop("_cx", "_cy")
-        if on is not None:
-            pairs = pairs.where(on)
-        found = best_k(pairs.withColumn("d", _distance(outer, inner)), outer.key, inner.key, k, ties)
-        if level == 0:
-            done.append(found)
-            return quadtree.union(done)
-        found = _cut(found)
-        # only points inside see all that is near in the cells around them
-        inside = (F.col(outer.x) >= 0) & (F.col(outer.x) < world) & (F.col(outer.y) >= 0) & (F.col(outer.y) < world)
-        enough = found.where(inside).groupBy(outer.key).agg(F.count(F.lit(1)).alias("_n"), F.max("d").alias("_far")).where((F.col("_n") >= k) & (F.col("_far") < width)).select(outer.key)
-        done.append(found.join(enough, outer.key, "left_semi"))
-        left = _cut(left.join(enough, outer.key, "left_anti"))
-        if left.isEmpty():
-            return quadtree.union(done)
-        level = max(0, level - 2)
-
-
-def near_leaves(outer_leaves: DataFrame, inner_cells: DataFrame, inner_leaves: DataFrame, k: int, levels: int = quadtree.LEVELS, world: float = WORLD) -> DataFrame:
-    """(outer_leaf, inner_leaf): every inner leaf that can hold one of the k nearest of a point of the outer leaf.
-
-    The smallest cell over the outer leaf with k inner points bounds how far a
-    kth neighbour is: its farthest corner. Leaves that near are met within two
-    cells around it, by cell numbers; all joins are equi-joins.
+def bounds(*sides: Side) -> tuple[float, float, float]:
+    """(low x, low y, width) of a box over all points: the world if that holds them."""
+    found = [s.df.agg(F.min(s.x), F.max(s.x), F.min(s.y), F.max(s.y)).first() for s in sides]
+    known = [tuple(float(v) for v in r) for r in found if r[0] is not None]
+    x0, x1, y0, y1 = (f(r[i] for r in known) if known else 0.0 for i, f in enumerate((min, max, min, max)))
+    if x0 >= 0 and y0 >= 0 and max(x1, y1) < WORLD:
+        return 0.0, 0.0, WORLD
+    return x0, y0, max(x1 - x0, y1 - y0, 1e-300) * (1 + 1e-9)
+
+
+class Cells:
+    """Counts of inner points in the cells of every step-th level, by group, and the points with their last cell.
+
+    A cell with more than `capacity` points is divided, down to the last level.
     """
-    up = F.explode(F.sequence(F.lit(0), F.col("level"))).alias("at")
-    chain = outer_leaves.select(F.col("leaf").alias("outer_leaf"), "level", "ix", "iy", "bx", "by", "w", up).withColumns({"cx": F.expr("shiftright(ix, level - at)"), "cy": F.expr("shiftright(iy, level - at)")})
-    enough = inner_cells.where(F.col("n") >= k).select(F.col("level").alias("at"), F.col("ix").alias("cx"), F.col("iy").alias("cy"))
-    best = chain.join(enough, ["at", "cx", "cy"]).groupBy("outer_leaf").agg(F.max("at").alias("top"))
-    # fewer than k inner points in all: the root, and everything is near
-    top = outer_leaves.select(F.col("leaf").alias("outer_leaf"), "level", "ix", "iy", "bx", "by", "w").join(best, "outer_leaf", "left").withColumn("at", F.coalesce("top", F.lit(0)))
-    top = top.withColumns({"cx": F.expr("shiftright(ix, level - at)"), "cy": F.expr("shiftright(iy, level - at)"), "side": F.lit(float(world)) / F.pow(F.lit(2.0), F.col("at"))})
-    block = F.col("bx"), F.col("by"), F.col("w")
-    top = top.withColumn("reach", g.max_dist_block(*block, F.col("cx") * F.col("side"), F.col("cy") * F.col("side"), F.col("side")))
-    shifts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-2, 3) for b in range(-2, 3)])
-    size = F.expr("shiftleft(1, at)")
-    around = top.withColumn("s", F.explode(shifts)).withColumns({"nx": F.col("cx") + F.col("s.a"), "ny": F.col("cy") + F.col("s.b")}).where((F.col("nx") >= 0) & (F.col("ny") >= 0) & (F.col("nx") < size) & (F.col("ny") < size))
-    keep = ["outer_leaf", "bx", "by", "w", "reach"]
-    inner = inner_leaves.select(F.col("leaf").alias("inner_leaf"), "level", "ix", "iy", F.col("bx").alias("jx"), F.col("by").alias("jy"), F.col("w").alias("jw"))
-    # inner leaves at or under a cell of that level, by the cell over them
-    under = inner.select("inner_leaf", "jx", "jy", "jw", "level", "ix", "iy", up).withColumns({"nx": F.expr("shiftright(ix, level - at)"), "ny": F.expr("shiftright(iy, level - at)")}).drop("level", "ix", "iy")
-    fine = around.select(*keep, "at", "nx", "ny").join(under, ["at", "nx", "ny"])
-    # larger inner leaves, by the cells over the cells of that level
-    over = around.select(*keep, "nx", "ny", "at", F.explode(F.sequence(F.lit(0), F.col("at"))).alias("level")).where(F.col("level") < F.col("at"))
-    over = over.select(*keep, "level", F.expr("shiftright(nx, at - level)").alias("ix"), F.expr("shiftright(ny, at - level)").alias("iy")).distinct()
-    coarse = over.join(inner, ["level", "ix", "iy"])
-    cols = [*keep, "inner_leaf", "jx", "jy", "jw"]
-    pairs = fine.select(*cols).unionByName(coarse.select(*cols))
-    return pairs.where(g.min_dist_block(*block, F.col("jx"), F.col("jy"), F.col("jw")) <= F.col("reach")).select("outer_leaf", "inner_leaf").distinct()
-
-
-def leaves(outer: Side, inner: Side, k: int, ties: str = "break", outer_capacity: int = 8, capacity: int = quadtree.CAPACITY, levels: int = quadtree.LEVELS, world: float = WORLD) -> DataFrame:
-    """Neighbours from the leaves that can hold them. Both sides lie inside the world."""
-    inner_cells = quadtree.cells(inner.df, inner.x, inner.y, levels, world)
-    inner_tree = quadtree.leaves(inner.df, inner.x, inner.y, capacity, levels, world)
-    outer_tree = quadtree.leaves(outer.df, outer.x, outer.y, outer_capacity, levels, world)
-    near = _cut(near_leaves(outer_tree, inner_cells, inner_tree, k, levels, world))
-    left = quadtree.assign(outer.df, outer_tree, outer.x, outer.y, levels, world, "outer_leaf")
-    right = quadtree.assign(inner.df, inner_tree, inner.x, inner.y, levels, world, "inner_leaf")
-    pairs = left.join(near, "outer_leaf").join(right, "inner_leaf").drop("outer_leaf", "inner_leaf")
-    return best_k(pairs.withColumn("d", _distance(outer, inner)), outer.key, inner.key, k, ties)
-
-
-def knn_join(outer: Side, inner: Side, k: int, strategy: str = "rings", ties: str = "break", on: Column | None = None) -> DataFrame:
+
+    def __init__(self, inner: Side, box: tuple[float, float, float], group: str, capacity: int, step: int, grouped: bool = False, deepest: int = 20):
+        self.grouped = grouped
+        self.inner, self.box, self.group, self.capacity, self.step = inner, box, group, capacity, step
+        # as deep as the densest place asks for, four levels at a time
+        self.levels = -(-FIRST_LEVELS // step) * step
+        while self.levels + 4 <= deepest and self.densest() > capacity:
+            self.levels += 4
+        at = self.finest(inner)
+        points = inner.df.withColumns({"_ix": at[0], "_iy": at[1]})
+        finest = points.groupBy(group, "_ix", "_iy").agg(F.count(F.lit(1)).alias("n"))
+        down = F.explode(F.sequence(F.lit(0), F.lit(self.levels), F.lit(step))).alias("level")
+        up = lambda c: F.expr(f"shiftright({c}, {self.levels} - level)").alias(c)
+        every = finest.select(group, down, "_ix", "_iy", "n").select(group, "level", up("_ix"), up("_iy"), "n").groupBy(group, "level", "_ix", "_iy").agg(F.sum("n").alias("n"))
+        over = every.where(F.col("n") > capacity).select(group, (F.col("level") + step).alias("level"), F.col("_ix").alias("_px"), F.col("_iy").alias("_py"))
+        below = every.withColumns({"_px": F.shiftright("_ix", step), "_py": F.shiftright("_iy", step)})
+        # the root, and what is under a divided cell
+        self.cells = _cut(every.where(F.col("level") == 0).withColumns({"_px": F.col("_ix"), "_py": F.col("_iy")}).unionByName(below.join(over, [group, "level", "_px", "_py"], "left_semi")))
+        last = self.cells.where((F.col("n") <= capacity) | (F.col("level") == self.levels)).select(group, "level", "_ix", "_iy")
+        # what comes after a cell: its parts, at most 4**step, or itself if it is a last one
+        part = F.struct("level", "_ix", "_iy", "n")
+        parts = self.cells.where(F.col("level") > 0).groupBy(group, (F.col("level") - step).alias("level"), F.col("_px").alias("_ix"), F.col("_py").alias("_iy")).agg(F.collect_list(part).alias("_next"))
+        self.next = _cut(parts.unionByName(self.cells.join(last, [group, "level", "_ix", "_iy"], "left_semi").select(group, "level", "_ix", "_iy", F.array(part).alias("_next"))))
+        places = finest.select(group, F.col("_ix").alias("_fx"), F.col("_iy").alias("_fy"), down, "_ix", "_iy").select(group, "_fx", "_fy", "level", up("_ix"), up("_iy")).join(last, [group, "level", "_ix", "_iy"])
+        places = places.select(group, F.col("_fx").alias("_ix"), F.col("_fy").alias("_iy"), self.name("level", "_ix", "_iy"))
+        self.points = points.join(places, [group, "_ix", "_iy"]).drop("_ix", "_iy")
+
+    def densest(self) -> int:
+        """The most points in a cell of the last level."""
+        ix, iy = self.finest(self.inner)
+        return self.inner.df.groupBy(self.group, ix, iy).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+    def finest(self, side: Side) -> tuple[Column, Column]:
+        x0, y0, world = self.box
+        last = F.lit(2**self.levels - 1)
+        return tuple(F.least(g.cell(F.col(c) - F.lit(low), self.levels, world), last) for c, low in ((side.x, x0), (side.y, y0)))
+
+    @staticmethod
+    def name(level: str, ix: str, iy: str) -> Column:
+        return quadtree.leaf_id(F.col(level), F.col(ix), F.col(iy)).alias("_cell")
+
+    def reached(self, rows: DataFrame, x: str, y: str, k: int) -> DataFrame:
+        """(_row, group, x, y, _cell, reach): the last cells that can hold one of a row's k nearest, all within reach.
+
+        A few rounds are one SQL statement, as they would be analysed over and over
+        otherwise, and what they leave is written.
+        """
+        x0, y0, world = (f"{v!r}D" for v in self.box)
+        own = "PARTITION BY r" + (", g" if self.grouped else "")
+        side = f"{world} / pow(2D, level)"
+        gap = lambda p, low: f"greatest({low} - {p}, {p} - ({low} + w), 0D)"
+        far = lambda p, low: f"greatest(abs({p} - {low}), abs({low} + w - {p}))"
+        norm = lambda f: f"sqrt({f('x', 'bx')} * {f('x', 'bx')} + {f('y', 'by')} * {f('y', 'by')})"
+        named = lambda df, **names: df.select(*[F.col(c).alias(n) for n, c in names.items()])
+        root = named(self.cells.where("level = 0"), g=self.group, level="level", ix="_ix", iy="_iy", n="n")  # a row a group
+        after_all = named(self.next, g=self.group, level="level", ix="_ix", iy="_iy", after="_next")
+        state = named(rows, r="_row", g=self.group, x=x, y=y).join(root if self.grouped else F.broadcast(root), "g")
+        parts: list[str] = []
+        levels = list(range(0, self.levels, self.step))
+        for i, level in enumerate(levels):
+            hint, on, after = "", "", f"(SELECT * FROM t WHERE level <= {level})"
+            if level < MANY_FROM and not self.grouped:  # some hundred rows, as the level says
+                hint = " /*+ BROADCAST(t) */"
+            elif level < MANY_FROM:
+                on, after = f" AND t.p = pmod(xxhash64(r), {PARTS})", f"(SELECT *, explode(sequence(0, {PARTS - 1})) AS p FROM t WHERE level <= {level})"
+            parts += [
+                f"a{i} AS (SELECT{hint} r, s.g, x, y, inline(after) FROM {f"s{i}" if parts else "o"} s JOIN {after} t ON s.g = t.g AND s.level = t.level AND s.ix = t.ix AND s.iy = t.iy{on})",
+                f"b{i} AS (SELECT r, g, x, y, level, _ix AS ix, _iy AS iy, n, {x0} + _ix * ({side}) AS bx, {y0} + _iy * ({side}) AS by, {side} AS w FROM a{i})",
+                f"d{i} AS (SELECT *, {norm(gap)} AS near, {norm(far)} AS far FROM b{i})",
+                f"h{i} AS (SELECT *, sum(n) OVER ({own} ORDER BY far ROWS UNBOUNDED PRECEDING) AS held FROM d{i})",
+                f"e{i} AS (SELECT *, coalesce(min(CASE WHEN held >= {k} THEN far END) OVER ({own}), max(far) OVER ({own})) * (1 + 1e-12D) + {world} * 1e-12D AS reach FROM h{i})",
+                f"s{i + 1} AS (SELECT r, g, x, y, level, ix, iy, n, reach FROM e{i} WHERE near <= reach)",
+            ]
+            if i % ROUNDS == ROUNDS - 1 or level == levels[-1]:
+                state = _cut(rows.sparkSession.sql(f"WITH o AS (SELECT * FROM {{o}}), t AS (SELECT * FROM {{t}}), {', '.join(parts)} SELECT * FROM s{i + 1}", o=state, t=after_all))
+                parts = []
+        return state.select(F.col("r").alias("_row"), F.col("g").alias(self.group), F.col("x").alias(x), F.col("y").alias(y), self.name("level", "ix", "iy"), "reach")
+
+
+def numbered(outer: Side) -> DataFrame:
+    """Outer rows with a number each, written so that it stays."""
+    return _cut(outer.located().df.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _pairs(rows: DataFrame, outer: Side, inner: Side, k: int, cells: Cells, reached: DataFrame | None = None) -> DataFrame:
+    """(_row, inner columns, d) within the rows' reach; rows has _row, the group and the outer coordinates."""
+    near = cells.reached(rows, outer.x, outer.y, k) if reached is None else reached
+    pairs = near.join(cells.points, [cells.group, "_cell"]).drop("_cell")
+    return pairs.withColumn("d", _distance(outer, inner)).where(F.col("d") <= F.col("reach")).drop("reach", outer.x, outer.y, cells.group)
+
+
+def pruned(outer: Side, inner: Side, k: int, ties: str = "break", capacity: int = quadtree.CAPACITY, step: int = 2) -> DataFrame:
+    """Neighbours from the cells that can hold them, `step` levels a round."""
+    rows, inner = numbered(outer), inner.located()
+    box = bounds(Side(rows, outer.key, outer.x, outer.y), inner)
+    one = lambda df: df.withColumn("_group", F.lit(0))
+    cells = Cells(Side(one(inner.df), inner.key, inner.x, inner.y), box, "_group", capacity, step)
+    found = best_k(_pairs(one(rows), outer, inner, k, cells), "_row", inner.key, k, ties)
+    return rows.join(found, "_row").drop("_row")
+
+
+def below(outer: Side, inner: Side, k: int, value: str, limit: str, ties: str = "break", capacity: int = quadtree.CAPACITY, step: int = 2) -> DataFrame:
+    """The k nearest of the inner rows whose value is under the outer row's limit.
+
+    Inner values are cut into 2**depth ranges of about RANGE_ROWS rows, and these
+    are joined two by two up to the whole. What is under a limit is then at most
+    one group of ranges of each size, which are gone through like tables of
+    their own, and the part of one range, whose rows are compared one by one.
+    Null values and limits match nothing.
+    """
+    rows, inner = numbered(Side(outer.df.where(F.col(limit).isNotNull()), outer.key, outer.x, outer.y)), inner.located()
+    inner = Side(inner.df.where(F.col(value).isNotNull()), inner.key, inner.x, inner.y)
+    box = bounds(Side(rows, outer.key, outer.x, outer.y), inner)
+    depth = min(20, max(0, math.ceil(math.log2(max(inner.rows() / RANGE_ROWS, 1)))))
+    cuts = inner.df.approxQuantile(value, [i / 2**depth for i in range(1, 2**depth)], 0.2 / 2**depth) if depth else []
+    at = lambda c: F.aggregate(F.array(*[F.lit(v) for v in cuts]), F.lit(0), lambda n, v: n + (F.col(c) > v).cast("int")) if cuts else F.lit(0)
+    # range i holds the values over i of the cuts; all values of a range before that of the limit are under it
+    ranged = inner.df.withColumn("_range", at(value))
+    own = rows.withColumn("_range", at(limit))
+    name = lambda size, i: (size * 2**24 + i).alias("_group")
+    sizes = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("_size")
+    columns = [c for c in ranged.columns if c != "_range"]
+    groups = ranged.select(*columns, "_range", sizes).select(*columns, name(F.col("_size"), F.expr("shiftright(_range, _size)")))
+    # the range numbers before i are, for every bit of i, the ranges of that size that lead up to it
+    lead = own.select("_row", outer.x, outer.y, "_range", sizes).where(F.expr("shiftright(_range, _size) % 2 = 1"))
+    lead = lead.select("_row", outer.x, outer.y, name(F.col("_size"), F.expr("shiftright(_range, _size) - 1")))
+    cells = Cells(Side(groups, inner.key, inner.x, inner.y), box, "_group", capacity, step, grouped=True)
+    whole = best_k(_pairs(lead, outer, inner, k, cells), "_row", inner.key, k, ties).drop("rn")
+    part = own.select("_row", outer.x, outer.y, limit, "_range").join(ranged, "_range").where(F.col(value) < F.col(limit))
+    part = part.withColumn("d", _distance(outer, inner)).select(*whole.columns)
+    return rows.join(best_k(whole.unionByName(part), "_row", inner.key, k, ties), "_row").drop("_row")
+
+
+def theta_relational(outer: Side, inner: Side, k: int, value: str, limit: str, ties: str = "break") -> DataFrame:
+    """As below(), by going through all inner rows under the limit: for up to NESTED_ROWS outer rows, else below()."""
+    if outer.df.limit(NESTED_ROWS + 1).count() > NESTED_ROWS:
+        return below(outer, inner, k, value, limit, ties)
+    return nested_loop(outer, inner, k, ties, F.col(value) < F.col(limit))
+
+
+def knn_join(outer: Side, inner: Side, k: int, strategy: str = "pruned", ties: str = "break") -> DataFrame:
     """Outer and inner columns with d and rn, for the k nearest inner rows of every outer row.
 
-    strategy: nested_loop (only up to NESTED_ROWS outer rows, else rings), rings
-    or leaves; with a condition on both sides, rings.
+    strategy: nested_loop (only up to NESTED_ROWS outer rows, else pruned),
+    pruned (two levels of cells a round) or rings (one level a round).
     """
     if strategy == "nested_loop" and outer.df.limit(NESTED_ROWS + 1).count() <= NESTED_ROWS:
-        return nested_loop(outer, inner, k, ties, on)
-    if strategy == "leaves" and on is None:
-        return leaves(outer, inner, k, ties)
-    return rings(outer, inner, k, ties, on)
+        return nested_loop(outer, inner, k, ties)
+    return pruned(outer, inner, k, ties, step=1 if strategy == "rings" else 2)
+
 
+#: Keys that qualify, of the inner keys in a table with that column.
+Qualify = Callable[[DataFrame], DataFrame]
 
-def p_join(outer: Side, inner: Side, keys: DataFrame, k: int, strategy: str = "rings", ties: str = "break", materialise: bool = False) -> DataFrame:
-    """The k nearest of all inner rows, then those that qualify."""
-    found = knn_join(outer, inner, k, strategy, ties)
-    return found.join(_cut(keys) if materialise else keys, inner.key, "left_semi")
 
+def p_knn_first(outer: Side, inner: Side, qualify: Qualify, k: int, ties: str = "break") -> DataFrame:
+    """Level P: the k nearest of all inner rows, then the predicate on those that were found."""
+    found = _cut(knn_join(outer, inner, k, ties=ties))
+    return found.join(qualify(found.select(inner.key).distinct()), inner.key, "left_semi")
 
-def q_join(outer: Side, inner: Side, keys: DataFrame, k: int, strategy: str = "rings", ties: str = "break", materialise: bool = False) -> DataFrame:
-    """The k nearest of the inner rows that qualify; materialise writes those first."""
-    qualified = inner.where(keys)
-    if materialise:
-        qualified = Side(_cut(qualified.df), inner.key, inner.x, inner.y)
-    return knn_join(outer, qualified, k, strategy, ties)
+
+def p_relational_first(outer: Side, inner: Side, qualify: Qualify, k: int, ties: str = "break", capacity: int = quadtree.CAPACITY) -> DataFrame:
+    """Level P: rows that qualify first; an outer row is gone through only if one lies in its reach.
+
+    The reach of k rows comes from the counts of all inner rows, without looking
+    at a point. Where no qualifying row is that near, k others are nearer.
+    """
+    rows, inner = numbered(outer), inner.located()
+    box = bounds(Side(rows, outer.key, outer.x, outer.y), inner)
+    one = lambda df: df.withColumn("_group", F.lit(0))
+    cells = Cells(Side(one(inner.df), inner.key, inner.x, inner.y), box, "_group", capacity, 2)
+    reached = cells.reached(one(rows), outer.x, outer.y, k)
+    keys = _cut(qualify(inner.df.select(inner.key).distinct()))
+    qualified = reached.join(cells.points.join(keys, inner.key, "left_semi"), ["_group", "_cell"]).where(_distance(outer, inner) <= F.col("reach"))
+    left = reached.join(qualified.select("_row").distinct(), "_row", "left_semi")
+    found = best_k(_pairs(rows, outer, inner, k, cells, left), "_row", inner.key, k, ties)
+    return rows.join(found.join(keys, inner.key, "left_semi"), "_row").drop("_row")
+
+
+def q_relational_first(outer: Side, inner: Side, qualify: Qualify, k: int, ties: str = "break") -> DataFrame:
+    """Level Q: the rows that qualify are written as a table of their own, and joined."""
+    keys = qualify(inner.df.select(inner.key).distinct())
+    qualified = Side(_cut(inner.where(keys).df), inner.key, inner.x, inner.y)
+    return knn_join(outer, qualified, k, ties=ties)
+
+
+def q_knn_first(outer: Side, inner: Side, qualify: Qualify, k: int, ties: str = "break") -> DataFrame:
+    """Level Q: the nearest of all rows, four times as many a turn, with the predicate on what was reached.
+
+    An outer row is done once k of its nearest qualify, or once all were reached.
+    """
+    rows = numbered(outer).withColumnRenamed("_row", "_outer")
+    left, total, looked, done = Side(rows, "_outer", outer.x, outer.y), inner.rows(), 4 * k, []
+    names = [*rows.columns, *inner.df.columns, "d"]
+    while True:
+        near = _cut(knn_join(left, inner, looked, ties="all"))
+        found = _cut(near.join(qualify(near.select(inner.key).distinct()), inner.key, "left_semi"))
+        ranked = best_k(found.select(*names), "_outer", inner.key, k, ties)
+        if looked >= total:
+            done.append(ranked)
+            break
+        enough = found.groupBy("_outer").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k).select("_outer")
+        done.append(ranked.join(enough, "_outer", "left_semi"))
+        rest = _cut(left.df.join(enough, "_outer", "left_anti"))
+        if rest.isEmpty():
+            break
+        left, looked = Side(rest, "_outer", outer.x, outer.y), 4 * looked
+    return quadtree.union(done).drop("_outer")
 
 
 def keep_empty(result: DataFrame, outer: Side) -> DataFrame:

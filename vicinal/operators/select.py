@@ -17,7 +17,9 @@ FOCUS = (50000.0, 40000.0)
 
 
 def with_distance(points: DataFrame, at: tuple[float, float], x: str, y: str) -> DataFrame:
-    return points.withColumn("d", g.distance(F.col(x), F.col(y), F.lit(float(at[0])), F.lit(float(at[1]))))
+    """The points that have both coordinates, with d."""
+    ok = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in (x, y)]
+    return points.where(ok[0] & ok[1]).withColumn("d", g.distance(F.col(x), F.col(y), F.lit(float(at[0])), F.lit(float(at[1]))))
 
 
 def nearest(points: DataFrame, k: int, at: tuple[float, float], x: str, y: str, key: str, ties: str = "break") -> DataFrame:
@@ -65,22 +67,76 @@ def locality(tree: DataFrame, at: tuple[float, float], k: int) -> DataFrame:
     return scan.withColumn("reach", reach).where(F.col("min_d") <= F.col("reach")).drop("_n", "_reach")
 
 
+def _reach(tree: DataFrame, at: tuple[float, float], k: int) -> tuple[float, int]:
+    """How far the k nearest points are at most, and how many points the tree holds, from the counts of its leaves.
+
+    Leaves are summed over rings of about equal ratio around the point, so what
+    is put in order is some thousand rows at most, whatever the tree.
+    """
+    px, py = F.lit(float(at[0])), F.lit(float(at[1]))
+    far = g.max_dist_point(px, py, F.col("bx"), F.col("by"), F.col("w"))
+    rings = tree.select("n", far.alias("far")).groupBy(F.round(F.log2(F.greatest("far", F.lit(1e-9))) * 32).alias("ring")).agg(F.sum("n").alias("n"), F.max("far").alias("far"))
+    held, reach = 0, 0.0
+    found = sorted((r["ring"], r["n"], r["far"]) for r in rings.collect())  # at most 32 a doubling of distance
+    total = sum(n for _, n, _ in found)
+    for _, n, far in found:
+        held, reach = held + n, max(reach, far)
+        if held >= k:
+            break
+    return reach, total
+
+
 def q_knn_first(points: DataFrame, keys: DataFrame, k: int, at: tuple[float, float], x: str, y: str, key: str, capacity: int = quadtree.CAPACITY) -> DataFrame:
-    """The locality of k qualifying points first: only points within its reach are looked at."""
-    qualified = points.join(keys, key, "left_semi")
-    near = locality(quadtree.leaves(qualified, x, y, capacity), at, k).agg(F.max("reach").alias("_reach"))  # one row
-    inside = with_distance(qualified, at, x, y).join(F.broadcast(near), F.col("d") <= F.col("_reach")).drop("_reach")
-    return inside.orderBy("d", key).limit(k)
+    """The nearest of all points first, four times as many a turn, and the predicate on these only.
+
+    Where they are comes from the counts of leaves, so a turn reads the points
+    within a radius and puts nothing in order but what qualifies. Points out of
+    the world are looked at once all others were.
+    """
+    tree, looked = quadtree.leaves(points, x, y, capacity), 4 * k
+    while True:
+        reach, total = _reach(tree, at, looked)
+        whole = looked >= total
+        near = with_distance(points, at, x, y)
+        near = near if whole else near.where(F.col("d") <= reach)
+        found = near.join(keys, key, "left_semi").orderBy("d", key).limit(k)
+        if whole or len(found.select("d").collect()) == k:
+            return found
+        looked *= 4
+
 
+def q_browse(points: DataFrame, keys: DataFrame, k: int, at: tuple[float, float], x: str, y: str, key: str, capacity: int = quadtree.CAPACITY) -> DataFrame:
+    """Distance browsing: rings from near to far, each looked at once, until k points of them qualify.
 
-def q_browse(points: DataFrame, keys: DataFrame, k: int, at: tuple[float, float], x: str, y: str, key: str) -> DataFrame:
-    """Nearest points in growing batches until k of them qualify."""
-    total, batch = points.count(), 4 * k
+    A ring is what the next 4 * k, 16 * k, ... points take by the counts of the
+    leaves; what qualified nearer is kept.
+    """
+    tree, looked, inner, found = quadtree.leaves(points, x, y, capacity), 4 * k, -1.0, None
     while True:
-        found = nearest(points, batch, at, x, y, key).join(keys, key, "left_semi")
-        if batch >= total or len(found.take(k)) == k:
-            return found.orderBy("d", key).limit(k)
-        batch *= 4
+        reach, total = _reach(tree, at, looked)
+        whole = looked >= total
+        ring = with_distance(points, at, x, y).where(F.col("d") > inner)
+        ring = (ring if whole else ring.where(F.col("d") <= reach)).join(keys, key, "left_semi")
+        found = ring if found is None else found.unionByName(ring)
+        best = found.orderBy("d", key).limit(k)
+        if whole or len(best.select("d").collect()) == k:
+            return best
+        looked, inner = looked * 4, reach
+
+
+def browsed_leaves(points: DataFrame, k: int, at: tuple[float, float], x: str, y: str, capacity: int = quadtree.CAPACITY) -> DataFrame:
+    """One row: how many leaves distance browsing explores for the k nearest: those no farther than the kth."""
+    kth = with_distance(points, at, x, y).select("d").orderBy("d").limit(k).agg(F.max("d").alias("_d"))  # one row
+    near = g.min_dist_point(F.lit(float(at[0])), F.lit(float(at[1])), F.col("bx"), F.col("by"), F.col("w"))
+    return quadtree.leaves(points, x, y, capacity).join(F.broadcast(kth), near <= F.col("_d")).agg(F.count(F.lit(1)).alias("explored_leaves"))
+
+
+def locality_scan(tree: DataFrame, at: tuple[float, float], most: float | None = None) -> DataFrame:
+    """Leaves from near to far, with min_d and max_d; only those no farther than `most`, if given."""
+    px, py = F.lit(float(at[0])), F.lit(float(at[1]))
+    block = F.col("bx"), F.col("by"), F.col("w")
+    scan = tree.withColumns({"min_d": g.min_dist_point(px, py, *block), "max_d": g.max_dist_point(px, py, *block)})
+    return (scan if most is None else scan.where(F.col("min_d") <= most)).orderBy("min_d", "max_d", "leaf")
 
 
 def browse(points: DataFrame, at: tuple[float, float], x: str, y: str, key: str):

@@ -11,7 +11,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import locality, predicates, quadtree
 
@@ -67,14 +68,15 @@ def join_costs(level: str, s: Statistics, k: int, outer_leaves: int, merged_bloc
     return (first + 2 * outer_leaves * _log(k) if level == "P" else first), float(merged_blocks)
 
 
-def hybrid_prefers_locality(selectivity: float, n_inner: int, k: int, capacity: int = quadtree.CAPACITY) -> bool:
+def prefers_locality(selectivity: Column, n_inner: int, k: int, capacity: int = quadtree.CAPACITY) -> Column:
     """Whether an outer row should read its locality and not the rows that satisfy the condition."""
-    return selectivity * n_inner / capacity > k / (capacity * max(selectivity, 1e-9))
+    share = F.greatest(selectivity, F.lit(1e-9))
+    return share * n_inner / capacity > F.lit(k) / (share * capacity)
 
 
-def uniform_selectivity(balance: float, low: float = -999.99, high: float = 9999.99) -> float:
+def uniform_selectivity(balance: Column, low: float = -999.99, high: float = 9999.99) -> Column:
     """Share of balances below one, if they were evenly spread."""
-    return min(max((balance - low) / (high - low), 0.0), 1.0)
+    return F.least(F.greatest((balance - low) / (high - low), F.lit(0.0)), F.lit(1.0))
 
 
 def choose(costs: tuple[float, float]) -> str:
