@@ -489,6 +489,36 @@ def test_window_entropy_equals_brute_force(spark):
         assert abs(r["h"] - brute_entropy(r["v"], 20)) < 1e-9
 
 
+def brute_spans(t):
+    """Candidates that touch no base span, by the entropy of their windows and the allow-list."""
+    base = [tuple(map(int, x.split(":")[1:])) for x in brute_base(t).split(",") if x]
+    out = []
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", t or ""):
+        if any(a < m.end() and m.start() < b for a, b in base):
+            continue
+        limit = next(bits for p, bits in secrets.CLASSES if re.search(p, m[0]))
+        if not any(re.search(p, m[0]) for p in secrets.ALLOWED) and brute_entropy(m[0], 20) >= limit - 1e-12:
+            out.append((m.start(), m.end()))
+    return out
+
+
+def test_entropy_spans_equal_brute_force(spark):
+    rng = random.Random(6)
+    draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    texts = [f"{draw(letters, rng.randint(15, 60))} x {draw('abcdef', 30)}/{draw('01', 9)} {draw(letters + '+/_-', 45)}" for _ in range(60)]
+    texts += [draw(letters, 40) + "exampleKey", "your-example-api-key-placeholder-1234", "abcdefghijklmnopqrstuvwxyz0123456789", "x" * 30, ""]
+    real = [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()]
+    for r in secrets.scan(docs(spark, [*texts, *real])).collect():
+        touched = [(s["start"], s["end"]) for s in r["base_spans"]]
+        free = [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "entropy"]
+        whole = [m.span() for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", r["text"] or "")]
+        parts = [s for s in free if s not in whole or any(a < s[1] and s[0] < b for a, b in touched)]
+        assert [s for s in free if s not in parts] == brute_spans(r["text"])
+    found = {r["doc_id"]: len(r["spans"]) for r in secrets.scan(docs(spark, texts)).collect()}
+    assert [found[i] for i in range(60, 65)] == [1, 0, 0, 0, 0]
+
+
 def test_redaction_keeps_the_rest(spark):
     got = {r["doc_id"]: r["text"] for r in secrets.redact(docs(spark, SECRETS)).collect()}
     assert got[0] is None and got[1] == "" and got[6] == "é key [SECRET] and [SECRET] end" and got[7] == SECRETS[7]

@@ -26,11 +26,12 @@ JOINTS = r"^[+/_-]+|[+/_-]+$"
 WINDOW = 20
 #: Character classes from narrow to wide, with the bits per character from which a window counts.
 CLASSES = ((r"^[0-9a-fA-F]+$", 3.0), (r"^[A-Za-z0-9]+$", 3.7), (r"^.*$", 3.9))
-#: Harmless strings of high entropy: UUIDs, paths of words, alphabets and counters, placeholders.
+#: Harmless strings of high entropy, each as a whole: UUIDs, paths of words, alphabets and counters, placeholders, numbers.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[/_-]?(?:[A-Z]?[a-z]+[/_-])*[A-Z]?[a-z]+[/_-]?$",
-    r"(?i)0123456789|abcdefghij|qwertyuiop|example|placeholder|xxxxx",
+    r"^(?i:[/_+-]|0?123456789(?:0|abcdef)?|abcdefghij(?:klmnopqrstuvwxyz)?|qwertyuiop(?:asdfghjkl(?:zxcvbnm)?)?)+$",
+    r"^(?i:[/_+-]|your|my|the|an?|example|sample|placeholder|dummy|test|demo|api|key|token|secret|password|here|xx+|[0-9]{1,4}(?![0-9]))+$",
     r"^[0-9/_+-]+$",
 )
 REDACTED = "[SECRET]"
@@ -59,25 +60,29 @@ def spans_of(text: Column, pattern: str, kind: str, order: int, group: int = 0,
 def window_entropy(value: Column, window: int = WINDOW) -> Column:
     """The highest Shannon entropy, in bits a character, of any window over the string.
 
-    The sum of n * log2(n) over the counts n of the window's characters is kept;
-    each step changes it for the character that leaves and the one that enters.
+    The counts of the window's characters are kept, and the sum of n * log2(n)
+    over them; each step changes both for the character that leaves and the one
+    that enters. Strings shorter than the window count as one. What steps share
+    is part of their state, as lambdas work out anew what they name.
     """
     table = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 1)])
     f = lambda n: F.element_at(table, n + 1)
     chars = F.split(value, "(?!^)(?!$)")
-    count = lambda part, c: F.size(F.filter(part, lambda x: x == c))
     first = F.slice(chars, 1, window)
-    begin = F.aggregate(F.array_distinct(first), F.lit(0.0), lambda a, c: a + f(count(first, c)))
+    alphabet = F.array_distinct(chars)
+    places = F.transform(chars, lambda c: F.array_position(alphabet, c).cast("int"))
+    counts = F.transform(alphabet, lambda c: F.size(F.filter(first, lambda x: x == c)))
+    begin = F.aggregate(counts, F.lit(0.0), lambda a, n: a + f(n))
 
     def step(a: Column, i: Column) -> Column:
-        left, entering = F.element_at(chars, i), F.element_at(chars, i + window)
-        stay = F.slice(chars, i + 1, window - 1)
-        out, come = count(stay, left), count(stay, entering)
-        now = a["sum"] - f(out + 1) + f(out) + f(come + 1) - f(come)
-        return F.struct(now.alias("sum"), F.least(a["least"], now).alias("least"))
+        left, entering = F.element_at(a["places"], i), F.element_at(a["places"], i + window)
+        out, come = F.element_at(a["counts"], left), F.element_at(a["counts"], entering)
+        now = F.when(left == entering, a["sum"]).otherwise(a["sum"] - f(out) + f(out - 1) - f(come) + f(come + 1))
+        moved = F.transform(a["counts"], lambda n, j: n - (j + 1 == left).cast("int") + (j + 1 == entering).cast("int"))
+        return F.struct(a["places"].alias("places"), moved.alias("counts"), now.alias("sum"), F.least(a["least"], now).alias("least"))
 
     steps = F.when(F.size(chars) > window, F.sequence(F.lit(1), F.size(chars) - window)).otherwise(F.array().cast("array<int>"))
-    least = F.aggregate(steps, F.struct(begin.alias("sum"), begin.alias("least")), step)["least"]
+    least = F.aggregate(steps, F.struct(places.alias("places"), counts.alias("counts"), begin.alias("sum"), begin.alias("least")), step)["least"]
     return F.lit(math.log2(window)) - least / window
 
 
@@ -115,6 +120,7 @@ def scan(docs: DataFrame, text_col: str = "text", window: int = WINDOW, classes:
     spans cover in part, what is left is judged, with and without the signs that
     join it to them. A null text is empty.
     Rows are scanned whole and where they are: one projection, no shuffle.
+    Repeated rows are rows each; an empty table gives none.
     Columns of these two names are replaced.
     """
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
