@@ -242,3 +242,29 @@ def test_a_query_pushes_its_filter_to_the_scan(spark):
     keys = predicates.by_order_count(tables.customers(spark, "/root/testdata/sf0.001"), tables.orders(spark, "/root/testdata/sf0.001"), 5, 250_000)
     plan = keys._jdf.queryExecution().executedPlan().toString()
     assert "LessThan(o_totalprice,250000.0)" in plan and "o_orderstatus" not in plan.split("ReadSchema")[1]
+
+
+def test_catalogs_places_and_query_points_round_trip(spark, tmp_path):
+    entries = catalog_of(spark, [((1, 3, 2), (4, 6, 5)), ((1, 6, 1),)])
+    tables.write_catalog(entries, str(tmp_path / "c"))
+    assert tables.same_rows(entries, tables.read_catalog(spark, str(tmp_path / "c")))
+    for per_k, n in ((False, 3), (True, 12)):
+        tables.write_catalog_csv(entries, str(tmp_path / f"v{n}"), per_k)
+        assert spark.read.option("header", True).csv(str(tmp_path / f"v{n}")).count() == n
+    small = "/root/testdata/sf0.001"
+    tables.write_located(spark, small, str(tmp_path))
+    assert tables.same_rows(tables.read_customers_tbl(spark, str(tmp_path / "customer.tbl")), tables.customers(spark, small))
+    assert tables.same_rows(tables.read_suppliers_tbl(spark, str(tmp_path / "supplier.tbl")), tables.suppliers(spark, small))
+    (tmp_path / "p.txt").write_text("".join(f"{i},{-i}\n" for i in range(100)))
+    points_ = tables.with_positions(tables.read_points_text(spark, str(tmp_path / "p.txt")))
+    assert [(r["pos"], r["y"]) for r in tables.query_points(points_).orderBy("pos").collect()] == [(0, 0.0), (27, 27.0), (54, 54.0), (81, 81.0)]
+
+
+def test_scans_by_distance(spark):
+    df = points(spark, CLUSTERED)
+    tree = quadtree.leaves(df, "c_x", "c_y", 10)
+    at = (91000.0, 111000.0)
+    near = [r["min_d"] for r in select.locality_scan(tree, at, 2000.0).collect()]
+    assert near == sorted(near) and 0 < len(near) < tree.count() and near[-1] <= 2000.0
+    explored = select.browsed_leaves(df, 20, at, "c_x", "c_y", 10).first()[0]
+    assert explored == locality.select_cost(df, tree, at, 20, "c_x", "c_y").first()[0]

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The world: points lie in [0, WORLD) on both axes.
@@ -81,6 +81,15 @@ def read_points_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mode", "FAILFAST").schema("y double, x double").csv(path).select("x", "y")
 
 
+def with_positions(rows: DataFrame, name: str = "pos") -> DataFrame:
+    """Rows numbered from 0 in the order they are read in, by the counts of the partitions before; a row a partition is broadcast."""
+    own = rows.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = own.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    numbered = own.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_id") - F.shiftleft("_part", 33))
+    return numbered.select(name, *rows.columns)
+
+
 def read_points_binary(spark: SparkSession, path: str, scale: int = 10) -> DataFrame:
     """(pos, x, y) from big-endian int32 pairs y, x; of every ten points the first `scale` stay."""
 
@@ -126,6 +135,30 @@ def write_catalog(catalog: DataFrame, path: str) -> None:
     catalog.write.mode("overwrite").parquet(path)
 
 
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """Entries as write_catalog() saved them."""
+    return spark.read.parquet(path)
+
+
+def write_catalog_csv(catalog: DataFrame, path: str, per_k: bool = False) -> None:
+    """Save entries as CSV with a header, for plotting: a row an entry, or a row for every k."""
+    (catalog_per_k(catalog) if per_k else catalog).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_located(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Save the customers and suppliers of raw tables with their places, as bar-separated lines that the readers here take.
+
+    Fields that the readers don't look at stay empty; the last one is `x,y`.
+    """
+    for t, key, balance, prefix, last, name in (
+        (customers(spark, sf_dir), "c_custkey", "c_acctbal", "c", 8, "customer"),
+        (suppliers(spark, sf_dir), "s_suppkey", "s_acctbal", "s", 7, "supplier"),
+    ):
+        fields = {0: F.col(key).cast("string"), 5: F.col(balance).cast("string"), last: F.concat_ws(",", f"{prefix}_x", f"{prefix}_y")}
+        line = F.concat(F.concat_ws("|", *[F.coalesce(fields.get(i, F.lit("")), F.lit("")) for i in range(last + 1)]), F.lit("|"))
+        t.select(line.alias("value")).write.mode("overwrite").text(f"{path}/{name}.tbl")
+
+
 def catalog_per_k(catalog: DataFrame) -> DataFrame:
     """A row for every k of every entry, for plotting."""
     return catalog.withColumn("k", F.explode(F.sequence("start_k", "end_k"))).drop("start_k", "end_k")
