@@ -1,7 +1,7 @@
 """Localities, catalogs and cost estimates over the leaves of quadtrees.
 
 Leaves are points divided by the capacity; these operators are statistics over
-leaves, for planning, and never look at more points than a window says.
+leaves, for planning. A block only meets the leaves that its scan can come to.
 
 The locality of a block for k: take inner leaves in order of (least distance,
 largest distance, number) until they hold k points, let M be the largest distance
@@ -15,21 +15,63 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..sources.tables import WORLD
+from . import quadtree
+from .join import _cut
 
 MAX_K = 10_000
 
 
-def _pairs(outer: DataFrame, inner: DataFrame) -> DataFrame:
-    """All (outer leaf, inner leaf) with their least and largest distance.
+def within(blocks: DataFrame, inner: DataFrame, levels: int = quadtree.LEVELS, world: float = WORLD) -> DataFrame:
+    """(block, ax, ay, aw, radius, other, n, bx, by, w, near, far): every inner leaf no farther than a block's radius.
 
-    The definition goes through every inner leaf in order. The inner leaves are
-    sent to every executor: the caller has made them few by the capacity.
+    A block looks at the cells of about its radius around it, at most four an
+    axis; leaves are met by the cells over them, or, where they are larger, by
+    the cells that they are. All joins are equi-joins.
     """
-    a = outer.select(F.col("leaf").alias("block"), F.col("bx").alias("ax"), F.col("by").alias("ay"), F.col("w").alias("aw"))
-    b = inner.select(F.col("leaf").alias("other"), "n", "bx", "by", "w")
-    near = g.min_dist_block(F.col("ax"), F.col("ay"), F.col("aw"), F.col("bx"), F.col("by"), F.col("w"))
-    far = g.max_dist_block(F.col("ax"), F.col("ay"), F.col("aw"), F.col("bx"), F.col("by"), F.col("w"))
-    return a.join(b, F.lit(True)).select("block", "other", "n", near.alias("near"), far.alias("far"))
+    reach = F.greatest(F.least("radius", F.lit(2.0 * world)), F.col("aw"), F.lit(world / 2**levels))
+    at = F.greatest(F.lit(0), F.least(F.lit(levels), F.floor(F.log2(F.lit(float(world)) / reach)))).cast("int")
+    wide = blocks.withColumn("at", at).withColumn("cw", F.lit(float(world)) / F.pow(F.lit(2.0), F.col("at")))
+    last = F.expr("shiftleft(1L, at) - 1")
+    low = lambda c: F.least(F.greatest(F.floor((F.col(c) - F.col("radius")) / F.col("cw")) - 1, F.lit(0)), last)
+    high = lambda c: F.least(F.greatest(F.floor((F.col(c) + F.col("aw") + F.col("radius")) / F.col("cw")), F.lit(0)), last)
+    around = wide.withColumn("cx", F.explode(F.sequence(low("ax"), high("ax")))).withColumn("cy", F.explode(F.sequence(low("ay"), high("ay"))))
+    keep = ["block", "ax", "ay", "aw", "radius"]
+    around = around.select(*keep, "at", F.col("cx").cast("long").alias("cx"), F.col("cy").cast("long").alias("cy"))
+    leaf = inner.select(F.col("leaf").alias("other"), "level", "ix", "iy", "n", "bx", "by", "w")
+    over = F.explode(F.sequence(F.lit(0), F.col("level").cast("int"))).alias("at")
+    under = leaf.select("other", "level", "ix", "iy", "n", "bx", "by", "w", over).withColumns({"cx": F.expr("shiftright(ix, cast(level as int) - at)"), "cy": F.expr("shiftright(iy, cast(level as int) - at)")})
+    columns = [*keep, "other", "n", "bx", "by", "w"]
+    small = around.join(under, ["at", "cx", "cy"]).select(*columns)
+    up = around.select(*keep, "at", "cx", "cy", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")).where(F.col("level") < F.col("at"))
+    up = up.select(*keep, "level", F.expr("shiftright(cx, at - level)").alias("ix"), F.expr("shiftright(cy, at - level)").alias("iy")).distinct()
+    large = up.join(leaf.withColumn("level", F.col("level").cast("int")), ["level", "ix", "iy"]).select(*columns)
+    a, b = (F.col("ax"), F.col("ay"), F.col("aw")), (F.col("bx"), F.col("by"), F.col("w"))
+    met = small.unionByName(large).withColumns({"near": g.min_dist_block(*a, *b), "far": g.max_dist_block(*a, *b)})
+    # a leaf lies under one cell that the block looks at, or is large and kept once a level
+    return met.where(F.col("near") <= F.col("radius"))
+
+
+def _pairs(outer: DataFrame, inner: DataFrame, k: int, levels: int = quadtree.LEVELS, world: float = WORLD) -> DataFrame:
+    """(block, other, n, near, far): the inner leaves that a scan for k points from each outer leaf can come to.
+
+    A cell over a block's centre with k points bounds how far the scan goes, to
+    its farthest corner; the largest distance of the leaves up to there bounds
+    the locality. Where the table has fewer than k points, all leaves are near.
+    """
+    outer, inner = _cut(outer), _cut(inner)  # leaves are read several times
+    up = F.explode(F.sequence(F.lit(0), F.col("level").cast("int"))).alias("at")
+    cells = inner.select(up, "level", "ix", "iy", "n").select("at", F.expr("shiftright(ix, cast(level as int) - at)").alias("cx"), F.expr("shiftright(iy, cast(level as int) - at)").alias("cy"), "n")
+    enough = cells.groupBy("at", "cx", "cy").agg(F.sum("n").alias("n")).where(F.col("n") >= k).drop("n")
+    blocks = outer.select(F.col("leaf").alias("block"), F.col("bx").alias("ax"), F.col("by").alias("ay"), F.col("w").alias("aw"))
+    side = F.lit(float(world)) / F.pow(F.lit(2.0), F.col("at"))
+    centre = lambda c: F.floor((F.col(c) + F.col("aw") / 2) / side).cast("long")
+    chain = blocks.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumns({"cx": centre("ax"), "cy": centre("ay")})
+    reach = g.max_dist_block(F.col("ax"), F.col("ay"), F.col("aw"), F.col("cx") * side, F.col("cy") * side, side)
+    first = chain.join(enough, ["at", "cx", "cy"]).groupBy("block").agg(F.min(reach).alias("radius"))
+    blocks = blocks.join(first, "block", "left").withColumn("radius", F.coalesce("radius", F.lit(4.0 * world)))
+    most = within(_cut(blocks), inner, levels, world).groupBy("block").agg(F.max("far").alias("radius"))
+    return within(_cut(blocks.drop("radius").join(most, "block")), inner, levels, world).select("block", "other", "n", "near", "far")
 
 
 def _scan(pairs: DataFrame, by: str = "block") -> DataFrame:
@@ -39,7 +81,7 @@ def _scan(pairs: DataFrame, by: str = "block") -> DataFrame:
 
 def block_costs(outer: DataFrame, inner: DataFrame, k: int) -> DataFrame:
     """(block, n_blocks, n_points): the locality of every outer leaf."""
-    scan = _scan(_pairs(outer, inner))
+    scan = _scan(_pairs(outer, inner, k))
     own = Window.partitionBy("block")
     reach = F.coalesce(F.min(F.when(F.col("held") >= k, F.col("reach"))).over(own), F.max("reach").over(own))
     near = scan.withColumn("m", reach).where(F.col("near") <= F.col("m"))
@@ -65,7 +107,7 @@ def join_cost_sampled(outer: DataFrame, inner: DataFrame, k: int, step: int) ->
 
 def catalog(outer: DataFrame, inner: DataFrame, max_k: int = MAX_K) -> DataFrame:
     """(block, start_k, end_k, n_blocks, n_points): the locality for every k from 1 to max_k, an interval for each reach."""
-    scan = _scan(_pairs(outer, inner))
+    scan = _scan(_pairs(outer, inner, max_k))
     steps = scan.groupBy("block", "reach").agg(F.max("held").alias("end_k"))
     own = Window.partitionBy("block").orderBy("reach")
     steps = steps.withColumns({"start_k": F.coalesce(F.lag("end_k").over(own), F.lit(0)) + 1, "_last": F.lead("end_k").over(own).isNull()})
