@@ -24,6 +24,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: What may stand in a head; whatever else begins ends it.
 METADATA = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 FOREIGN = frozenset("svg math".split())
+SECTIONS = frozenset("article aside footer form header main nav section".split())
 #: What a start tag closes if it is open, up to the elements that bound it.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("tr", "td", "th", "thead"), "body": ("head",)}
 BOUNDS = frozenset("html body table ul ol dl div section article main aside nav header footer form blockquote td th select".split())
@@ -153,7 +154,7 @@ def bucket(n: float, ends: tuple[float, ...]) -> int:
 
 
 def features(nodes: list[Node]) -> list[list[str]]:
-    """What the model sees of each block: its tag, its names, and the words, links and sentences under it."""
+    """What the model sees of each block: its tag, its names, what it stands in, and the words, links and sentences under it."""
     words, linked, sentences = [n.words for n in nodes], [n.linked for n in nodes], [n.sentences for n in nodes]
     for i in range(len(nodes) - 1, 0, -1):
         p = nodes[i].parent
@@ -161,6 +162,10 @@ def features(nodes: list[Node]) -> list[list[str]]:
             words[p] += words[i]
             linked[p] += linked[i]
             sentences[p] += sentences[i]
+    around: list[tuple[str, ...]] = [()]  # the names, or the telling tag, of the nearest block around that has any
+    for n in nodes[1:]:
+        p = nodes[n.parent]
+        around.append(p.names or ((p.tag,) if p.tag in SECTIONS else around[n.parent]))
     return [
         [
             f"tag={n.tag}",
@@ -168,11 +173,18 @@ def features(nodes: list[Node]) -> list[list[str]]:
             f"links={bucket(linked[i] / words[i], (0, 0.15, 0.5)) if words[i] else '-'}",
             f"sentences={bucket(sentences[i], (0, 1, 4)) if words[i] else '-'}",
             *[f"name={x}" for x in n.names],
+            *[f"in={x}" for x in around[i]],
         ]
         for i, n in enumerate(nodes)
     ]
 
 
+def stem(feature: str) -> str:
+    """What stands in for a name that no labelled page has: how it begins."""
+    kind, _, name = feature.partition("=")
+    return f"{kind}~{name[:5]}" if kind in ("name", "in") and len(name) > 4 else feature
+
+
 @dataclass
 class Model:
     """Log potentials: of a block's features for its label, and of a child's label given its parent's."""
@@ -186,10 +198,9 @@ class Model:
         own = [[0.0, 0.0] for _ in range(n)]
         for i, found in enumerate(features(nodes)):
             for f in found:
-                if f in self.unary:
-                    a, b = self.unary[f]
-                    own[i][0] += a
-                    own[i][1] += b
+                a, b = self.unary.get(f) or self.unary.get(stem(f), (0.0, 0.0))
+                own[i][0] += a
+                own[i][1] += b
         low = [self._scaled(*x) for x in own]
         up = [(1.0, 1.0)] * n
         pair = self.pair
@@ -217,8 +228,9 @@ class Model:
         return self._normal(math.exp(a - top), math.exp(b - top))
 
 
-#: What a feature counts: those of a block's text say partly the same, its tag and names stand for themselves.
-TEXT_WEIGHT, NAME_WEIGHT = 0.5, 1.2
+#: What a feature counts: those of a block's text say partly the same, its tag and names stand for themselves. What is around
+#: a block says less than its own tag and names. Found by leaving labelled layouts out.
+TEXT_WEIGHT, AROUND_WEIGHT, NAME_WEIGHT = 0.5, 0.5, 2.2
 
 
 @functools.lru_cache(maxsize=1)
@@ -238,10 +250,10 @@ def train(pages: list[str]) -> Model:
                 continue
             y = nodes[i].label or 0
             totals[y] += 1
-            for f in found:
+            for f in dict.fromkeys([*found, *map(stem, found)]):
                 seen.setdefault(f, [0.0, 0.0])[y] += 1
             pair[nodes[nodes[i].parent].label or 0][y] += 1
-    weight = lambda f: NAME_WEIGHT if f.startswith(("tag=", "name=")) else TEXT_WEIGHT
+    weight = lambda f: NAME_WEIGHT if f.startswith(("tag", "name")) else AROUND_WEIGHT if f.startswith("in") else TEXT_WEIGHT
     unary = {f: tuple(weight(f) * math.log((c + 0.3) / (t + 0.6)) for c, t in zip(counts, totals, strict=True)) for f, counts in seen.items()}
     return Model(unary, tuple(tuple(x / sum(row) for x in row) for row in pair))
 
@@ -261,9 +273,10 @@ def main_text(page: str, model: Model | None = None, from_p: float = 0.5) -> str
 def extract(pages: DataFrame, html_col: str = "html", name: str = "text") -> DataFrame:
     """Add the main text of every page, from its whole HTML.
 
-    A null page is empty; a page without content gives an empty text. Pages are
-    worked on where they are, one at a time, without a shuffle. A column of the
-    given name is replaced.
+    A null page is empty; a page without content gives an empty text. Repeated
+    rows are extracted each, an empty table stays empty. Pages are worked on
+    where they are, one at a time, without a shuffle. A column of the given name
+    is replaced.
     """
 
     @F.pandas_udf("string")

@@ -1,7 +1,8 @@
 """Labelled pages that the extraction model is trained on.
 
 data-main="1" marks content; it holds for what is inside, until data-main="0".
-%S, %M and %L stand for texts of a few words, a sentence or two, and a paragraph.
+%S, %M and %L stand for texts of a few words, a sentence or two, and a paragraph;
+%B, %N, %C, %D and %X for a body, a menu, comments, a side part, and a part amid the body.
 """
 
 from __future__ import annotations
@@ -43,8 +44,66 @@ PAGES = (
     f"""<html><body><div data-main="1"><h1>%S</h1><p>%L</p><p>%L</p><p>%M</p><p>%L</p></div><div class="menu">{LINKS}</div></body></html>""",
 )
 
+# parts that a page's frame is filled with, each of its own count, so that they meet in many ways
+NAVS = (
+    f'<div class="navbar">{LINKS}</div>',
+    '<div><a href="/1">%S</a> | <a href="/2">%S</a> | <a href="/3">%S</a></div>',
+    '<table><tr><td><a href="/1">%S</a></td><td><a href="/2">%S</a></td><td><a href="/3">%S</a></td></tr></table>',
+    f'<header><h1><a href="/">%S</a></h1><nav>{LINKS}</nav></header>',
+    '<ul class="topnav"><li><a href="/1">%S</a></li><li><a href="/2">%S</a></li></ul>',
+)
+COMMENTS = (
+    '<ol class="commentlist"><li class="comment"><div class="vcard">%S</div><p>%M</p></li><li class="comment"><p>%L</p><ul class="children"><li><p>%M</p></li></ul></li></ol>',
+    '<div id="disqus_thread"><div class="post-message"><p>%M</p></div><div class="post-message"><p>%L</p></div></div>',
+    '<section class="responses"><h2>%S</h2><ul class="replies"><li><p>%L</p></li><li><p>%M</p></li></ul></section>',
+    '<table class="comments"><tr><td>%S</td><td>%M</td></tr><tr><td>%S</td><td>%L</td></tr></table>',
+    '<div id="respond"><h3>%S</h3><form><p>%M</p></form></div>',
+    '<ul class="discussion"><li class="message"><b>%S</b><div>%M</div></li><li class="message"><b>%S</b><div>%L</div></li></ul>',
+    "",
+)
+SIDES = (
+    f'<aside><h3>%S</h3>{LINKS}<p>%M</p></aside>',
+    '<div class="sidebar"><div class="widget"><h3>%S</h3><p>%M</p></div></div>',
+    f'<div id="rail">{LINKS}{LINKS}</div>',
+    '<div class="cookiebar"><p>%M</p></div><div class="adslot">%M</div>',
+)
+EXTRAS = (
+    '<aside data-main="0"><p>%M</p></aside>',
+    '<aside class="pullquote" data-main="0">%M</aside>',
+    '<div class="advertisement" data-main="0"><p>%M</p></div>',
+    f'<div class="related" data-main="0"><h4>%S</h4>{LINKS}</div>',
+    '<form data-main="0"><p>%M</p></form>',
+    "",
+)
+BODIES = (
+    "<h1>%S</h1><p>%L</p>%X<p>%L</p><p>%M</p>",
+    "<h2>%S</h2><p>%L</p><ul><li>%M</li><li>%S</li></ul>%X<p>%L</p>",
+    "<h1>%S</h1><p>%L</p><table><tr><th>%S</th><th>%S</th></tr><tr><td>%S</td><td>%M</td></tr></table>%X<p>%L</p>",
+    "<h1>%S</h1><div>%L</div><div>%L</div>%X<pre>%M</pre><dl><dt>%S</dt><dd>%M</dd></dl>",
+    "<h1>%S</h1>%L<br><br>%L%X<blockquote>%M</blockquote>",
+)
+FRAMES = (
+    '<html><body>%N<article data-main="1">%B</article>%C%D<footer>%S</footer></body></html>',
+    '<html><body>%N<div><div data-main="1">%B</div>%D</div>%C<div>%S</div></body></html>',
+    '<html><body>%N<table><tr><td>%D</td><td><div data-main="1">%B</div>%C</td></tr></table><p>%S</p></body></html>',
+    '<html><body>%N<table><tr><td><a href="/4">%S</a><br><a href="/5">%S</a></td><td data-main="1">%B</td></tr></table>%C%D</body></html>',
+    '<html><body>%D%N<main><section data-main="1">%B</section>%C</main><footer><div>%M</div></footer></body></html>',
+    '<html><body>%N<div class="page"><div class="story" data-main="1">%B</div>%C</div>%D<div class="colophon">%M</div></body></html>',
+)
+#: Pages made of the parts.
+MADE = 120
+
+
+def made(i: int) -> str:
+    """The ith page made of the parts."""
+    page = FRAMES[i % len(FRAMES)]
+    for mark, parts in (("%B", BODIES), ("%N", NAVS), ("%C", COMMENTS), ("%D", SIDES), ("%X", EXTRAS)):
+        page = page.replace(mark, parts[(i + i // len(parts)) % len(parts)])
+    return page
+
 
 def labelled_pages() -> list[str]:
-    """The pages with their texts filled in, each in a few ways."""
+    """The pages with their texts filled in, the plain ones in three ways each, then those made of parts."""
     texts = {"S": itertools.cycle(SHORT), "M": itertools.cycle(MIDDLE), "L": itertools.cycle(LONG)}
-    return [re.sub("%([SML])", lambda m: next(texts[m[1]]), page) for page in PAGES for _ in range(3)]
+    layouts = [page for page in PAGES for _ in range(3)] + [made(i) for i in range(MADE)]
+    return [re.sub("%([SML])", lambda m: next(texts[m[1]]), page) for page in layouts]
