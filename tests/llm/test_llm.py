@@ -592,6 +592,21 @@ def test_top_k_with_ties_repeats_and_nothing(spark):
     assert topk.search(vectors(spark, [])).count() == 0
 
 
+def test_rows_without_an_id_are_candidates(spark):
+    rows = [(0, [1.0, 0.0], 0), (None, [1.0, 0.0], 0), (2**60 + 1, [1.0, 0.0], 0), (None, [3.0, 0.0], 0)]
+    got = topk.search(vectors(spark, rows), every=20, k=5).collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, 1, None, 3 * 2**20), (0, 2, 2**60 + 1, 2**20), (0, 3, None, 2**20)]
+
+
+def test_few_exact_vectors_are_needed():
+    rng = np.random.default_rng(5)
+    v = np.floor(rng.normal(size=(4000, 32)) * 1024).astype(np.int64)
+    at, upper = topk.candidates(*topk.approximation(v), np.arange(4000) != 7, v[7], 10)
+    scores = v @ v[7]
+    assert (upper >= scores[at]).all() and len(at) < 400
+    assert set(np.argsort(-np.where(np.arange(4000) == 7, -(2**60), scores))[:10]) <= set(at)
+
+
 # ---- 9 toxicity
 
 

@@ -8,15 +8,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import spool, spread
 
-#: Rows in a block of vectors and in a block of queries: what one task holds.
+#: Rows and queries that a task scans, on average and at most.
 BLOCK, QUERY_BLOCK = 16_384, 1_024
-#: Cells that an axis is cut into.
-CELLS = 64
+#: Cells that an axis is cut into; a code is a byte.
+CELLS = 128
+#: Exact vectors read first, as a multiple of k.
+FIRST = 4
 
-FOUND = "query_id long, vec_id long, score long"
+FILES = "dims int, block long, rows array<long>, ids array<long>, named array<boolean>, codes binary, low binary, high binary"
+FOUND = "query_id long, row long, upper long"
 
 
 def approximation(vectors: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,74 +43,114 @@ def approximation(vectors: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray,
     return codes, low, high
 
 
-def block_top(vec_ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Each query's k best in one block: (query ids, vector ids, scores), ties to the smaller id.
+def files(rows: DataFrame) -> DataFrame:
+    """The approximation files of (row, vec_id, v): one for the vectors of a length in a batch, built where they are."""
 
-    A scan of the cells gives each row's highest possible score (as a distance,
-    its lower bound). Exact vectors are then read in the order of that bound,
-    until the kth exact score is above every bound that is left.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for dims, part in batch.groupby("dims"):
+                codes, low, high = approximation(np.stack(part["v"].to_numpy()).astype(np.int64))
+                yield pd.DataFrame([(dims, part["row"].iloc[0], part["row"].to_numpy(), part["id"].to_numpy(), part["named"].to_numpy(), codes.tobytes(), low.tobytes(), high.tobytes())], columns=[f.split()[0] for f in FILES.split(", ")])
+
+    # a long that is null would make its column one of doubles, so ids go with a flag
+    return rows.select(F.size("v").alias("dims"), "row", F.coalesce("vec_id", F.lit(0)).alias("id"), F.col("vec_id").isNotNull().alias("named"), "v").mapInPandas(run, FILES)
+
+
+def candidates(codes: np.ndarray, low: np.ndarray, high: np.ndarray, others: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places in a file that may be among a query's k best, with their highest possible scores.
+
+    A place stays if its highest possible score reaches the kth of the lowest
+    possible ones. (As distances: its lower bound, the kth upper bound.)
     """
-    codes, low, high = approximation(vectors)
-    step = max(8 * k, 64)
-    axes = np.arange(vectors.shape[1])
-    for query_id, q in zip(query_ids, queries, strict=True):
-        best_of = np.maximum(q[:, None] * low, q[:, None] * high)  # per axis and cell
-        bounds = np.zeros(len(vectors), np.int64)
-        for d in axes:
-            bounds += best_of[d].take(codes[:, d])
-        own = vec_ids != query_id
-        bounds = np.where(own, bounds, np.iinfo(np.int64).min // 2)
-        order = np.argsort(-bounds, kind="stable")[: int(own.sum())]
-        ids, scores, read, size = np.empty(0, np.int64), np.empty(0, np.int64), 0, step
-        while read < len(order) and not (len(ids) >= k and bounds[order[read]] < scores[k - 1]):
-            part = order[read : read + size]
-            ids, scores = np.concatenate([ids, vec_ids[part]]), np.concatenate([scores, vectors[part] @ q])
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores, read, size = ids[best], scores[best], read + size, size * 2
-        yield np.full(len(ids), query_id), ids, scores
+    a, b = q[:, None] * low, q[:, None] * high
+    best, worst = np.maximum(a, b), np.minimum(a, b)
+    upper, lower = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
+    for d in range(codes.shape[1]):
+        upper += best[d].take(codes[:, d])
+        lower += worst[d].take(codes[:, d])
+    at = np.flatnonzero(others)
+    if len(at) > k:
+        at = at[upper[at] >= np.partition(lower[at], -k)[-k]]
+    return at, upper[at]
 
 
 def usable(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
-    """(vec_id, v): components as floor(scale * x), of vectors that have no null or non-finite component."""
+    """(vec_id, v): components as floor(scale * x), of vectors that have no null or non-finite component.
+
+    Null and empty vectors are left out; a null id stays. Components are 64-bit:
+    beyond 2^63 they stop there.
+    """
     x = F.col(vector_col).cast("array<double>")
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(finite & (F.size(x) > 0)).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale)).alias("v"))
+    return df.where(F.col(vector_col).isNotNull()).where(finite & (F.size(x) > 0)).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale)).alias("v"))
+
+
+@F.pandas_udf(LongType())
+def inner_product(q: pd.Series, v: pd.Series) -> pd.Series:
+    return pd.Series([int(np.asarray(a, np.int64) @ np.asarray(b, np.int64)) for a, b in zip(q, v, strict=True)], dtype="int64")
+
+
+def numbered(vectors: DataFrame) -> DataFrame:
+    """(row, vec_id, v), written, so that a row keeps its number."""
+    return spool(vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """The k vectors of highest inner product for every query: (query_id, rank, vec_id, score).
 
-    Both have (vec_id, v) with long components; a query's own id is no candidate
-    for it. Blocks of vectors meet blocks of queries, each pair in one task of
-    bounded size, and every block hands on k rows a query at most. A vector goes
-    over the network once for each block of queries.
+    Both have (vec_id, v) with long components; vectors that numbered() has
+    written are not written again. Queries have an id each, one row for an id;
+    rows of a query's own id are no candidates for it.
+
+    Vectors become cell numbers, a byte a component, in files of their own
+    cells; only these meet the queries, block by block, and give each query's
+    candidates with the highest score that each can have. Then exact vectors
+    are read in the order of that bound, by joins on their row numbers: 4k of
+    them for a query, and after that those whose bound reaches the kth score
+    found. All others are certain to be below it.
 
-    Vectors of another length are no candidates. Ties go to the smaller vec_id;
-    repeated rows are candidates each. No queries or no vectors give no rows.
+    Vectors of another length are no candidates. Ties go to the smaller vec_id,
+    null ids last; repeated rows are candidates each. No queries or no vectors
+    give no rows. Scores are 64-bit; what is beyond wraps around.
     """
-    n_blocks = max(1, -(-vectors.count() // block))
+    rows = vectors if "row" in vectors.columns else numbered(vectors)
+    n_slots = max(1, -(-rows.count() // block))
     n_query_blocks = max(1, -(-queries.count() // query_block))
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
-        rows = left.sort_values("vec_id")
-        at = np.stack(rows["v"].to_numpy()).astype(np.int64)
-        q = np.stack(right["v"].to_numpy()).astype(np.int64)
-        parts = list(block_top(rows["vec_id"].to_numpy(np.int64), at, right["vec_id"].to_numpy(np.int64), q, k))
-        return pd.DataFrame({c: np.concatenate([p[i] for p in parts]) for i, c in enumerate(("query_id", "vec_id", "score"))})
-
-    cell = [F.size("v").alias("dims"), "block", "query_block", "vec_id", "v"]
+        parts = [(np.empty(0, np.int64),) * 3]
+        for f in left.itertuples():
+            numbers, ids, named = np.asarray(f.rows, np.int64), np.asarray(f.ids, np.int64), np.asarray(f.named, bool)
+            codes = np.frombuffer(f.codes, np.uint8).reshape(-1, f.dims)
+            low, high = (np.frombuffer(x, np.int64).reshape(f.dims, -1) for x in (f.low, f.high))
+            for q in right.itertuples():
+                at, upper = candidates(codes, low, high, ~named | (ids != q.query_id), np.asarray(q.q, np.int64), k)
+                parts.append((np.full(len(at), q.query_id, np.int64), numbers[at], upper))
+        return pd.DataFrame({c: np.concatenate([p[i] for p in parts]) for i, c in enumerate(("query_id", "row", "upper"))})
+
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = vectors.withColumn("block", spread("vec_id", n_blocks)).withColumn("query_block", all_of(n_query_blocks)).select(*cell)
-    right = queries.withColumn("query_block", spread("vec_id", n_query_blocks)).withColumn("block", all_of(n_blocks)).select(*cell)
-    keys = ["dims", "block", "query_block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, FOUND)
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    left = spool(files(rows)).withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(n_slots)).cast("int")).withColumn("query_block", all_of(n_query_blocks))
+    right = asked.withColumn("dims", F.size("q")).withColumn("query_block", spread("query_id", n_query_blocks)).withColumn("slot", all_of(n_slots))
+    keys = ["dims", "slot", "query_block"]
+    found = spool(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, FOUND))
+
+    def exact(wanted: DataFrame) -> DataFrame:
+        pairs = wanted.select("query_id", "row", "upper").join(rows, "row").join(asked, "query_id")
+        return pairs.select("query_id", "row", "upper", "vec_id", inner_product("q", "v").alias("score"))
+
+    place = F.struct("upper", (-F.col("row")).alias("back"))  # the order of reading, from the highest down
+    ahead = Window.partitionBy("query_id").orderBy(F.col("upper").desc(), "row")
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
+    read = spool(exact(found.withColumn("n", F.row_number().over(ahead)).where(F.col("n") <= FIRST * k)))
+    ranked = read.withColumn("rank", F.row_number().over(best))
+    so_far = ranked.groupBy("query_id").agg(F.min(place).alias("last"), F.max(F.when(F.col("rank") == k, F.col("score"))).alias("kth"))
+    rest = found.join(so_far, "query_id").where((F.col("upper") >= F.col("kth")) & (place < F.col("last")))
+    every = read.unionByName(exact(rest))
+    return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def search(df: DataFrame, every: int = 20, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
     """top_k() of a table against itself; the queries are the rows whose id is divisible by `every`, one for an id."""
-    rows = spool(usable(df, id_col, vector_col, scale))
+    rows = numbered(usable(df, id_col, vector_col, scale))
     return top_k(rows, rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), k)
