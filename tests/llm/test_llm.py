@@ -601,7 +601,8 @@ def test_rows_without_an_id_are_candidates(spark):
 def test_few_exact_vectors_are_needed():
     rng = np.random.default_rng(5)
     v = np.floor(rng.normal(size=(4000, 32)) * 1024).astype(np.int64)
-    at, upper = topk.candidates(*topk.approximation(v), np.arange(4000) != 7, v[7], 10)
+    codes, low, high = topk.approximation(v)
+    at, upper = topk.candidates(codes.T.astype(np.intp), low, high, np.arange(4000) != 7, v[7], 10)
     scores = v @ v[7]
     assert (upper >= scores[at]).all() and len(at) < 400
     assert set(np.argsort(-np.where(np.arange(4000) == 7, -(2**60), scores))[:10]) <= set(at)

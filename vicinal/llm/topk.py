@@ -50,27 +50,30 @@ def files(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for dims, part in batch.groupby("dims"):
                 codes, low, high = approximation(np.stack(part["v"].to_numpy()).astype(np.int64))
-                yield pd.DataFrame([(dims, part["row"].iloc[0], part["row"].to_numpy(), part["id"].to_numpy(), part["named"].to_numpy(), codes.tobytes(), low.tobytes(), high.tobytes())], columns=[f.split()[0] for f in FILES.split(", ")])
+                yield pd.DataFrame([(dims, part["row"].iloc[0], part["row"].to_numpy(), part["id"].to_numpy(), part["named"].to_numpy(), codes.T.tobytes(), low.tobytes(), high.tobytes())], columns=[f.split()[0] for f in FILES.split(", ")])
 
     # a long that is null would make its column one of doubles, so ids go with a flag
     return rows.select(F.size("v").alias("dims"), "row", F.coalesce("vec_id", F.lit(0)).alias("id"), F.col("vec_id").isNotNull().alias("named"), "v").mapInPandas(run, FILES)
 
 
 def candidates(codes: np.ndarray, low: np.ndarray, high: np.ndarray, others: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The places in a file that may be among a query's k best, with their highest possible scores.
+    """The places in a file that may be among a query's k best, with their highest possible scores; codes go by axis.
 
     A place stays if its highest possible score reaches the kth of the lowest
-    possible ones. (As distances: its lower bound, the kth upper bound.)
+    possible ones among the most promising places. (As distances: its lower
+    bound, the kth upper bound.)
     """
     a, b = q[:, None] * low, q[:, None] * high
     best, worst = np.maximum(a, b), np.minimum(a, b)
-    upper, lower = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
-    for d in range(codes.shape[1]):
-        upper += best[d].take(codes[:, d])
-        lower += worst[d].take(codes[:, d])
+    upper = np.zeros(codes.shape[1], np.int64)
+    for d, cells in enumerate(codes):
+        upper += best[d].take(cells)
     at = np.flatnonzero(others)
     if len(at) > k:
-        at = at[upper[at] >= np.partition(lower[at], -k)[-k]]
+        n = min(len(at), 8 * k)
+        promising = at[np.argpartition(upper[at], -n)[-n:]]
+        lower = sum(worst[d].take(cells[promising]) for d, cells in enumerate(codes))
+        at = at[upper[at] >= np.partition(lower, -k)[-k]]
     return at, upper[at]
 
 
@@ -121,7 +124,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOC
         parts = [(np.empty(0, np.int64),) * 3]
         for f in left.itertuples():
             numbers, ids, named = np.asarray(f.rows, np.int64), np.asarray(f.ids, np.int64), np.asarray(f.named, bool)
-            codes = np.frombuffer(f.codes, np.uint8).reshape(-1, f.dims)
+            codes = np.frombuffer(f.codes, np.uint8).reshape(f.dims, -1).astype(np.intp)
             low, high = (np.frombuffer(x, np.int64).reshape(f.dims, -1) for x in (f.low, f.high))
             for q in right.itertuples():
                 at, upper = candidates(codes, low, high, ~named | (ids != q.query_id), np.asarray(q.q, np.int64), k)
