@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, dedup, extraction, mixing, packing, quality, secrets, topk, toxicity, urls, warc, whitening
+from . import conversations, dedup, extraction, jaccard_join, mixing, packing, quality, secrets, topk, toxicity, urls, warc, whitening
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,6 +189,14 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op3_html_extraction"] = op3_html_extraction
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.join(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+QUERIES["op11_ngram_jaccard_join"] = op11_ngram_jaccard_join
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
