@@ -7,8 +7,9 @@ and compared member by member.
 
 Which groups a document looks at comes from rare shingles: of two linked
 documents, each has at most a tenth of its shingles outside the other, so with one
-order of all shingles they have one in common among their first tenths. The order
-puts frequent shingles last, by counts in a table of fixed size.
+order of all shingles they have one in common among their first tenths, and several if
+they look a little further. The order puts frequent shingles last, by counts in a
+table of fixed size.
 """
 
 from __future__ import annotations
@@ -70,8 +71,17 @@ def needed(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
+def also(n: int) -> int:
+    """Rare shingles that two linked sets have in common at least, if the smaller one has n.
+
+    Each set looks at that many more of its rarest shingles than may be missing
+    in the other. Chance meets in one shingle are many, in several few.
+    """
+    return 1 + (n - needed(n)) // 4
+
+
 def signed(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(id, node, n, home, bands) per row (id, text): a hash that names the set of n shingles, its least one, and its rarest ones.
+    """(id, node, n, home, bands, ask) per row (id, text): a hash that names the set of n shingles, its least one, its rarest ones, and how many of these any linked set has.
 
     A document without words has a node of its own and nothing else.
     """
@@ -88,14 +98,16 @@ def signed(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 cut = np.searchsorted(owner, np.arange(len(part) + 1))
                 order = np.lexsort((tokens, counts.value[_cell(tokens)], owner))  # rare ones first in each text
                 rare, found = tokens[order].view(np.int64), tokens.view(np.int64)
-                names, homes, bands = [], [], []
+                names, homes, bands, ask = [], [], [], []
                 for i, (a, b) in enumerate(zip(cut, cut[1:])):
                     names.append(xxhash.xxh3_128_digest(tokens[a:b].tobytes()) if b > a else b"id %d" % part["id"].iloc[i])
                     homes.append(int(found[a]) if b > a else 0)
-                    bands.append(rare[a : b - needed(int(b - a)) + 1] if b > a else rare[:0])
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "node": names, "n": np.diff(cut), "home": homes, "bands": bands})
+                    size = int(b - a)
+                    bands.append(rare[a : min(b, b - needed(size) + also(size))])
+                    ask.append(also(needed(size)))
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "node": names, "n": np.diff(cut), "home": homes, "bands": bands, "ask": ask})
 
-    return rows.mapInPandas(run, "id long, node binary, n int, home long, bands array<long>")
+    return rows.mapInPandas(run, "id long, node binary, n int, home long, bands array<long>, ask int")
 
 
 def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -221,6 +233,12 @@ def _reach(a: Column, n: Column, other: Column) -> Column:
     return (100 + PERCENT) * a >= PERCENT * (n + F.greatest(other, F.ceil(n * PERCENT / 100)))
 
 
+def _shared(met: DataFrame) -> DataFrame:
+    """The rows (band, short, ask) of bands that several have."""
+    several = met.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("band")
+    return spool(met.join(several, "band", "left_semi"))
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, n_shingles, component_id) per document: the smallest id that links lead to.
 
@@ -232,7 +250,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     so far already bring together.
 
     Documents with equal sets are one node. Nodes that share a rare shingle meet
-    in its bucket. Shingles of no other node are in no intersection, so a node
+    in its bucket, if they share enough of them with others. Shingles of no other node are in no intersection, so a node
     with too many of them for anything in its bucket leaves it. The rest make the
     groups of the matrix: first each group's own members are compared; then nodes
     look at the group of the bucket's most typical node; then, in buckets that
@@ -245,15 +263,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     """
     rows = _texts(docs, id_col, text_col)
     base = spool(signed(rows, shingle))
-    nodes = base.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("home").alias("home"), F.first("bands").alias("bands"))
-    nodes = spool(nodes.select("node", node_key(F.col("id"), F.col("node")).alias("rep"), "n", "home", "bands"))
+    nodes = base.groupBy("node").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "home", "bands", "ask")])
+    nodes = spool(nodes.select("node", node_key(F.col("id"), F.col("node")).alias("rep"), F.xxhash64("node").alias("short"), "n", "home", "bands", "ask"))
     several = base.groupBy("id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where(F.col("low") < F.col("high"))
     shared = base.join(several, "id", "left_semi").join(nodes.select("node", "rep"), "node").select("id", "rep")
     same_id = spool(shared.join(shared.groupBy("id").agg(F.min("rep").alias("a")), "id").where(F.col("a") < F.col("rep")).select("a", F.col("rep").alias("b")).distinct())
     labels = joined(same_id.select(F.col("a").alias("node"), F.col("b").alias("label")).limit(0), same_id)
 
-    met = nodes.select(F.explode("bands").alias("band"), "rep", "n")
-    buckets = spool(met.join(met.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("band"), "band"))
+    # by a short name, which two nodes may share: then both are looked at
+    met = _shared(nodes.select(F.explode("bands").alias("band"), "short", "ask"))
+    busy = met.groupBy("short").agg(F.count(F.lit(1)).alias("m"), F.min("ask").alias("ask")).where(F.col("m") >= F.col("ask")).select("short")
+    met = _shared(met.join(busy, "short", "left_semi"))
+    buckets = spool(met.join(nodes.select("short", "rep", "n"), "short").select("band", "rep", "n"))
     some = rows.join(buckets.select(id_of(F.col("rep")).alias("id")).distinct(), "id", "left_semi").withColumn("_md5", F.md5("text")).dropDuplicates(["id", "_md5"])
     sets = shingle_sets(some.select("id", "text"), shingle, False).select(node_key(F.col("id"), F.col("node")).alias("rep"), "shingles")
     sets = spool(sets.join(buckets.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]))
