@@ -127,8 +127,8 @@ def word_hasher():
     return lambda words: np.fromiter(map(known.__getitem__, words), _U, len(words))
 
 
-def shingles(texts: list[str], size: int, hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of texts: (hashes, times in the text, number of the text), by text and hash.
+def windows(texts: list[str], size: int, hashes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, number of the text) of every run of words as long as a shingle, in order.
 
     A text with fewer words than a shingle is one shingle; one without words has none.
     """
@@ -144,7 +144,12 @@ def shingles(texts: list[str], size: int, hashes) -> tuple[np.ndarray, np.ndarra
         inside = i < whole[begins]
         at = np.minimum(begins + i, max(len(h) - 1, 0))
         total += np.where(inside, mixed(h[at] + _U(i + 1)) * _U(2 * i + 3), _U(0)) if len(h) else _U(0)
-    total, owner = mixed(total), owner[begins]
+    return mixed(total), owner[begins]
+
+
+def shingles(texts: list[str], size: int, hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of texts: (hashes, times in the text, number of the text), by text and hash."""
+    total, owner = windows(texts, size, hashes)
     order = np.lexsort((total, owner))
     total, owner = total[order], owner[order]
     first = np.ones(len(total), bool)

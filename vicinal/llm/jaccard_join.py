@@ -21,8 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import positions, spool, spread
-from .dedup import CHUNK, id_of, internal_id, joined, mixed_buckets, node_key, own_shingles, shingle_sets, shingles, word_hasher
+from .common import positions, spool, spread, unspool
+from .dedup import CHUNK, id_of, internal_id, joined, mixed_buckets, node_key, shingle_sets, shingles, windows, word_hasher
 
 #: Words in a shingle, and the similarity of linked documents in hundredths.
 SHINGLE, PERCENT = 3, 90
@@ -46,14 +46,14 @@ def _cell(tokens: np.ndarray) -> np.ndarray:
 
 
 def shingle_counts(rows: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
-    """How often shingles occur in documents, by cells of their hashes: a table of fixed size, summed over all rows (id, text)."""
+    """How often shingles occur, by cells of their hashes: a table of fixed size, summed over all rows (id, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, total, any_rows = word_hasher(), np.zeros(COUNTS, np.int64), False
         for pdf in batches:
             any_rows = any_rows or len(pdf) > 0
             for at in range(0, len(pdf), CHUNK):
-                tokens, _, _ = shingles(pdf["text"].iloc[at : at + CHUNK].tolist(), shingle, hashes)
+                tokens, _ = windows(pdf["text"].iloc[at : at + CHUNK].tolist(), shingle, hashes)
                 total += np.bincount(_cell(tokens), minlength=COUNTS)
         if any_rows:
             yield pd.DataFrame({"m": [total.astype(np.int64).tobytes()]})
@@ -96,14 +96,14 @@ def signed(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 part = pdf.iloc[at : at + CHUNK]
                 tokens, _, owner = shingles(part["text"].tolist(), shingle, hashes)
                 cut = np.searchsorted(owner, np.arange(len(part) + 1))
-                order = np.lexsort((tokens, counts.value[_cell(tokens)], owner))  # rare ones first in each text
-                rare, found = tokens[order].view(np.int64), tokens.view(np.int64)
+                often, found = counts.value[_cell(tokens)], tokens.view(np.int64)
                 names, homes, bands, ask = [], [], [], []
                 for i, (a, b) in enumerate(zip(cut, cut[1:])):
                     names.append(xxhash.xxh3_128_digest(tokens[a:b].tobytes()) if b > a else b"id %d" % part["id"].iloc[i])
                     homes.append(int(found[a]) if b > a else 0)
                     size = int(b - a)
-                    bands.append(rare[a : min(b, b - needed(size) + also(size))])
+                    rare = np.argsort(often[a:b], kind="stable")[: size - needed(size) + also(size)]  # of equal ones those of least hash
+                    bands.append(found[a:b][rare])
                     ask.append(also(needed(size)))
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "node": names, "n": np.diff(cut), "home": homes, "bands": bands, "ask": ask})
 
@@ -156,7 +156,7 @@ def _sets(column: pd.Series) -> list[np.ndarray]:
 
 def _own(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """A group's union, and links that hold together those of its members that are linked."""
-    pdf = pdf.sort_values("rep")
+    pdf = pdf.sort_values("rep").drop_duplicates("rep")
     sets, reps = _sets(pdf["shingles"]), pdf["rep"].tolist()
     n = np.array([len(s) for s in sets])
     near, forest = np.nonzero(np.triu(linked(common(sets, sets), n, n), 1)), _Forest()
@@ -167,7 +167,7 @@ def _own(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 def _bounded(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Which queries of a group reach the threshold by what they share with its union, given its least size."""
     union = np.frombuffer(pdf.loc[pdf["member"], "shingles"].iloc[0], np.uint64)
-    pdf = pdf[~pdf["member"]]
+    pdf = pdf[~pdf["member"]].drop_duplicates("rep")
     keep = []
     for s, least in zip(_sets(pdf["shingles"]), pdf["least_n"], strict=True):
         at = np.searchsorted(union, s)
@@ -179,7 +179,7 @@ def _bounded(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _opened(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Links of queries with members of an opened group that bring labels together."""
-    pdf = pdf.sort_values("rep")
+    pdf = pdf.sort_values("rep").drop_duplicates(["member", "rep"])
     members, queries = pdf[pdf["member"]], pdf[~pdf["member"]]
     left, right = _sets(queries["shingles"]), _sets(members["shingles"])
     near = linked(common(left, right), np.array([len(s) for s in left]), np.array([len(s) for s in right]))
@@ -199,11 +199,10 @@ class Matrix:
     """
 
     def __init__(self, nodes: DataFrame, sets: DataFrame):
-        self.sets = sets
         placed = positions(nodes.withColumn("_sub", spread("rep_name", 16)), "home", ["n", "_sub"], ["rep"], "_at")
-        self.groups = spool(placed.select("rep", "n", "home", F.floor(F.col("_at") / MEMBERS).alias("chunk")))
-        rows = self.groups.join(sets, "rep").groupBy("home", "chunk")
-        made = spool(rows.applyInPandas(_own, "home long, chunk long, shingles binary, links array<struct<a: binary, b: binary>>"))
+        members = spool(placed.select("rep", "home", F.floor(F.col("_at") / MEMBERS).alias("chunk")).join(sets, "rep"))
+        self.members, self.sets, self.groups = members, members.select("rep", "shingles"), members.select("rep", "home", "chunk").distinct()
+        made = spool(members.groupBy("home", "chunk").applyInPandas(_own, "home long, chunk long, shingles binary, links array<struct<a: binary, b: binary>>"))
         self.unions = made.select("home", "chunk", "shingles")
         self.links = made.select(F.explode("links").alias("l")).select("l.a", "l.b")
 
@@ -221,10 +220,10 @@ class Matrix:
         unions = blocks.join(self.unions, ["home", "chunk"]).select("home", "chunk", "block", none.cast("binary").alias("rep"), none.cast("int").alias("least_n"), "shingles", (~query).alias("member"))
         reached = asked.unionByName(unions).groupBy("home", "chunk", "block").applyInPandas(_bounded, "home long, chunk long, rep binary, least_n int")
         pairs, blocks = self._blocks(spool(reached).select("home", "chunk", "rep"))
-        named = lambda df: df.join(labels, F.col("rep") == labels["node"], "left").withColumn("label", F.coalesce("label", "rep")).join(self.sets, "rep")
+        named = lambda df: df.join(labels, F.col("rep") == labels["node"], "left").withColumn("label", F.coalesce("label", "rep"))
         columns = ["home", "chunk", "block", "rep", "label", "shingles"]
-        asked = named(pairs).select(*columns, query)
-        members = named(blocks.join(self.groups, ["home", "chunk"])).select(*columns, (~query).alias("member"))
+        asked = named(pairs).join(self.sets, "rep").select(*columns, query)
+        members = named(blocks.join(self.members, ["home", "chunk"])).select(*columns, (~query).alias("member"))
         return spool(asked.unionByName(members).groupBy("home", "chunk", "block").applyInPandas(_opened, "a binary, b binary"))
 
 
@@ -233,6 +232,20 @@ def _reach(a: Column, n: Column, other: Column) -> Column:
     return (100 + PERCENT) * a >= PERCENT * (n + F.greatest(other, F.ceil(n * PERCENT / 100)))
 
 
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """(short, own): how many shingles of a set are in no other one; sets without such have no row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), CHUNK):
+                part = pdf.iloc[at : at + CHUNK]
+                found = [np.frombuffer(x, np.int64) for x in part["shingles"]]
+                yield pd.DataFrame({"short": np.repeat(part["short"].to_numpy(), [len(x) for x in found]), "shingle": np.concatenate(found)})
+
+    once = sets.select("short", "shingles").mapInPandas(run, "short long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.min("short").alias("short"))
+    return once.where(F.col("m") == 1).groupBy("short").agg(F.count(F.lit(1)).alias("own"))
+
+
 def _shared(met: DataFrame) -> DataFrame:
     """The rows (band, short, ask) of bands that several have."""
     several = met.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("band")
@@ -275,16 +288,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     busy = met.groupBy("short").agg(F.count(F.lit(1)).alias("m"), F.min("ask").alias("ask")).where(F.col("m") >= F.col("ask")).select("short")
     met = _shared(met.join(busy, "short", "left_semi"))
     buckets = spool(met.join(nodes.select("short", "rep", "n"), "short").select("band", "rep", "n"))
-    some = rows.join(buckets.select(id_of(F.col("rep")).alias("id")).distinct(), "id", "left_semi").withColumn("_md5", F.md5("text")).dropDuplicates(["id", "_md5"])
-    sets = shingle_sets(some.select("id", "text"), shingle, False).select(node_key(F.col("id"), F.col("node")).alias("rep"), "shingles")
-    sets = spool(sets.join(buckets.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]))
+    ids = buckets.select(id_of(F.col("rep")).alias("id")).distinct()
+    # a repeated row gives its set again, which the steps below allow for
+    sets = shingle_sets(rows.join(ids, "id", "left_semi"), shingle, False).select(node_key(F.col("id"), F.col("node")).alias("rep"), "shingles")
+    sets = spool(sets.withColumn("short", F.xxhash64("rep")))
 
     rest = F.col("n") - F.coalesce("own", F.lit(0))
-    placed = buckets.join(own_shingles(sets), "rep", "left").select("band", "rep", "n", rest.alias("rest")).where(_reach(F.col("rest"), F.col("n"), F.lit(0)))
+    own = _own_shingles(sets)
+    placed = buckets.withColumn("short", F.xxhash64("rep")).join(own, "short", "left").select("band", "rep", "n", rest.alias("rest")).where(_reach(F.col("rest"), F.col("n"), F.lit(0)))
     least = placed.groupBy("band").agg(F.min("n").alias("_least"), F.count(F.lit(1)).alias("_m"))
     placed = spool(placed.join(least, "band").where((F.col("_m") > 1) & _reach(F.col("rest"), F.col("n"), F.col("_least"))).drop("_least", "_m"))
     left = placed.select("rep").distinct()
-    matrix = Matrix(nodes.join(left, "rep", "left_semi").select("rep", "n", "home", F.hex("rep").alias("rep_name")), sets.join(left, "rep", "left_semi"))
+    matrix = Matrix(nodes.join(left, "rep", "left_semi").select("rep", "n", "home", F.hex("rep").alias("rep_name")), sets.drop("short"))
+    unspool(sets)
     labels = joined(labels, matrix.links)
     placed = spool(placed.join(matrix.groups.select("rep", "home", "chunk"), "rep"))
 
