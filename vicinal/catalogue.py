@@ -283,6 +283,11 @@ def _(spark, d):
     return shown(join.p_relational_first(outer_side(spark, d), inner_side(spark, d), counted_of(spark, d), K_JOIN))
 
 
+@query("knn_join_q13_p_locality", f"WITH {CUSTOMER}, {SUPPLIER}, {COUNTED} SELECT * FROM ({ranked_sql('s, c', ties=True)}) WHERE c_custkey IN (SELECT o_custkey FROM mq)")
+def _(spark, d):
+    return shown(join.p_locality(outer_side(spark, d), inner_side(spark, d), counted_of(spark, d), K_JOIN, ties="all"))
+
+
 Q13_Q = f"WITH {CUSTOMER}, {SUPPLIER}, {COUNTED} {ranked_sql('s, (SELECT * FROM c WHERE c_custkey IN (SELECT o_custkey FROM mq))')}"
 
 

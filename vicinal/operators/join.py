@@ -10,7 +10,8 @@ wherever it lies and however dense the points are.
 Rows without both coordinates have no neighbours and are nobody's neighbour.
 Outer rows are told apart, also if they share a key or have none. Ties go by
 inner key, or all stay; repeated inner rows are rows each. Points may lie
-anywhere: the root covers all of them. An empty side gives no rows.
+anywhere: the root covers all of them. An empty side gives no rows. The sides may
+have any other columns, and be one table: see _apart() for the names they get.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ PARTS, MANY_FROM = 32, 6
 FIRST_LEVELS = 6
 #: Rounds in one statement.
 ROUNDS = 5
-#: Rows that a range of values holds at about, for joins by a condition on values.
-RANGE_ROWS = 1_000
+#: Places in a range of values, for joins by a condition on values.
+RANGE_ROWS = 1_024
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -64,6 +65,10 @@ def best_k(pairs: DataFrame, outer_key: str, inner_key: str, k: int, ties: str =
     return pairs.withColumn("rn", rank).where(F.col("rn") <= k)
 
 
+#: Keys that qualify, of the inner keys in a table with that column.
+Qualify = Callable[[DataFrame], DataFrame]
+
+
 class Side:
     """A table with the names of its key and coordinates."""
 
@@ -81,6 +86,49 @@ class Side:
     def rows(self) -> int:
         return self.df.count()
 
+    def renamed(self, names: dict[str, str]) -> Side:
+        if not names:
+            return self
+        new = lambda c: names.get(c, c)
+        return Side(self.df.select(*[F.col(f"`{c}`").alias(new(c)) for c in self.df.columns]), new(self.key), new(self.x), new(self.y))
+
+
+#: Names of columns that results and steps have.
+TAKEN = frozenset("d rn reach level _row _group _cell _next _ix _iy _fx _fy _px _py _seen _bound _n _m _v _kind _o _i _id _part _start _place _range _limit _size".split())
+
+
+def _apart(outer: Side, inner: Side, *columns: str) -> tuple:
+    """Both sides without a name in common, and the names that columns (inner, outer, inner, ...) have then.
+
+    A column named like one of the results or of the steps (TAKEN) gets `_outer`
+    or `_inner` appended, as does an inner one that the outer side has too. So a
+    table may be joined with itself.
+    """
+
+    def names(side: Side, taken: set[str], mark: str) -> dict[str, str]:
+        found: dict[str, str] = {}
+        for c in side.df.columns:
+            new = c
+            while new.lower() in taken:
+                new = f"{new}_{mark}"
+            if new != c:
+                found[c] = new
+            taken.add(new.lower())
+        return found
+
+    taken = set(TAKEN)
+    own = names(outer, taken, "outer")
+    other = names(inner, taken, "inner")
+    given = [(other if i % 2 == 0 else own).get(c, c) for i, c in enumerate(columns)]
+    return (outer.renamed(own), inner.renamed(other), *given)
+
+
+def _asking(qualify: Qualify, asked: str, key: str) -> Qualify:
+    """The same predicate for a key that has been renamed."""
+    if asked == key:
+        return qualify
+    return lambda keys: qualify(keys.withColumnRenamed(key, asked)).select(F.col(asked).alias(key))
+
 
 def _distance(outer: Side, inner: Side) -> Column:
     return g.distance(F.col(outer.x), F.col(outer.y), F.col(inner.x), F.col(inner.y))
@@ -88,7 +136,7 @@ def _distance(outer: Side, inner: Side) -> Column:
 
 def nested_loop(outer: Side, inner: Side, k: int, ties: str = "break", on: Column | None = None) -> DataFrame:
     """Every inner row against every outer row; for few outer rows, which the caller has counted."""
-    outer, inner = outer.located(), inner.located()
+    outer, inner, *_ = _apart(outer.located(), inner.located())
     rows = _cut(outer.df.withColumn("_row", F.monotonically_increasing_id()))
     pairs = inner.df.join(F.broadcast(rows), on if on is not None else F.lit(True))
     return best_k(pairs.withColumn("d", _distance(outer, inner)), "_row", inner.key, k, ties).drop("_row")
@@ -150,6 +198,14 @@ class Cells:
     def name(level: str, ix: str, iy: str) -> Column:
         return quadtree.leaf_id(F.col(level), F.col(ix), F.col(iy)).alias("_cell")
 
+    def gap(self, x: Column, y: Column) -> Column:
+        """How far a point is from the cell named `_cell`."""
+        x0, y0, world = self.box
+        cell = F.col("_cell")
+        side = F.lit(world) / F.pow(F.lit(2.0), F.shiftright(cell, 40))
+        last = F.lit((1 << 20) - 1)
+        return g.min_dist_point(x, y, F.lit(x0) + cell.bitwiseAND(last) * side, F.lit(y0) + F.shiftright(cell, 20).bitwiseAND(last) * side, side)
+
     def reached(self, rows: DataFrame, x: str, y: str, k: int) -> DataFrame:
         """(_row, group, x, y, _cell, reach): the last cells that can hold one of a row's k nearest, all within reach.
 
@@ -202,6 +258,7 @@ def _pairs(rows: DataFrame, outer: Side, inner: Side, k: int, cells: Cells, reac
 
 def pruned(outer: Side, inner: Side, k: int, ties: str = "break", capacity: int = quadtree.CAPACITY, step: int = 2) -> DataFrame:
     """Neighbours from the cells that can hold them, `step` levels a round."""
+    outer, inner = _apart(outer, inner)
     rows, inner = numbered(outer), inner.located()
     box = bounds(Side(rows, outer.key, outer.x, outer.y), inner)
     one = lambda df: df.withColumn("_group", F.lit(0))
@@ -210,34 +267,56 @@ def pruned(outer: Side, inner: Side, k: int, ties: str = "break", capacity: int
     return rows.join(found, "_row").drop("_row")
 
 
+def in_order(outer: DataFrame, inner: DataFrame, value: str, limit: str) -> tuple[DataFrame, DataFrame, int]:
+    """Both tables with `_place`, their rows' places in one order of limits and values, and how many rows that has.
+
+    A limit comes before the values that equal it, so an inner row is under an
+    outer row's limit if its place is lower. Equal values have a place each.
+    The order is made by ranges, with a row's place counted in its partition and
+    the counts of the partitions before (a row a partition is broadcast).
+    """
+    both = outer.select(F.col(limit).cast("double").alias("_v"), F.lit(0).alias("_kind"), F.struct(*outer.columns).alias("_o"), F.lit(None).cast(inner.select(F.struct(*inner.columns).alias("s")).schema["s"].dataType).alias("_i"))
+    both = both.unionByName(inner.select(F.col(value).cast("double").alias("_v"), F.lit(1).alias("_kind"), F.lit(None).cast(both.schema["_o"].dataType).alias("_o"), F.struct(*inner.columns).alias("_i")))
+    order = ["_v", "_kind", "_n"]
+    both = both.withColumn("_n", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    both = _cut(both.select("_kind", "_o", "_i", F.monotonically_increasing_id().alias("_id")).withColumn("_part", F.shiftright("_id", 33)))
+    counts = both.groupBy("_part").agg(F.count(F.lit(1)).alias("_m"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", "_m", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_start"))
+    total = counts.agg(F.sum("_m")).first()[0] or 0
+    placed = both.join(F.broadcast(starts), "_part").withColumn("_place", F.col("_start") + F.col("_id") - F.shiftleft("_part", 33))
+    return placed.where("_kind = 0").select("_o.*", "_place"), placed.where("_kind = 1").select("_i.*", "_place"), total
+
+
 def below(outer: Side, inner: Side, k: int, value: str, limit: str, ties: str = "break", capacity: int = quadtree.CAPACITY, step: int = 2) -> DataFrame:
     """The k nearest of the inner rows whose value is under the outer row's limit.
 
-    Inner values are cut into 2**depth ranges of about RANGE_ROWS rows, and these
-    are joined two by two up to the whole. What is under a limit is then at most
-    one group of ranges of each size, which are gone through like tables of
-    their own, and the part of one range, whose rows are compared one by one.
-    Null values and limits match nothing.
+    Limits and values are put in one order, which is cut into ranges of RANGE_ROWS
+    places, and these are joined two by two up to the whole. What is under a limit
+    is then at most one group of ranges of each size, which are gone through like
+    tables of their own, and the part of one range, whose rows are compared one by
+    one. Only groups that some row asks for are made. Equal values fall into as
+    many ranges as they fill. Null and NaN values and limits match nothing.
     """
-    rows, inner = numbered(Side(outer.df.where(F.col(limit).isNotNull()), outer.key, outer.x, outer.y)), inner.located()
-    inner = Side(inner.df.where(F.col(value).isNotNull()), inner.key, inner.x, inner.y)
+    outer, inner, value, limit = _apart(outer, inner, value, limit)
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    rows, inner = numbered(Side(outer.df.where(known(limit)), outer.key, outer.x, outer.y)), inner.located()
+    inner = Side(inner.df.where(known(value)), inner.key, inner.x, inner.y)
     box = bounds(Side(rows, outer.key, outer.x, outer.y), inner)
-    depth = min(20, max(0, math.ceil(math.log2(max(inner.rows() / RANGE_ROWS, 1)))))
-    cuts = inner.df.approxQuantile(value, [i / 2**depth for i in range(1, 2**depth)], 0.2 / 2**depth) if depth else []
-    at = lambda c: F.aggregate(F.array(*[F.lit(v) for v in cuts]), F.lit(0), lambda n, v: n + (F.col(c) > v).cast("int")) if cuts else F.lit(0)
-    # range i holds the values over i of the cuts; all values of a range before that of the limit are under it
-    ranged = inner.df.withColumn("_range", at(value))
-    own = rows.withColumn("_range", at(limit))
-    name = lambda size, i: (size * 2**24 + i).alias("_group")
+    own, ranged, total = in_order(rows.select("_row", outer.x, outer.y, limit), inner.df, value, limit)
+    depth = max(0, math.ceil(math.log2(max(total / RANGE_ROWS, 1))))
+    own, ranged = (df.withColumn("_range", F.floor(F.col("_place") / RANGE_ROWS)) for df in (own, ranged))
+    name = lambda size, i: (size.cast("long") * 2**48 + i).alias("_group")
     sizes = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("_size")
-    columns = [c for c in ranged.columns if c != "_range"]
-    groups = ranged.select(*columns, "_range", sizes).select(*columns, name(F.col("_size"), F.expr("shiftright(_range, _size)")))
     # the range numbers before i are, for every bit of i, the ranges of that size that lead up to it
     lead = own.select("_row", outer.x, outer.y, "_range", sizes).where(F.expr("shiftright(_range, _size) % 2 = 1"))
-    lead = lead.select("_row", outer.x, outer.y, name(F.col("_size"), F.expr("shiftright(_range, _size) - 1")))
+    lead = _cut(lead.select("_row", outer.x, outer.y, name(F.col("_size"), F.expr("shiftright(_range, _size) - 1"))))
+    columns = [c for c in ranged.columns if c not in ("_range", "_place")]
+    groups = ranged.select(*columns, "_range", sizes).select(*columns, name(F.col("_size"), F.expr("shiftright(_range, _size)")))
+    groups = _cut(groups.join(lead.select("_group").distinct(), "_group", "left_semi"))
     cells = Cells(Side(groups, inner.key, inner.x, inner.y), box, "_group", capacity, step, grouped=True)
     whole = best_k(_pairs(lead, outer, inner, k, cells), "_row", inner.key, k, ties).drop("rn")
-    part = own.select("_row", outer.x, outer.y, limit, "_range").join(ranged, "_range").where(F.col(value) < F.col(limit))
+    part = own.select("_row", outer.x, outer.y, F.col("_place").alias("_limit"), "_range").join(ranged, "_range").where(F.col("_place") < F.col("_limit"))
     part = part.withColumn("d", _distance(outer, inner)).select(*whole.columns)
     return rows.join(best_k(whole.unionByName(part), "_row", inner.key, k, ties), "_row").drop("_row")
 
@@ -246,6 +325,7 @@ def theta_relational(outer: Side, inner: Side, k: int, value: str, limit: str, t
     """As below(), by going through all inner rows under the limit: for up to NESTED_ROWS outer rows, else below()."""
     if outer.df.limit(NESTED_ROWS + 1).count() > NESTED_ROWS:
         return below(outer, inner, k, value, limit, ties)
+    outer, inner, value, limit = _apart(outer, inner, value, limit)
     return nested_loop(outer, inner, k, ties, F.col(value) < F.col(limit))
 
 
@@ -255,19 +335,26 @@ def knn_join(outer: Side, inner: Side, k: int, strategy: str = "pruned", ties: s
     strategy: nested_loop (only up to NESTED_ROWS outer rows, else pruned),
     pruned (two levels of cells a round) or rings (one level a round).
     """
+    outer, inner = _apart(outer, inner)
     if strategy == "nested_loop" and outer.df.limit(NESTED_ROWS + 1).count() <= NESTED_ROWS:
         return nested_loop(outer, inner, k, ties)
     return pruned(outer, inner, k, ties, step=1 if strategy == "rings" else 2)
 
 
-#: Keys that qualify, of the inner keys in a table with that column.
-Qualify = Callable[[DataFrame], DataFrame]
-
-
 def p_knn_first(outer: Side, inner: Side, qualify: Qualify, k: int, ties: str = "break") -> DataFrame:
     """Level P: the k nearest of all inner rows, then the predicate on those that were found."""
+    asked = inner.key
+    outer, inner = _apart(outer, inner)
     found = _cut(knn_join(outer, inner, k, ties=ties))
-    return found.join(qualify(found.select(inner.key).distinct()), inner.key, "left_semi")
+    return found.join(_asking(qualify, asked, inner.key)(found.select(inner.key).distinct()), inner.key, "left_semi")
+
+
+def _all_cells(outer: Side, inner: Side, capacity: int) -> tuple[DataFrame, Cells]:
+    """Numbered outer rows, and the cells of all inner points."""
+    rows, inner = numbered(outer), inner.located()
+    box = bounds(Side(rows, outer.key, outer.x, outer.y), inner)
+    one = lambda df: df.withColumn("_group", F.lit(0))
+    return one(rows), Cells(Side(one(inner.df), inner.key, inner.x, inner.y), box, "_group", capacity, 2)
 
 
 def p_relational_first(outer: Side, inner: Side, qualify: Qualify, k: int, ties: str = "break", capacity: int = quadtree.CAPACITY) -> DataFrame:
@@ -276,47 +363,92 @@ def p_relational_first(outer: Side, inner: Side, qualify: Qualify, k: int, ties:
     The reach of k rows comes from the counts of all inner rows, without looking
     at a point. Where no qualifying row is that near, k others are nearer.
     """
-    rows, inner = numbered(outer), inner.located()
-    box = bounds(Side(rows, outer.key, outer.x, outer.y), inner)
-    one = lambda df: df.withColumn("_group", F.lit(0))
-    cells = Cells(Side(one(inner.df), inner.key, inner.x, inner.y), box, "_group", capacity, 2)
-    reached = cells.reached(one(rows), outer.x, outer.y, k)
-    keys = _cut(qualify(inner.df.select(inner.key).distinct()))
+    asked = inner.key
+    outer, inner = _apart(outer, inner)
+    rows, cells = _all_cells(outer, inner, capacity)
+    reached = cells.reached(rows, outer.x, outer.y, k)
+    keys = _cut(_asking(qualify, asked, inner.key)(inner.located().df.select(inner.key).distinct()))
     qualified = reached.join(cells.points.join(keys, inner.key, "left_semi"), ["_group", "_cell"]).where(_distance(outer, inner) <= F.col("reach"))
     left = reached.join(qualified.select("_row").distinct(), "_row", "left_semi")
     found = best_k(_pairs(rows, outer, inner, k, cells, left), "_row", inner.key, k, ties)
-    return rows.join(found.join(keys, inner.key, "left_semi"), "_row").drop("_row")
+    return rows.join(found.join(keys, inner.key, "left_semi"), "_row").drop("_row", "_group")
+
+
+def p_locality(outer: Side, inner: Side, qualify: Qualify, k: int, ties: str = "all", capacity: int = quadtree.CAPACITY) -> DataFrame:
+    """Level P: the predicate within every outer row's locality, then the rank of what qualified there.
+
+    Only points of cells in the reach of some outer row are asked for the
+    predicate. What qualified shrinks an outer row's reach: to its kth, or its
+    last qualifying point; cells beyond are left, and the points of those within
+    give the ranks. A row without a qualifying point in reach is done.
+    """
+    asked = inner.key
+    outer, inner = _apart(outer, inner)
+    rows, cells = _all_cells(outer, inner, capacity)
+    reached = cells.reached(rows, outer.x, outer.y, k)
+    local = cells.points.join(reached.select("_group", "_cell").distinct(), ["_group", "_cell"], "left_semi")
+    keys = _cut(_asking(qualify, asked, inner.key)(local.select(inner.key).distinct()))
+    good = reached.join(local.join(keys, inner.key, "left_semi"), ["_group", "_cell"]).withColumn("d", _distance(outer, inner)).where(F.col("d") <= F.col("reach"))
+    bound = best_k(good.select("_row", inner.key, "d"), "_row", inner.key, k, "break").groupBy("_row").agg(F.max("d").alias("_bound"))
+    near = reached.join(bound, "_row").where(cells.gap(F.col(outer.x), F.col(outer.y)) <= F.col("_bound") * (1 + 1e-12) + cells.box[2] * 1e-12).withColumn("reach", F.col("_bound")).drop("_bound")
+    found = best_k(_pairs(rows, outer, inner, k, cells, near), "_row", inner.key, k, ties)
+    return rows.join(found.join(keys, inner.key, "left_semi"), "_row").drop("_row", "_group")
 
 
 def q_relational_first(outer: Side, inner: Side, qualify: Qualify, k: int, ties: str = "break") -> DataFrame:
     """Level Q: the rows that qualify are written as a table of their own, and joined."""
-    keys = qualify(inner.df.select(inner.key).distinct())
+    asked = inner.key
+    outer, inner = _apart(outer, inner)
+    keys = _asking(qualify, asked, inner.key)(inner.df.select(inner.key).distinct())
     qualified = Side(_cut(inner.where(keys).df), inner.key, inner.x, inner.y)
     return knn_join(outer, qualified, k, ties=ties)
 
 
-def q_knn_first(outer: Side, inner: Side, qualify: Qualify, k: int, ties: str = "break") -> DataFrame:
-    """Level Q: the nearest of all rows, four times as many a turn, with the predicate on what was reached.
+def q_knn_first(outer: Side, inner: Side, qualify: Qualify, k: int, ties: str = "break", capacity: int = quadtree.CAPACITY) -> DataFrame:
+    """Level Q: the nearest of all rows first, ring by ring, with the predicate on what was reached.
 
-    An outer row is done once k of its nearest qualify, or once all were reached.
+    The reach of 4k, 16k, ... rows comes from the counts of cells. Each turn looks
+    at the points between the last reach and the next one only, asks the
+    predicate for keys that were not asked before, and is over for the rows that
+    have k qualifying ones by then. Where a turn would write more pairs than there
+    are inner rows, the rest of the keys are asked once and the rows that are left
+    go down the counts of the qualifying points. So pairs are at most 4k an outer
+    row and a few times the inner rows, however few qualify.
     """
-    rows = numbered(outer).withColumnRenamed("_row", "_outer")
-    left, total, looked, done = Side(rows, "_outer", outer.x, outer.y), inner.rows(), 4 * k, []
-    names = [*rows.columns, *inner.df.columns, "d"]
+    asked_as = inner.key
+    outer, inner = _apart(outer, inner)
+    qualify = _asking(qualify, asked_as, inner.key)
+    rows, cells = _all_cells(outer, inner, capacity)
+    inner = inner.located()
+    total, looked = inner.rows(), 4 * k
+    left = rows.select("_row", "_group", outer.x, outer.y).withColumn("_seen", F.lit(-1.0))
+    asked = good = found = None
+    names = ["_row", *inner.df.columns, "d"]
     while True:
-        near = _cut(knn_join(left, inner, looked, ties="all"))
-        found = _cut(near.join(qualify(near.select(inner.key).distinct()), inner.key, "left_semi"))
-        ranked = best_k(found.select(*names), "_outer", inner.key, k, ties)
-        if looked >= total:
-            done.append(ranked)
+        reached = cells.reached(left.drop("_seen"), outer.x, outer.y, looked).join(left.select("_row", "_seen"), "_row")
+        ring = reached.join(cells.points, [cells.group, "_cell"]).withColumn("d", _distance(outer, inner)).where((F.col("d") <= F.col("reach")) & (F.col("d") > F.col("_seen")))
+        ring = _cut(ring.select(*names, "reach"))
+        new = ring.select(inner.key).distinct()
+        new = _cut(new if asked is None else new.join(asked, inner.key, "left_anti"))
+        passed = _cut(qualify(new))
+        asked, good = (new, passed) if asked is None else (asked.unionByName(new), good.unionByName(passed))
+        hit = ring.select(*names).join(good, inner.key, "left_semi")
+        found = _cut(hit if found is None else found.unionByName(hit))
+        enough = found.groupBy("_row").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k).select("_row")
+        reach = reached.groupBy("_row").agg(F.max("reach").alias("_seen"))
+        left = _cut(left.drop("_seen").join(enough, "_row", "left_anti").join(reach, "_row"))
+        n_left = left.count()
+        if not n_left or looked >= total:
             break
-        enough = found.groupBy("_outer").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k).select("_outer")
-        done.append(ranked.join(enough, "_outer", "left_semi"))
-        rest = _cut(left.df.join(enough, "_outer", "left_anti"))
-        if rest.isEmpty():
+        looked *= 4
+        if n_left * looked > max(total, 4 * k):
+            rest = inner.df.select(inner.key).distinct().join(asked, inner.key, "left_anti")
+            good = _cut(good.unionByName(qualify(rest)))
+            few = Side(_cut(inner.where(good).df), inner.key, inner.x, inner.y)
+            ended = pruned(Side(left.drop("_seen", "_group").withColumnRenamed("_row", "row_outer"), "row_outer", outer.x, outer.y), few, k, ties, capacity)
+            found = found.join(left.select("_row"), "_row", "left_anti").unionByName(ended.withColumnRenamed("row_outer", "_row").select(*names))
             break
-        left, looked = Side(rest, "_outer", outer.x, outer.y), 4 * looked
-    return quadtree.union(done).drop("_outer")
+    return rows.join(best_k(found, "_row", inner.key, k, ties), "_row").drop("_row", "_group")
 
 
 def keep_empty(result: DataFrame, outer: Side) -> DataFrame:
