@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .operators import join, locality, predicates, quadtree, select
 from .operators.join import Side
 from .plans import planner
-from .sources import tables
+from .sources import layout, tables
 from .sources.tables import WORLD
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,6 +215,28 @@ def _(spark, d):
     return select.q_knn_first(tables.suppliers(spark, d), late_keys(spark, d), K_SELECT, AT, *SXY, OUTER_CAPACITY).select("s_suppkey", "d")
 
 
+def stored(spark: SparkSession, d: str, points: DataFrame, x: str, y: str, capacity: int = quadtree.CAPACITY) -> layout.Layout:
+    """The points as a layout in the folder that executors share."""
+    path = join.shared_path(spark, "layout")
+    layout.write(points, path, x, y, capacity)
+    return layout.read(spark, path)
+
+
+@query("knn_select_plain_stored", f"WITH {CUSTOMER} {NEAREST} ORDER BY d, c_custkey LIMIT {K_SELECT}")
+def _(spark, d):
+    return layout.nearest(stored(spark, d, tables.customers(spark, d), "c_x", "c_y"), K_SELECT, AT, "c_custkey").select("c_custkey", "d")
+
+
+@query("knn_select_q_stored", Q_SELECT)
+def _(spark, d):
+    return layout.q_knn_first(stored(spark, d, tables.customers(spark, d), "c_x", "c_y"), cheap_keys(spark, d), K_SELECT, AT, "c_custkey").select("c_custkey", "d")
+
+
+@query("knn_select_p_stored", P_SELECT)
+def _(spark, d):
+    return layout.p_knn_first(stored(spark, d, tables.customers(spark, d), "c_x", "c_y"), cheap_keys(spark, d), K_SELECT, AT, "c_custkey").select("c_custkey", "d")
+
+
 ONE_SUPPLIER = 3
 
 

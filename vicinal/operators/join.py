@@ -21,7 +21,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -40,18 +40,22 @@ ROUNDS = 5
 RANGE_ROWS = 1_024
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Write a table to the folder that executors share and read it back, so that no later step repeats it."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that executors share."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
         if where is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="vicinal-"))
-    path = f"{sc.getCheckpointDir()}/join-{uuid.uuid4().hex}"
+    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Write a table to the folder that executors share and read it back, so that no later step repeats it."""
+    path = shared_path(df.sparkSession, "join")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def best_k(pairs: DataFrame, outer_key: str, inner_key: str, k: int, ties: str = "break") -> DataFrame:
