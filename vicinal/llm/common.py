@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,6 +51,27 @@ def unspool(df: DataFrame) -> None:
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def aside(df: DataFrame, taken: Iterable[str], *columns: str) -> tuple:
+    """(df, back, columns): df with columns of taken names under others, a function that gives them their names again, and columns as they are named now.
+
+    So a table may have columns named like those that an operator works with.
+    """
+    taken, used = {t.lower() for t in taken}, {c.lower() for c in df.columns}
+    names = {}
+    for c in df.columns:
+        if c.lower() in taken:
+            new = f"{c}_"
+            while new.lower() in taken | used:
+                new += "_"
+            used.add(new.lower())
+            names[c] = new
+    if not names:
+        return df, lambda out: out, *columns
+    old = {new: c for c, new in names.items()}
+    moved = df.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns])
+    return moved, lambda out: out.select(*[F.col(f"`{c}`").alias(old.get(c, c)) for c in out.columns]), *[names.get(c, c) for c in columns]
+
+
 def positions(df: DataFrame, key: str, bucket: list[str], order: list[str], name: str) -> DataFrame:
     """Number the rows of each key from 0, by (bucket, order), without a task that holds a key.
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, WORD
+from .common import BLANKS, WORD, aside
 
 #: The classes of characters, in the order of the references.
 CLASSES = ("lower or digit", "upper", "blank", "sentence", "other")
@@ -77,11 +77,14 @@ def measure(docs: DataFrame, text_col: str = "text", references: Mapping[str, Re
     The distances are those to the nearest reference; 1 for a text without a
     character (class) or word (word). A null text is empty. Whole texts are
     measured in one projection, without a shuffle. Columns of these names are
-    replaced.
+    replaced; others may have any name. Repeated rows are rows each; an empty
+    table gives none.
     """
+    listed = sorted({w for r in references.values() for w in r.words})
+    helpers = ["_t", "_words", "_windows", "_common", "_lines", "_upper", "_blank", "_digit", "_sentence", "_classes", *[f"_n_{w}" for w in listed]]
+    docs, back, text_col = aside(docs, helpers, text_col)
     docs = docs.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
     docs = docs.withColumn("_words", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)))
-    listed = sorted({w for r in references.values() for w in r.words})
     common = F.filter("_words", lambda w: w.isin(listed))
     length = F.length("_t")
     without = lambda chars: length - F.length(F.translate("_t", chars, ""))
@@ -125,7 +128,7 @@ def measure(docs: DataFrame, text_col: str = "text", references: Mapping[str, Re
             "word_distance": F.when(F.col("n_words") == 0, 1.0).otherwise(nearest([words(r) for r in references.values()])),
         }
     )
-    return docs.drop("_t", "_words", "_windows", "_common", "_lines", "_upper", "_blank", "_digit", "_sentence", "_classes", *[f"_n_{w}" for w in listed])
+    return back(docs.drop(*helpers))
 
 
 def judge(docs: DataFrame, text_col: str = "text", class_limit: float = 0.17, word_limit: float = 0.24, least_chars: int = 200, least_words: int = 150, references: Mapping[str, Reference] = REFERENCES) -> DataFrame:
@@ -134,7 +137,8 @@ def judge(docs: DataFrame, text_col: str = "text", class_limit: float = 0.17, wo
     base_failed: under 50 words, or over half of the words repeat. The method
     drops a text that is too far from every language: by its classes if it has
     least_chars, by its common words if it has least_words; shorter texts vary
-    too much to be judged so. Columns of these names are replaced.
+    too much to be judged so. Columns of these names are replaced; others may
+    have any name. Repeated rows are rows each; an empty table gives none.
     """
     docs = measure(docs, text_col, references)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import aside
+
 # The base kinds in their order, each with its pattern, the group whose length counts and the least length.
 BASE = (
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -121,8 +123,9 @@ def scan(docs: DataFrame, text_col: str = "text", window: int = WINDOW, classes:
     join it to them. A null text is empty.
     Rows are scanned whole and where they are: one projection, no shuffle.
     Repeated rows are rows each; an empty table gives none.
-    Columns of these two names are replaced.
+    Columns of these two names are replaced; others may have any name.
     """
+    docs, back, text_col = aside(docs, ("_t", "_more"), text_col)
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
     docs = docs.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
     text = F.col("_t")
@@ -139,7 +142,7 @@ def scan(docs: DataFrame, text_col: str = "text", window: int = WINDOW, classes:
         return F.when(F.size(touching) > 0, parts).when(judged(c["value"]), F.array(c)).otherwise(none)
 
     extra = F.flatten(F.transform("_more", secret))
-    return docs.withColumn("spans", F.sort_array(F.concat("base_spans", extra))).drop("_t", "_more")
+    return back(docs.withColumn("spans", F.sort_array(F.concat("base_spans", extra))).drop("_t", "_more"))
 
 
 def listed(spans: Column) -> Column:
@@ -152,7 +155,12 @@ def counted(spans: Column, kind: str) -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = REDACTED, **options: Mapping) -> DataFrame:
-    """The documents with every secret replaced by a mark; overlapping spans give one. Null texts stay null."""
+    """The documents with every secret replaced by a mark; overlapping spans give one.
+
+    Null texts stay null; the columns stay as they are, whatever their names.
+    Repeated rows are rows each; an empty table gives none.
+    """
+    docs, back, text_col = aside(docs, ("spans", "base_spans", "_secret_text"), text_col)
     names = docs.columns
     scanned = scan(docs.withColumn("_secret_text", F.col(text_col)), "_secret_text", **options)
     text = F.col("_secret_text")
@@ -164,4 +172,4 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = REDACTED, **opti
 
     done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add)
     clean = F.when(F.size("spans") == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
-    return scanned.withColumn(text_col, clean).select(*names)
+    return back(scanned.withColumn(text_col, clean).select(*[F.col(f"`{c}`") for c in names]))

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import aside
+
 #: What ends a token of a URL or of a rule.
 BREAK = r"[^a-z0-9]+"
 
@@ -77,13 +79,15 @@ def judge(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", counts:
     the rarest token to its rules. The tokens of a URL fetch its candidates,
     and only their regular expressions run. All is one projection: no shuffle,
     no join. A URL that no rule fits, a null one and an empty one are allowed.
-    Columns named host, path, rule or verdict are replaced.
+    Columns named host, path, rule or verdict are replaced; others may have any
+    name. Repeated rows are rows each; an empty table gives none.
     """
+    pages, back, url_col = aside(pages, ("_best",), url_col)
     index = rarest(rules, counts)
     one = lambda r: F.struct(F.lit(r.rank).alias("rank"), F.lit(r.name).alias("name"), F.lit(r.action).alias("action"), F.lit(r.pattern).alias("pattern"))
     pages = pages.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
     if not index:
-        return pages.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")})
+        return back(pages.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")}))
     table = F.create_map(*[x for token, found in sorted(index.items()) for x in (F.lit(token), F.array(*map(one, found)))])
     target = F.concat("host", "path")
     tokens = F.array_distinct(F.concat(F.array(F.lit("")), F.split(F.lower(target), BREAK)))
@@ -91,4 +95,4 @@ def judge(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", counts:
     candidates = F.flatten(F.transform(known, lambda t: F.element_at(table, t)))
     matching = F.filter(candidates, lambda r: F.rlike(target, r["pattern"]))
     best = F.array_max(F.transform(matching, lambda r: F.struct(r["rank"].alias("rank"), r["name"].alias("name"), r["action"].alias("action"))))
-    return pages.withColumn("_best", best).withColumns({"rule": F.col("_best.name"), "verdict": F.coalesce("_best.action", F.lit("allow"))}).drop("_best")
+    return back(pages.withColumn("_best", best).withColumns({"rule": F.col("_best.name"), "verdict": F.coalesce("_best.action", F.lit("allow"))}).drop("_best"))
