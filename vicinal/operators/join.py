@@ -271,24 +271,31 @@ def pruned(outer: Side, inner: Side, k: int, ties: str = "break", capacity: int
     return rows.join(found, "_row").drop("_row")
 
 
+def in_place(rows: DataFrame, *order: str) -> tuple[DataFrame, int]:
+    """Rows with `_place`, their number from 0 in an order without ties, and how many there are.
+
+    The order is made by ranges, with a row's place counted in its partition and
+    the counts of the partitions before (a row a partition is broadcast).
+    """
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = _cut(ranged.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33)))
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_m"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_start"))
+    total = counts.agg(F.sum("_m")).first()[0] or 0
+    placed = ranged.join(F.broadcast(starts), "_part").withColumn("_place", F.col("_start") + F.col("_id") - F.shiftleft("_part", 33))
+    return placed.drop("_part", "_id", "_start"), total
+
+
 def in_order(outer: DataFrame, inner: DataFrame, value: str, limit: str) -> tuple[DataFrame, DataFrame, int]:
     """Both tables with `_place`, their rows' places in one order of limits and values, and how many rows that has.
 
     A limit comes before the values that equal it, so an inner row is under an
     outer row's limit if its place is lower. Equal values have a place each.
-    The order is made by ranges, with a row's place counted in its partition and
-    the counts of the partitions before (a row a partition is broadcast).
     """
     both = outer.select(F.col(limit).cast("double").alias("_v"), F.lit(0).alias("_kind"), F.struct(*outer.columns).alias("_o"), F.lit(None).cast(inner.select(F.struct(*inner.columns).alias("s")).schema["s"].dataType).alias("_i"))
     both = both.unionByName(inner.select(F.col(value).cast("double").alias("_v"), F.lit(1).alias("_kind"), F.lit(None).cast(both.schema["_o"].dataType).alias("_o"), F.struct(*inner.columns).alias("_i")))
-    order = ["_v", "_kind", "_n"]
-    both = both.withColumn("_n", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
-    both = _cut(both.select("_kind", "_o", "_i", F.monotonically_increasing_id().alias("_id")).withColumn("_part", F.shiftright("_id", 33)))
-    counts = both.groupBy("_part").agg(F.count(F.lit(1)).alias("_m"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_part", "_m", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_start"))
-    total = counts.agg(F.sum("_m")).first()[0] or 0
-    placed = both.join(F.broadcast(starts), "_part").withColumn("_place", F.col("_start") + F.col("_id") - F.shiftleft("_part", 33))
+    placed, total = in_place(both.withColumn("_n", F.monotonically_increasing_id()), "_v", "_kind", "_n")
     return placed.where("_kind = 0").select("_o.*", "_place"), placed.where("_kind = 1").select("_i.*", "_place"), total
 
 

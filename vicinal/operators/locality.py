@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..sources.tables import WORLD
 from . import quadtree
-from .join import _cut
+from .join import _cut, in_place
 
 MAX_K = 10_000
 
@@ -94,8 +94,8 @@ def join_cost(outer: DataFrame, inner: DataFrame, k: int) -> DataFrame:
 
 
 def every_nth(leaves: DataFrame, step: int) -> DataFrame:
-    """Every step-th leaf in order of number."""
-    return leaves.withColumn("_i", F.row_number().over(Window.orderBy("leaf"))).where((F.col("_i") - 1) % step == 0).drop("_i")
+    """Every step-th leaf in order of number, counted by ranges of numbers."""
+    return in_place(leaves, "leaf")[0].where(F.col("_place") % step == 0).drop("_place")
 
 
 def join_cost_sampled(outer: DataFrame, inner: DataFrame, k: int, step: int) -> DataFrame:
@@ -140,13 +140,19 @@ def lookup(entries: DataFrame, k: int) -> DataFrame:
     return entries.withColumn("_k", at).where(F.col("_k").between(F.col("start_k"), F.col("end_k"))).drop("_k")
 
 
-def merge_max(entries: DataFrame, value: str = "n_blocks", block: str = "block") -> DataFrame:
-    """(start_k, end_k, value): the largest of all blocks' catalogs for every k, equal neighbours joined."""
-    points = entries.select(F.col("start_k").alias("k")).distinct()
-    at = points.join(entries, F.col("k").between(F.col("start_k"), F.col("end_k"))).groupBy("k").agg(F.max(value).alias(value), F.max("end_k").alias("e"))
+def merge_max(entries: DataFrame, value: str = "n_blocks") -> DataFrame:
+    """(start_k, end_k, value): the largest of all blocks' catalogs for every k, equal neighbours joined.
+
+    Values of a block grow with k and its catalog goes up to the last k, as
+    localities do; so the largest at k is the largest that began by then, a
+    running maximum over the first values of k, of which there are at most as
+    many as the largest k.
+    """
+    at = entries.groupBy(F.col("start_k").alias("k")).agg(F.max(value).alias("v"), F.max("end_k").alias("e"))
     order = Window.orderBy("k")
     ends = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    first = at.withColumn("_end", ends).withColumn("_before", F.lag(value).over(order)).where(F.col("_before").isNull() | (F.col("_before") != F.col(value)))
+    run = at.select("k", F.max("v").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(value), ends.alias("_end"))
+    first = run.withColumn("_before", F.lag(value).over(order)).where(F.col("_before").isNull() | (F.col("_before") != F.col(value)))
     return first.select(F.col("k").alias("start_k"), F.coalesce(F.lead("k").over(order) - 1, F.col("_end")).alias("end_k"), value)
 
 
