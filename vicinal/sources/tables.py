@@ -105,9 +105,18 @@ def read_points_binary(spark: SparkSession, path: str, scale: int = 10) -> DataF
 
 
 def sample_points(points: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """About n points drawn with replacement."""
+    """Exactly n points drawn with replacement, each equally likely at every draw; none of an empty table.
+
+    Every draw is a position, met with the numbered points by an equi-join, so
+    nothing of the sample or the table is in one place. Draws depend on the seed
+    only; which points they are, on the order in which the table is read.
+    """
+    numbered = with_positions(points, "_pos")
     total = points.count()
-    return points.sample(withReplacement=True, fraction=n / total, seed=seed) if total else points
+    if not total:
+        return points.limit(0)
+    draws = points.sparkSession.range(0, n, 1, max(1, min(200, n // 100_000 + 1))).select(F.floor(F.rand(seed) * total).alias("_pos"))
+    return draws.join(numbered, "_pos").select(*points.columns)
 
 
 def query_points(points: DataFrame, every: int = 27, pos: str = "pos") -> DataFrame:
