@@ -149,6 +149,57 @@ def test_points_on_the_high_edge_are_outside(spark):
     assert quadtree.inside(df, "c_x", "c_y").count() == 1
 
 
+def test_a_cluster_is_divided_below_the_first_levels(spark):
+    crowd = [(70000 + i / 4, 70000 + (i * 7 % 100) / 4) for i in range(100)]  # one cell of 512 x 512
+    df = points(spark, [*crowd, *CLUSTERED, *[(2000.5, 2000.5)] * 3])
+    tree = quadtree.leaves(df, "c_x", "c_y", 2)
+    counts = {r["leaf"]: (r["level"], r["n"]) for r in tree.collect()}
+    assert max(level for level, _ in counts.values()) > quadtree.FIRST_LEVELS
+    assert all(n <= 2 or level == quadtree.DEEPEST for level, n in counts.values())
+    assert sum(n for _, n in counts.values()) == df.count()
+    assigned = quadtree.assign(df, tree, "c_x", "c_y").groupBy("leaf").count().collect()
+    assert {r["leaf"]: r["count"] for r in assigned} == {leaf: n for leaf, (_, n) in counts.items()}
+    # equal places can't be divided
+    assert [n for level, n in counts.values() if level == quadtree.DEEPEST] == [3]
+
+
+def test_points_beyond_the_world_are_counted_and_have_no_leaf(spark):
+    df = points(spark, [(131072, 5), (5, 131072), (5, 5), (-1, 5), (7, 9)])
+    df = df.unionByName(spark.createDataFrame([(9, None, 1.0), (10, float("nan"), 1.0)], df.schema))
+    assert tuple(quadtree.placed(df, "c_x", "c_y").first()) == (2, 3, 2)
+    tree = quadtree.leaves(df, "c_x", "c_y", 1)
+    got = {r["c_key"]: r["leaf"] for r in quadtree.assign(df, tree, "c_x", "c_y", outside=True).collect()}
+    assert set(got) == {0, 1, 2, 3, 4, 9, 10} and {k for k, v in got.items() if v is not None} == {2, 4}
+    assert quadtree.assign(df, tree, "c_x", "c_y").count() == 2
+    none = df.limit(0)
+    assert tuple(quadtree.placed(none, "c_x", "c_y").first()) == (0, 0, 0)
+    assert quadtree.leaves(none, "c_x", "c_y").isEmpty()
+    assert quadtree.assign(df, quadtree.leaves(none, "c_x", "c_y"), "c_x", "c_y", outside=True).where("leaf IS NULL").count() == 7
+
+
+def test_pivot_catalogs_equal_brute_force_without_pairing_all(spark):
+    df = points(spark, [*CLUSTERED, *CLUSTERED[:5]])
+    inner, tree = quadtree.leaves(df, "c_x", "c_y", 10), quadtree.leaves(points(spark, CLUSTERED[::9]), "c_x", "c_y", 4)
+    got = locality.corner_catalog(tree, inner, df, "c_x", "c_y", 40)
+    assert "CartesianProduct" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+    blocks = inner.collect()
+    gap = lambda v, b, w: max(b - v, v - (b + w), 0.0)
+
+    def cost(x, y, k):
+        d = sorted(math.sqrt((a - x) ** 2 + (b - y) ** 2) for a, b in [*CLUSTERED, *CLUSTERED[:5]])[k - 1]
+        return sum(math.sqrt(gap(x, r["bx"], r["w"]) ** 2 + gap(y, r["by"], r["w"]) ** 2) <= d for r in blocks)
+
+    entries = got.collect()
+    for leaf in tree.collect():
+        own = sorted((r["start_k"], r["end_k"], r["n_blocks"]) for r in entries if r["block"] == leaf["leaf"])
+        assert own[0][0] == 1 and own[-1][1] == 40 and all(a[1] + 1 == b[0] and a[2] < b[2] for a, b in zip(own, own[1:]))
+        for k in (1, 2, 17, 40):
+            x, y, w = leaf["bx"], leaf["by"], leaf["w"]
+            want = max(cost(x + w * i, y + w * j, k) for i in (0, 1) for j in (0, 1))
+            assert [n for a, b, n in own if a <= k <= b] == [want]
+    assert locality.pivot_catalog(locality.center_pivots(tree), inner.limit(0), df.limit(0), "c_x", "c_y", 5).isEmpty()
+
+
 def test_catalogs_are_contiguous_and_rise(spark):
     inner = quadtree.leaves(points(spark, CLUSTERED), "c_x", "c_y", 10)
     outer = quadtree.leaves(points(spark, CLUSTERED[::20]), "c_x", "c_y", 2)

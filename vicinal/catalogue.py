@@ -44,7 +44,7 @@ lc AS (SELECT s_suppkey, coalesce(n, 0)::BIGINT AS late_count FROM supplier LEFT
   GROUP BY 1) ON l_suppkey = s_suppkey)"""
 )
 LATE_KEYS = f"lq AS (SELECT s_suppkey FROM lc WHERE late_count < {LATE_UNDER})"
-LEVELS = f"lv AS (SELECT unnest(range({quadtree.LEVELS + 1})) AS level)"
+LEVELS = f"lv AS (SELECT unnest(range({quadtree.FIRST_LEVELS + 1})) AS level)"
 
 
 def d_sql(p: str, at: tuple[float, float] = AT) -> str:
@@ -54,13 +54,13 @@ def d_sql(p: str, at: tuple[float, float] = AT) -> str:
 D_PAIR = "sqrt((c_x - s_x) * (c_x - s_x) + (c_y - s_y) * (c_y - s_y))"
 
 
-def tree_sql(name: str, source: str, p: str, capacity: int) -> str:
+def tree_sql(name: str, source: str, p: str, capacity: int, world: float = WORLD) -> str:
     """name_cells and name (leaves) over a table with p_x and p_y."""
-    cell = lambda a: f"greatest(ceil({p}_{a} / ({WORLD}::DOUBLE / power(2, level))) - 1, 0)::BIGINT"
+    cell = lambda a: f"greatest(ceil({p}_{a} / ({world}::DOUBLE / power(2, level))) - 1, 0)::BIGINT"
     return f"""{name}_cells AS (SELECT level, {cell("x")} AS ix, {cell("y")} AS iy, count(*) AS n FROM {source}, lv GROUP BY ALL),
 {name} AS (SELECT level * 1099511627776 + iy * 1048576 + ix AS leaf, level, ix, iy, n,
-  ix * ({WORLD}::DOUBLE / power(2, level)) AS bx, iy * ({WORLD}::DOUBLE / power(2, level)) AS by, {WORLD}::DOUBLE / power(2, level) AS w
-  FROM {name}_cells a WHERE (n <= {capacity} OR level = {quadtree.LEVELS}) AND (level = 0 OR EXISTS (
+  ix * ({world}::DOUBLE / power(2, level)) AS bx, iy * ({world}::DOUBLE / power(2, level)) AS by, {world}::DOUBLE / power(2, level) AS w
+  FROM {name}_cells a WHERE (n <= {capacity} OR level = {quadtree.FIRST_LEVELS}) AND (level = 0 OR EXISTS (
     SELECT 1 FROM {name}_cells p WHERE p.level = a.level - 1 AND p.ix = a.ix // 2 AND p.iy = a.iy // 2 AND p.n > {capacity})))"""
 
 
@@ -437,6 +437,25 @@ def _(spark, d):
     return quadtree.assign(tables.customers(spark, d), trees(spark, d)[1], "c_x", "c_y").select("c_custkey", "leaf")
 
 
+SMALL_WORLD = 65536.0
+
+
+@query(
+    "leaf_of_points_outside",
+    f"""WITH {CUSTOMER}, {LEVELS}, ci AS (SELECT * FROM c WHERE c_x < {SMALL_WORLD} AND c_y < {SMALL_WORLD}), {tree_sql("il", "ci", "c", quadtree.CAPACITY, SMALL_WORLD)}
+SELECT c_custkey, leaf FROM c LEFT JOIN il ON (c_x > bx OR bx = 0 AND c_x = 0) AND c_x <= bx + w AND (c_y > by OR by = 0 AND c_y = 0) AND c_y <= by + w AND c_x < {SMALL_WORLD} AND c_y < {SMALL_WORLD}""",
+)
+def _(spark, d):
+    c = tables.customers(spark, d)
+    tree = quadtree.leaves(c, "c_x", "c_y", world=SMALL_WORLD)
+    return quadtree.assign(c, tree, "c_x", "c_y", SMALL_WORLD, outside=True).select("c_custkey", "leaf")
+
+
+@query("points_placed", f"WITH {CUSTOMER} SELECT count(*) FILTER (c_x < {SMALL_WORLD} AND c_y < {SMALL_WORLD}) AS n_inside, count(*) FILTER (NOT (c_x < {SMALL_WORLD} AND c_y < {SMALL_WORLD})) AS n_outside, 0::BIGINT AS n_unplaced FROM c")
+def _(spark, d):
+    return quadtree.placed(tables.customers(spark, d), "c_x", "c_y", SMALL_WORLD)
+
+
 @query("leaf_overlap", f"WITH {TREES} SELECT leaf, n FROM il WHERE bx <= 60000 AND 40000 <= bx + w AND by <= 60000 AND 30000 <= by + w")
 def _(spark, d):
     return quadtree.overlapping(trees(spark, d)[1], 40000, 30000, 20000, 30000).select("leaf", "n")
@@ -519,10 +538,13 @@ PARTS = 10
 CELL = float(int(WORLD) // PARTS)
 
 
+GRID = f"""{TREES.replace("ol_cells AS", "oa_cells AS").replace("FROM ol_cells", "FROM oa_cells").replace("ol AS (", "oa AS (")},
+ol AS (SELECT i AS leaf, (i % {PARTS}) * {CELL}::DOUBLE AS bx, (i // {PARTS}) * {CELL}::DOUBLE AS by, {CELL}::DOUBLE AS w FROM range({PARTS * PARTS}) t(i)), {PAIRS}"""
+
+
 @query(
     "join_cost_virtual_grid",
-    f"""WITH {TREES.replace("ol_cells AS", "oa_cells AS").replace("FROM ol_cells", "FROM oa_cells").replace("ol AS (", "oa AS (")},
-ol AS (SELECT i AS leaf, (i % {PARTS}) * {CELL}::DOUBLE AS bx, (i // {PARTS}) * {CELL}::DOUBLE AS by, {CELL}::DOUBLE AS w FROM range({PARTS * PARTS}) t(i)), {PAIRS}, {costs_sql(K_JOIN)},
+    f"""WITH {GRID}, {costs_sql(K_JOIN)},
 seen AS (SELECT a.leaf, a.w, min(g.leaf) AS block FROM oa a JOIN ol g ON g.bx <= a.bx + a.w AND a.bx <= g.bx + g.w AND g.by <= a.by + a.w AND a.by <= g.by + g.w GROUP BY 1, 2)
 SELECT round(sum(n_blocks * s.w / {CELL}), 3) AS cost FROM seen s JOIN bc USING (block)""",
 )
@@ -530,6 +552,11 @@ def _(spark, d):
     return locality.virtual_grid_cost(spark, *trees(spark, d), K_JOIN, PARTS, WORLD).select(F.round("cost", 3).alias("cost"))
 
 
+@query("virtual_grid_storage", f"WITH {GRID}, {CATALOG} SELECT count(*) AS n_entries FROM cat")
+def _(spark, d):
+    return locality.storage(locality.virtual_grid(spark, trees(spark, d)[1], PARTS, WORLD))
+
+
 KTH = f"kth AS (SELECT max(d) AS d FROM (SELECT {d_sql('c')} AS d FROM c ORDER BY 1 LIMIT {K_SELECT}))"
 
 
@@ -573,20 +600,34 @@ def _(spark, d):
     return locality.select_cost_density(trees(spark, d)[1], AT, K_SELECT)
 
 
-PIVOT_CATALOG = f"""pv AS (SELECT leaf AS block, bx + w / 2 AS px, by + w / 2 AS py FROM ol),
-dk AS (SELECT block, d, row_number() OVER (PARTITION BY block ORDER BY d) AS k FROM (SELECT block, sqrt((c_x - px) * (c_x - px) + (c_y - py) * (c_y - py)) AS d FROM pv, c) QUALIFY k <= {locality.MAX_K}),
+PIVOT_STEPS = f"""dk AS (SELECT block, d, row_number() OVER (PARTITION BY block ORDER BY d) AS k FROM (SELECT block, sqrt((c_x - px) * (c_x - px) + (c_y - py) * (c_y - py)) AS d FROM pv, c) QUALIFY k <= {locality.MAX_K}),
 nb AS (SELECT block, {norm_sql(point_gap_sql("px", "bx"), point_gap_sql("py", "by"))} AS near FROM pv, il),
 kc AS (SELECT dk.block, k, count(*) AS n_blocks FROM dk JOIN nb ON nb.block = dk.block AND near <= d GROUP BY 1, 2),
-ki AS (SELECT block, n_blocks, min(k) AS start_k, max(k) AS e FROM kc GROUP BY 1, 2)
-SELECT block, start_k, CASE WHEN lead(start_k) OVER (PARTITION BY block ORDER BY start_k) IS NULL THEN {locality.MAX_K} ELSE e END::BIGINT AS end_k, n_blocks FROM ki"""
+ki AS (SELECT block, n_blocks, min(k) AS start_k, max(k) AS e FROM kc GROUP BY 1, 2),
+pcat AS (SELECT block, start_k, CASE WHEN lead(start_k) OVER (PARTITION BY block ORDER BY start_k) IS NULL THEN {locality.MAX_K} ELSE e END::BIGINT AS end_k, n_blocks FROM ki)"""
 
 
-@query("select_catalog_centers", f"WITH {TREES}, {PIVOT_CATALOG}")
+@query("select_catalog_centers", f"WITH {TREES}, pv AS (SELECT leaf AS block, bx + w / 2 AS px, by + w / 2 AS py FROM ol), {PIVOT_STEPS} SELECT * FROM pcat")
 def _(spark, d):
     outer, inner = trees(spark, d)
     return locality.pivot_catalog(locality.center_pivots(outer), inner, tables.customers(spark, d), "c_x", "c_y")
 
 
+@query(
+    "select_catalog_corners",
+    f"""WITH {TREES}, co AS (SELECT leaf, bx + w * (i % 2) AS px, by + w * (i // 2) AS py FROM ol, range(4) t(i)),
+pv AS (SELECT DISTINCT (px * 1048576 + py)::BIGINT AS block, px, py FROM co), {PIVOT_STEPS},
+cat AS (SELECT co.leaf AS block, start_k, end_k, n_blocks FROM co JOIN pcat p ON p.block = (px * 1048576 + py)::BIGINT),
+ks AS (SELECT DISTINCT block, start_k AS k FROM cat),
+mx AS (SELECT ks.block, k, max(n_blocks) AS v FROM ks JOIN cat ON cat.block = ks.block AND k BETWEEN start_k AND end_k GROUP BY 1, 2),
+mf AS (SELECT * FROM (SELECT *, lag(v) OVER (PARTITION BY block ORDER BY k) AS before FROM mx) WHERE before IS NULL OR before <> v)
+SELECT block, k AS start_k, coalesce(lead(k) OVER (PARTITION BY block ORDER BY k) - 1, {locality.MAX_K})::BIGINT AS end_k, v AS n_blocks FROM mf""",
+)
+def _(spark, d):
+    outer, inner = trees(spark, d)
+    return locality.corner_catalog(outer, inner, tables.customers(spark, d), "c_x", "c_y")
+
+
 @query(
     "estimate_accuracy",
     f"""WITH {SAMPLED}, {PAIRS}, {costs_sql(K_JOIN)}, e AS (SELECT {SAMPLED_COST} AS v), """

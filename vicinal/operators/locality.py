@@ -11,18 +11,18 @@ for every range of k how many leaves that is, and how many points they hold.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..sources.tables import WORLD
 from . import quadtree
-from .join import _cut, in_place
+from .join import Side, _cut, in_place, pruned
 
 MAX_K = 10_000
 
 
-def within(blocks: DataFrame, inner: DataFrame, levels: int = quadtree.LEVELS, world: float = WORLD) -> DataFrame:
+def within(blocks: DataFrame, inner: DataFrame, levels: int = quadtree.DEEPEST, world: float = WORLD) -> DataFrame:
     """(block, ax, ay, aw, radius, other, n, bx, by, w, near, far): every inner leaf no farther than a block's radius.
 
     A block looks at the cells of about its radius around it, at most four an
@@ -52,7 +52,7 @@ def within(blocks: DataFrame, inner: DataFrame, levels: int = quadtree.LEVELS, w
     return met.where(F.col("near") <= F.col("radius"))
 
 
-def _pairs(outer: DataFrame, inner: DataFrame, k: int, levels: int = quadtree.LEVELS, world: float = WORLD) -> DataFrame:
+def _pairs(outer: DataFrame, inner: DataFrame, k: int, levels: int = quadtree.DEEPEST, world: float = WORLD) -> DataFrame:
     """(block, other, n, near, far): the inner leaves that a scan for k points from each outer leaf can come to.
 
     A cell over a block's centre with k points bounds how far the scan goes, to
@@ -140,20 +140,21 @@ def lookup(entries: DataFrame, k: int) -> DataFrame:
     return entries.withColumn("_k", at).where(F.col("_k").between(F.col("start_k"), F.col("end_k"))).drop("_k")
 
 
-def merge_max(entries: DataFrame, value: str = "n_blocks") -> DataFrame:
-    """(start_k, end_k, value): the largest of all blocks' catalogs for every k, equal neighbours joined.
+def merge_max(entries: DataFrame, value: str = "n_blocks", by: str | None = None) -> DataFrame:
+    """(start_k, end_k, value): the largest of all blocks' catalogs for every k, equal neighbours joined; with `by`, of each group.
 
     Values of a block grow with k and its catalog goes up to the last k, as
     localities do; so the largest at k is the largest that began by then, a
     running maximum over the first values of k, of which there are at most as
     many as the largest k.
     """
-    at = entries.groupBy(F.col("start_k").alias("k")).agg(F.max(value).alias("v"), F.max("end_k").alias("e"))
-    order = Window.orderBy("k")
+    group = [by] if by else []
+    at = entries.groupBy(*group, F.col("start_k").alias("k")).agg(F.max(value).alias("v"), F.max("end_k").alias("e"))
+    order = Window.partitionBy(*group).orderBy("k")
     ends = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    run = at.select("k", F.max("v").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(value), ends.alias("_end"))
+    run = at.select(*group, "k", F.max("v").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(value), ends.alias("_end"))
     first = run.withColumn("_before", F.lag(value).over(order)).where(F.col("_before").isNull() | (F.col("_before") != F.col(value)))
-    return first.select(F.col("k").alias("start_k"), F.coalesce(F.lead("k").over(order) - 1, F.col("_end")).alias("end_k"), value)
+    return first.select(*group, F.col("k").alias("start_k"), F.coalesce(F.lead("k").over(order) - 1, F.col("_end")).alias("end_k"), value)
 
 
 def merge_sum(entries: DataFrame, value: str = "n_blocks") -> DataFrame:
@@ -180,21 +181,36 @@ def grid(parts: int, world: float) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(parts * parts - 1)), lambda i: F.struct(i.cast("long").alias("cell"), ((i % parts) * width).alias("gx"), (F.floor(i / parts) * width).alias("gy"), F.lit(width).alias("gw")))
 
 
-def virtual_grid(spark, inner: DataFrame, parts: int, world: float, max_k: int = MAX_K) -> DataFrame:
+def grid_cells(spark: SparkSession, parts: int, world: float) -> DataFrame:
+    """The cells of a grid as blocks (leaf, bx, by, w)."""
+    return spark.range(1).select(F.explode(grid(parts, world)).alias("c")).select(F.col("c.cell").alias("leaf"), F.col("c.gx").alias("bx"), F.col("c.gy").alias("by"), F.col("c.gw").alias("w"))
+
+
+def virtual_grid(spark: SparkSession, inner: DataFrame, parts: int, world: float, max_k: int = MAX_K) -> DataFrame:
     """A catalog for every cell of a grid over the inner leaves."""
-    cells = spark.range(1).select(F.explode(grid(parts, world)).alias("c")).select(F.col("c.cell").alias("leaf"), F.col("c.gx").alias("bx"), F.col("c.gy").alias("by"), F.col("c.gw").alias("w"))
-    return catalog(cells, inner, max_k)
+    return catalog(grid_cells(spark, parts, world), inner, max_k)
 
 
-def virtual_grid_cost(spark, outer: DataFrame, inner: DataFrame, k: int, parts: int, world: float) -> DataFrame:
+def virtual_grid_cost(spark: SparkSession, outer: DataFrame, inner: DataFrame, k: int, parts: int, world: float) -> DataFrame:
     """Join cost from the grid: each outer leaf costs its first cell's locality, by the ratio of their diagonals."""
-    cells = spark.range(1).select(F.explode(grid(parts, world)).alias("c")).select(F.col("c.cell").alias("leaf"), F.col("c.gx").alias("bx"), F.col("c.gy").alias("by"), F.col("c.gw").alias("w"))
     width = float(int(world) // parts)
     # the first cell, by rows, that shares a point with the leaf: closed boxes, so the one whose high edge is the leaf's low edge
     first = lambda low: F.greatest(F.ceil(low / width) - 1, F.lit(0)).cast("long")
     seen = outer.where((first(F.col("bx")) < parts) & (first(F.col("by")) < parts)).select("w", (first(F.col("by")) * parts + first(F.col("bx"))).alias("block"))
     weight = seen.groupBy("block").agg(F.sum(F.col("w") / width).alias("share"))
-    return block_costs(cells, inner, k).join(weight, "block").agg(F.sum(F.col("n_blocks") * F.col("share")).alias("cost"))
+    return block_costs(grid_cells(spark, parts, world), inner, k).join(weight, "block").agg(F.sum(F.col("n_blocks") * F.col("share")).alias("cost"))
+
+
+def nearest_distances(pivots: DataFrame, points: DataFrame, x: str, y: str, k: int) -> DataFrame:
+    """(block, px, py, d): the distances of the k nearest points from pivots (block, px, py), each point's own."""
+    inner = points.select(F.lit(0).alias("_any"), F.col(x).cast("double").alias("_at_x"), F.col(y).cast("double").alias("_at_y"))
+    return pruned(Side(pivots.select("block", "px", "py"), "block", "px", "py"), Side(inner, "_any", "_at_x", "_at_y"), k).select("block", "px", "py", "d")
+
+
+def leaves_met(distances: DataFrame, inner: DataFrame) -> DataFrame:
+    """(block, near): the leaves no farther from a pivot than its farthest distance, met by the numbers of cells."""
+    blocks = distances.groupBy("block", F.col("px").alias("ax"), F.col("py").alias("ay")).agg(F.max("d").alias("radius"))
+    return within(_cut(blocks.withColumn("aw", F.lit(0.0))), inner).select("block", "near")
 
 
 def pivot_catalog(pivots: DataFrame, inner: DataFrame, points: DataFrame, x: str, y: str, max_k: int = MAX_K) -> DataFrame:
@@ -202,17 +218,33 @@ def pivot_catalog(pivots: DataFrame, inner: DataFrame, points: DataFrame, x: str
 
     For the kth distance d, those are the leaves with a least distance of at
     most d. Points go with leaves in distance order, so the kth point has met
-    them; equal counts in a row make an interval.
+    them; equal counts in a row make an interval. A pivot's max_k nearest come
+    from the counts of cells and its leaves by cell numbers: what is gone through
+    grows with pivots and max_k, not with pivots times points.
     """
-    far = points.join(F.broadcast(pivots), F.lit(True)).select("block", g.distance(F.col(x), F.col(y), F.col("px"), F.col("py")).alias("v"), F.lit(1).alias("kind"))
-    near = inner.join(F.broadcast(pivots), F.lit(True)).select("block", g.min_dist_point(F.col("px"), F.col("py"), F.col("bx"), F.col("by"), F.col("w")).alias("v"), F.lit(0).alias("kind"))
+    inner = _cut(inner)
+    found = _cut(nearest_distances(pivots, points, x, y, max_k))
+    far = found.select("block", F.col("d").alias("v"), F.lit(1).alias("kind"))
+    near = leaves_met(found, inner).select("block", F.col("near").alias("v"), F.lit(0).alias("kind"))
     order = Window.partitionBy("block").orderBy("v", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    run = far.unionByName(near).withColumns({"k": F.sum("kind").over(order), "n_blocks": F.sum(1 - F.col("kind")).over(order)}).where((F.col("kind") == 1) & (F.col("k") <= max_k))
+    run = far.unionByName(near).withColumns({"k": F.sum("kind").over(order), "n_blocks": F.sum(1 - F.col("kind")).over(order)}).where(F.col("kind") == 1)
     steps = run.groupBy("block", "n_blocks").agg(F.min("k").alias("start_k"), F.max("k").alias("end_k"))
     last = F.lead("start_k").over(Window.partitionBy("block").orderBy("start_k")).isNull()
     return steps.select("block", "start_k", F.when(last, F.lit(max_k)).otherwise(F.col("end_k")).cast("long").alias("end_k"), "n_blocks")
 
 
+def corner_catalog(tree: DataFrame, inner: DataFrame, points: DataFrame, x: str, y: str, max_k: int = MAX_K, world: float = WORLD) -> DataFrame:
+    """(block, start_k, end_k, n_blocks) for every leaf: the most leaves read from any of its corners, for every k.
+
+    Corners that leaves share are gone through once.
+    """
+    fine = lambda c: F.round(F.col(c) * (2.0**quadtree.DEEPEST / world)).cast("long")
+    corners = _cut(corner_pivots(tree).withColumn("place", fine("px") * (1 << (quadtree.DEEPEST + 1)) + fine("py")))
+    places = corners.groupBy(F.col("place").alias("block")).agg(F.min("px").alias("px"), F.min("py").alias("py"))
+    entries = pivot_catalog(places, inner, points, x, y, max_k).withColumnRenamed("block", "place")
+    return merge_max(corners.select("block", "place").join(entries, "place"), by="block")
+
+
 def select_cost(points: DataFrame, inner: DataFrame, at: tuple[float, float], k: int, x: str, y: str) -> DataFrame:
     """One row: leaves that distance browsing reads for the k nearest of a point."""
     px, py = F.lit(float(at[0])), F.lit(float(at[1]))
@@ -239,13 +271,16 @@ def corner_pivots(tree: DataFrame) -> DataFrame:
 
 
 def pivot_costs(pivots: DataFrame, inner: DataFrame, points: DataFrame, k: int, x: str, y: str) -> DataFrame:
-    """pivots with the leaves that browsing reads for k from each (name their key `pivot`)."""
+    """(pivot, n_blocks): the leaves that browsing reads for k from the pivots (pivot, px, py) of one leaf.
+
+    These are five rows at most, which every task gets; for the pivots of many
+    leaves look k up in a pivot_catalog().
+    """
     far = points.join(F.broadcast(pivots), F.lit(True)).select("pivot", g.distance(F.col(x), F.col(y), F.col("px"), F.col("py")).alias("d"))
     rank = F.row_number().over(Window.partitionBy("pivot").orderBy("d"))
-    kth = far.withColumn("_r", rank).where(F.col("_r") <= k).groupBy("pivot").agg(F.max("d").alias("kth"))
-    with_kth = pivots.join(kth, "pivot")
+    kth = far.where(F.col("d").isNotNull() & ~F.isnan("d")).withColumn("_r", rank).where(F.col("_r") <= k).groupBy("pivot").agg(F.max("d").alias("kth"))
     near = g.min_dist_point(F.col("px"), F.col("py"), F.col("bx"), F.col("by"), F.col("w"))
-    return inner.join(F.broadcast(with_kth), near <= F.col("kth")).groupBy("pivot").agg(F.count(F.lit(1)).alias("n_blocks"))
+    return inner.join(F.broadcast(pivots.join(kth, "pivot")), near <= F.col("kth")).groupBy("pivot").agg(F.count(F.lit(1)).alias("n_blocks"))
 
 
 def select_cost_center(points: DataFrame, inner: DataFrame, at: tuple[float, float], k: int, x: str, y: str) -> DataFrame:

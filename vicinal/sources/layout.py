@@ -143,7 +143,7 @@ def write(points: DataFrame, path: str, x: str, y: str, capacity: int = 64) -> N
     levels = min(DEEPEST, tables.levels_for(side.df.count(), capacity))
     while levels < DEEPEST and _densest(moved, levels, world) > capacity:
         levels = min(DEEPEST, levels + 4)
-    tree = quadtree.leaves(moved, "_mx", "_my", capacity, levels, world).withColumns({"bx": F.col("bx") + low_x, "by": F.col("by") + low_y})
+    tree = quadtree.leaves(moved, "_mx", "_my", capacity, levels, world, deepest=levels).withColumns({"bx": F.col("bx") + low_x, "by": F.col("by") + low_y})
     tree.write.mode("overwrite").parquet(f"{path}/leaves")
     cell = lambda c: g.cell(F.col(c), levels, world)
     placed = moved.withColumn(PLACE, place(cell("_mx"), cell("_my"))).drop("_mx", "_my")
