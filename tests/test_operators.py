@@ -319,3 +319,16 @@ def test_scans_by_distance(spark):
     assert near == sorted(near) and 0 < len(near) < tree.count() and near[-1] <= 2000.0
     explored = select.browsed_leaves(df, 20, at, "c_x", "c_y", 10).first()[0]
     assert explored == locality.select_cost(df, tree, at, 20, "c_x", "c_y").first()[0]
+
+
+def test_a_sweep_equals_its_selects_one_by_one(spark):
+    df = points(spark, [(i % 4, 0) for i in range(12)])  # ties
+    orders = spark.createDataFrame([(i, i % 5, "F", float(i)) for i in range(60)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double")
+    parameters = [(3, 30.0, 2), (9, 30.0, 2), (9, 60.0, 11), (9, 12.0, -1), (0, 60.0, 0)]
+    xy = ((0.0, 0.0), "c_x", "c_y", "c_key")
+    got = select.p_sweep(df, orders, parameters, *xy).collect()
+    n = lambda key, price: sum(i % 5 == key and i < price for i in range(60))
+    order = sorted(range(12), key=lambda i: (i % 4, i))
+    want = {(k, price, c, key) for k, price, c in parameters for key in order[:k] if n(key, price) > c}
+    assert {(r["k"], r["price_below"], r["more_than"], r["c_key"]) for r in got} == want and len(got) == len(want)
+    assert select.p_sweep(df, orders, [], *xy).isEmpty() and select.p_sweep(df.limit(0), orders, parameters, *xy).isEmpty()

@@ -179,6 +179,22 @@ def _(spark, d):
     return run(c, cheap_keys(spark, d), K_SELECT, AT, *CXY).select("c_custkey", "d")
 
 
+#: (k, price, orders) of a sweep: over prices, over k and over counts.
+SWEEP = [(10, p, 5) for p in range(50_000, 500_000, 50_000)] + [(2**i, 250_000, 5) for i in range(1, 10)] + [(128, 300_000, c) for c in range(-1, 12)]
+SWEEP = sorted(set(SWEEP))
+
+
+@query(
+    "knn_select_p_sweep",
+    f"""WITH {CUSTOMER}, prm(k, price_below, more_than) AS (VALUES {", ".join(f"({k}::BIGINT, {p}::DOUBLE, {c}::BIGINT)" for k, p, c in SWEEP)}),
+r AS (SELECT c_custkey, d, row_number() OVER (ORDER BY d, c_custkey) AS rn FROM ({NEAREST})),
+n AS (SELECT price_below, o_custkey, count(*) AS n FROM (SELECT DISTINCT price_below FROM prm) JOIN orders ON o_totalprice < price_below GROUP BY 1, 2)
+SELECT k, prm.price_below, more_than, c_custkey, d FROM prm JOIN r ON rn <= k LEFT JOIN n ON n.price_below = prm.price_below AND o_custkey = c_custkey WHERE coalesce(n, 0) > more_than""",
+)
+def _(spark, d):
+    return select.p_sweep(tables.customers(spark, d), tables.orders(spark, d), SWEEP, AT, *CXY)
+
+
 @query("knn_select_q_relfirst", Q_SELECT)
 def _(spark, d):
     return select.q_relational_first(tables.customers(spark, d), cheap_keys(spark, d), K_SELECT, AT, *CXY).select("c_custkey", "d")
