@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators import join, locality, predicates, quadtree, select
 from .operators.join import Side
-from .plans import planner
+from .plans import distribution, planner
 from .sources import layout, tables
 from .sources.tables import WORLD
 
@@ -184,9 +184,13 @@ SWEEP = [(10, p, 5) for p in range(50_000, 500_000, 50_000)] + [(2**i, 250_000,
 SWEEP = sorted(set(SWEEP))
 
 
+def values_sql(parameters: predicates.Parameters) -> str:
+    return ", ".join(f"({k}::BIGINT, {p}::DOUBLE, {c}::BIGINT)" for k, p, c in parameters)
+
+
 @query(
     "knn_select_p_sweep",
-    f"""WITH {CUSTOMER}, prm(k, price_below, more_than) AS (VALUES {", ".join(f"({k}::BIGINT, {p}::DOUBLE, {c}::BIGINT)" for k, p, c in SWEEP)}),
+    f"""WITH {CUSTOMER}, prm(k, price_below, more_than) AS (VALUES {values_sql(SWEEP)}),
 r AS (SELECT c_custkey, d, row_number() OVER (ORDER BY d, c_custkey) AS rn FROM ({NEAREST})),
 n AS (SELECT price_below, o_custkey, count(*) AS n FROM (SELECT DISTINCT price_below FROM prm) JOIN orders ON o_totalprice < price_below GROUP BY 1, 2)
 SELECT k, prm.price_below, more_than, c_custkey, d FROM prm JOIN r ON rn <= k LEFT JOIN n ON n.price_below = prm.price_below AND o_custkey = c_custkey WHERE coalesce(n, 0) > more_than""",
@@ -195,6 +199,19 @@ def _(spark, d):
     return select.p_sweep(tables.customers(spark, d), tables.orders(spark, d), SWEEP, AT, *CXY)
 
 
+@query(
+    "knn_select_q_sweep",
+    f"""WITH {CUSTOMER}, prm(k, price_below, more_than) AS (VALUES {values_sql(SWEEP)}),
+n AS (SELECT price_below, o_custkey, count(*) AS n FROM (SELECT DISTINCT price_below FROM prm) JOIN orders ON o_totalprice < price_below GROUP BY 1, 2),
+cond AS (SELECT DISTINCT price_below, more_than FROM prm),
+r AS (SELECT cond.price_below, more_than, c_custkey, d, row_number() OVER (PARTITION BY cond.price_below, more_than ORDER BY d, c_custkey) AS rn
+  FROM ({NEAREST}) CROSS JOIN cond LEFT JOIN n ON n.price_below = cond.price_below AND o_custkey = c_custkey WHERE coalesce(n, 0) > more_than)
+SELECT k, price_below, more_than, c_custkey, d FROM prm JOIN r USING (price_below, more_than) WHERE rn <= k""",
+)
+def _(spark, d):
+    return select.q_sweep(tables.customers(spark, d), tables.orders(spark, d), SWEEP, AT, *CXY)
+
+
 @query("knn_select_q_relfirst", Q_SELECT)
 def _(spark, d):
     return select.q_relational_first(tables.customers(spark, d), cheap_keys(spark, d), K_SELECT, AT, *CXY).select("c_custkey", "d")
@@ -352,6 +369,33 @@ def _(spark, d):
     return shown(join.q_relational_first(inner_side(spark, d), outer_side(spark, d), late_of(spark, d), K_JOIN), "c_custkey", "s_suppkey")
 
 
+#: (k, price, orders) of the joins' sweeps.
+JOIN_SWEEP = sorted({(5, p, 5) for p in (100_000, 150_000, 250_000, 400_000)} | {(k, 250_000, 5) for k in (1, 2, 16)} | {(5, 250_000, c) for c in (0, 9, 14)})
+SWEEP_COUNTS = f"""prm(k, price_below, more_than) AS (VALUES {values_sql(JOIN_SWEEP)}),
+n AS (SELECT price_below, o_custkey, count(*) AS n FROM (SELECT DISTINCT price_below FROM prm) JOIN orders ON o_totalprice < price_below GROUP BY 1, 2)"""
+MOST = max(k for k, _, _ in JOIN_SWEEP)
+
+
+@query(
+    "knn_join_p_sweep",
+    f"""WITH {CUSTOMER}, {SUPPLIER}, {SWEEP_COUNTS}, r AS ({ranked_sql("s, c", MOST)})
+SELECT k, prm.price_below, more_than, s_suppkey, c_custkey, d, rn FROM prm JOIN r ON rn <= k LEFT JOIN n ON n.price_below = prm.price_below AND o_custkey = c_custkey WHERE coalesce(n, 0) > more_than""",
+)
+def _(spark, d):
+    return join.p_sweep(outer_side(spark, d), inner_side(spark, d), tables.orders(spark, d), JOIN_SWEEP).withColumn("rn", F.col("rn").cast("long"))
+
+
+@query(
+    "knn_join_q_sweep",
+    f"""WITH {CUSTOMER}, {SUPPLIER}, {SWEEP_COUNTS}, cond AS (SELECT DISTINCT price_below, more_than FROM prm),
+q AS (SELECT cond.price_below, more_than, c.* FROM c CROSS JOIN cond LEFT JOIN n ON n.price_below = cond.price_below AND o_custkey = c_custkey WHERE coalesce(n, 0) > more_than),
+r AS (SELECT *, row_number() OVER (PARTITION BY price_below, more_than, s_suppkey ORDER BY d, c_custkey)::BIGINT AS rn FROM (SELECT price_below, more_than, s_suppkey, c_custkey, {D_PAIR} AS d FROM s, q) QUALIFY rn <= {MOST})
+SELECT k, price_below, more_than, s_suppkey, c_custkey, d, rn FROM prm JOIN r USING (price_below, more_than) WHERE rn <= k""",
+)
+def _(spark, d):
+    return join.q_sweep(outer_side(spark, d), inner_side(spark, d), tables.orders(spark, d), JOIN_SWEEP).withColumn("rn", F.col("rn").cast("long"))
+
+
 THETA = f"WITH {CUSTOMER}, {SUPPLIER} {ranked_sql('s JOIN c ON c_acctbal < s_acctbal')}"
 
 
@@ -379,6 +423,29 @@ def _(spark, d):
     return shown(join.below(near, inner, K_JOIN, "c_acctbal", "s_acctbal")).unionByName(shown(join.theta_relational(rest, inner, K_JOIN, "c_acctbal", "s_acctbal")))
 
 
+@query("knn_join_theta_sketched", THETA)
+def _(spark, d):
+    outer, inner = _theta_sides(spark, d)
+    stats = distribution.summary(inner.df, "c_acctbal")
+    # shares of an earlier table would do as well, so the choice is of plan alone
+    known = join._cut(distribution.with_share_below(outer.df, stats, "c_acctbal", "s_acctbal", "_share").withColumn("_by", F.coalesce(planner.prefers_locality(F.col("_share"), inner.rows(), K_JOIN), F.lit(False))))
+    near, rest = (Side(known.where(F.col("_by") == by).drop("_by", "_share"), outer.key, outer.x, outer.y) for by in (True, False))
+    return shown(join.below(near, inner, K_JOIN, "c_acctbal", "s_acctbal")).unionByName(shown(join.theta_relational(rest, inner, K_JOIN, "c_acctbal", "s_acctbal")))
+
+
+@query(
+    "theta_selectivity",
+    f"""WITH {CUSTOMER}, {SUPPLIER} SELECT s_suppkey, (SELECT count(*) FROM c WHERE c.c_acctbal < s.s_acctbal) AS n_under,
+round(least(greatest((s_acctbal + 999.99) / (9999.99 + 999.99), 0.0::DOUBLE), 1.0::DOUBLE), 9) AS uniform, true AS sketch_within_error FROM s""",
+)
+def _(spark, d):
+    outer, inner = _theta_sides(spark, d)
+    shares = distribution.with_share_below(outer.df, distribution.summary(inner.df, "c_acctbal"), "c_acctbal", "s_acctbal", "share")
+    counted = shares.join(join.under_limit(outer, inner, "c_acctbal", "s_acctbal"), "s_suppkey")
+    exact = F.col("n_under") / F.lit(inner.rows())
+    return counted.select("s_suppkey", "n_under", F.round(planner.uniform_selectivity(F.col("s_acctbal")), 9).alias("uniform"), distribution.within_error(F.col("share"), exact).alias("sketch_within_error"))
+
+
 COARSE_C = "c AS (SELECT c_custkey, floor(c_x / 4000) * 4000 AS c_x, floor(c_y / 4000) * 4000 AS c_y FROM c0)"
 COARSE_S = "s AS (SELECT s_suppkey, floor(s_x / 4000) * 4000 AS s_x, floor(s_y / 4000) * 4000 AS s_y FROM s0)"
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..sources.tables import WORLD
-from . import quadtree
+from . import predicates, quadtree
 
 #: Outer rows up to which a nested loop is taken: what it sends to every executor.
 NESTED_ROWS = 10_000
@@ -462,6 +462,63 @@ def q_knn_first(outer: Side, inner: Side, qualify: Qualify, k: int, ties: str =
     return rows.join(best_k(found, "_row", inner.key, k, ties), "_row").drop("_row", "_group")
 
 
+def p_sweep(outer: Side, inner: Side, orders: DataFrame, parameters: predicates.Parameters, ties: str = "break") -> DataFrame:
+    """(k, price_below, more_than, outer key, inner key, d, rn): the level P join for every (k, price, count) of some parameters, in one plan.
+
+    The join runs once, for the largest k, and the orders of what it found are
+    read once and counted under every price. Ties, nulls and names are as for
+    other joins; no parameters give no rows.
+    """
+    outer, inner = _apart(outer, inner)
+    found = _cut(knn_join(outer, inner, max((k for k, _, _ in parameters), default=0), ties=ties).select(outer.key, inner.key, "d", "rn"))
+    mine = orders.join(found.select(F.col(inner.key).alias("o_custkey")).distinct(), "o_custkey", "left_semi")
+    counts, each = predicates.swept_counts(mine, parameters)
+    every = found.join(counts, F.col(inner.key) == F.col("o_custkey"), "left").select(outer.key, inner.key, "d", "rn", F.explode(each).alias("_p"))
+    return every.where((F.col("rn") <= F.col("_p.k")) & (F.col("_p.n") > F.col("_p.more_than"))).select("_p.k", "_p.price_below", "_p.more_than", outer.key, inner.key, "d", "rn")
+
+
+def q_sweep(outer: Side, inner: Side, orders: DataFrame, parameters: predicates.Parameters, ties: str = "break", capacity: int = quadtree.CAPACITY, step: int = 2) -> DataFrame:
+    """As p_sweep() at level Q: what qualifies under each condition is a group of points, and all groups are gone through together.
+
+    Orders are read once, each condition's join runs once for its largest k in
+    the same jobs as the others, and smaller k are taken from its ranks.
+    """
+    conditions = sorted({(float(p), c) for _, p, c in parameters})
+    counts, each = predicates.swept_counts(orders, [(i, p, c) for i, (p, c) in enumerate(conditions)])
+    outer, inner = _apart(outer, inner)
+    rows, inner = numbered(outer), inner.located()
+    box = bounds(Side(rows, outer.key, outer.x, outer.y), inner)
+    both = inner.df.select(inner.key, inner.x, inner.y).join(counts, F.col(inner.key) == F.col("o_custkey"), "left")
+    both = both.select(inner.key, inner.x, inner.y, F.explode(each).alias("_p")).where(F.col("_p.n") > F.col("_p.more_than"))
+    groups = _cut(both.select(inner.key, inner.x, inner.y, F.col("_p.k").alias("_group")))
+    # an outer row is one row a condition, named by its number and the condition's
+    n = max(len(conditions), 1)
+    every = F.array(*[F.lit(i) for i in range(len(conditions))]).cast("array<bigint>")
+    lead = rows.select("_row", outer.x, outer.y, F.explode(every).alias("_group"))
+    lead = _cut(lead.withColumn("_row", F.col("_row") * n + F.col("_group")))
+    cells = Cells(Side(groups, inner.key, inner.x, inner.y), box, "_group", capacity, step, grouped=True)
+    most = max((k for k, _, _ in parameters), default=0)
+    found = best_k(_pairs(lead, outer, inner, most, cells), "_row", inner.key, most, ties)
+    asked = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(float(p)).alias("price_below"), F.lit(c).cast("long").alias("more_than"), F.lit(conditions.index((float(p), c))).alias("i")) for k, p, c in parameters])
+    asked = asked.cast("array<struct<k: bigint, price_below: double, more_than: bigint, i: int>>")
+    every = found.select(F.floor(F.col("_row") / n).alias("_row"), F.pmod("_row", F.lit(n)).alias("_i"), inner.key, "d", "rn", F.explode(asked).alias("_p"))
+    every = every.where((F.col("_p.i") == F.col("_i")) & (F.col("rn") <= F.col("_p.k")))
+    return every.join(rows.select("_row", outer.key), "_row").select("_p.k", "_p.price_below", "_p.more_than", outer.key, inner.key, "d", "rn")
+
+
+def under_limit(outer: Side, inner: Side, value: str, limit: str) -> DataFrame:
+    """(outer key, n_under): how many inner values are under each outer row's limit, from their places in one order.
+
+    Null and NaN values are under nothing; outer rows without a limit have no row.
+    """
+    outer, inner, value, limit = _apart(outer, inner, value, limit)
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    own, _, _ = in_order(outer.df.where(known(limit)).select(outer.key, limit), inner.df.where(known(value)).select(value), value, limit)
+    # a limit's place counts the limits before it too
+    alone, _ = in_place(own.select(outer.key, F.col("_place").alias("_of_all")), "_of_all")
+    return alone.select(outer.key, (F.col("_of_all") - F.col("_place")).alias("n_under"))
+
+
 def keep_empty(result: DataFrame, outer: Side) -> DataFrame:
     """With the outer rows that have no neighbour, once each."""
     return outer.df.select(outer.key).join(result, outer.key, "left")

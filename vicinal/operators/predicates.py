@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,20 @@ def by_order_count(customers: DataFrame, orders: DataFrame, more_than: int, pric
     return customers.join(counts, F.col("c_custkey") == F.col("o_custkey"), "left").where(F.coalesce("n", F.lit(0)) > more_than).select("c_custkey")
 
 
+#: (k, price, count): the k nearest that have more than so many orders strictly under a price.
+Parameters = list[tuple[int, float, int]]
+#: What a swept row begins with.
+SWEPT = "struct<k: bigint, price_below: double, more_than: bigint, n: bigint>"
+
+
+def swept_counts(orders: DataFrame, parameters: Parameters) -> tuple[DataFrame, Column]:
+    """(o_custkey, counts under every price of some parameters), from one reading of the orders; and the parameters as an array of SWEPT, n being a customer's count, 0 without orders."""
+    prices = sorted({float(p) for _, p, _ in parameters})
+    counts = orders.groupBy("o_custkey").agg(*[F.count_if(F.col("o_totalprice") < p).alias(f"_n{i}") for i, p in enumerate(prices)] or [F.first("o_custkey").alias("_n")])
+    each = [F.struct(F.lit(k).cast("long").alias("k"), F.lit(float(p)).alias("price_below"), F.lit(c).cast("long").alias("more_than"), F.coalesce(F.col(f"_n{prices.index(float(p))}"), F.lit(0)).cast("long").alias("n")) for k, p, c in parameters]
+    return counts, F.array(*each).cast(f"array<{SWEPT}>")
+
+
 def late_counts(suppliers: DataFrame, items: DataFrame, orders: DataFrame, mode: str = "reference") -> DataFrame:
     """(s_suppkey, late_count) for every supplier, 0 without such items.
 

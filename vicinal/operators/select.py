@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from . import quadtree
+from . import predicates, quadtree
 
 FOCUS = (50000.0, 40000.0)
 
@@ -40,26 +40,38 @@ def p_relational_first(points: DataFrame, keys: DataFrame, k: int, at: tuple[flo
     return qualified.join(F.broadcast(last), within).drop("_last")
 
 
-def p_sweep(points: DataFrame, orders: DataFrame, parameters: list[tuple[int, float, int]], at: tuple[float, float], x: str, y: str, key: str) -> DataFrame:
+def p_sweep(points: DataFrame, orders: DataFrame, parameters: predicates.Parameters, at: tuple[float, float], x: str, y: str, key: str) -> DataFrame:
     """(k, price_below, more_than, key, d): the level P select for every (k, price, count) of some parameters, in one plan.
 
     The nearest for the largest k are found once, and their orders are read once
     and counted under every price. A key qualifies with more than so many orders;
     below 0, without any too. No parameters give no rows.
     """
-    prices = sorted({float(p) for _, p, _ in parameters})
     near = nearest(points, max((k for k, _, _ in parameters), default=0), at, x, y, key).select(key, "d")
     ranked = near.withColumn("_rank", F.row_number().over(Window.orderBy("d", key)))  # rows of one parameter
     mine = orders.join(ranked.select(F.col(key).alias("o_custkey")).distinct(), "o_custkey", "left_semi")
-    counts = mine.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("_all"), *[F.count_if(F.col("o_totalprice") < p).alias(f"_n{i}") for i, p in enumerate(prices)])
-    each = [F.struct(F.lit(k).cast("long").alias("k"), F.lit(float(p)).alias("price_below"), F.lit(c).cast("long").alias("more_than"), F.coalesce(F.col(f"_n{prices.index(float(p))}"), F.lit(0)).alias("n")) for k, p, c in parameters]
+    counts, each = predicates.swept_counts(mine, parameters)
     both = ranked.join(counts, F.col(key) == F.col("o_custkey"), "left")
-    if not each:
-        return both.limit(0).select(F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("price_below"), F.lit(0).cast("long").alias("more_than"), key, "d")
-    every = both.select(key, "d", "_rank", F.explode(F.array(*each)).alias("p")).where((F.col("_rank") <= F.col("p.k")) & (F.col("p.n") > F.col("p.more_than")))
+    every = both.select(key, "d", "_rank", F.explode(each).alias("p")).where((F.col("_rank") <= F.col("p.k")) & (F.col("p.n") > F.col("p.more_than")))
     return every.select("p.k", "p.price_below", "p.more_than", key, "d")
 
 
+def q_sweep(points: DataFrame, orders: DataFrame, parameters: predicates.Parameters, at: tuple[float, float], x: str, y: str, key: str) -> DataFrame:
+    """As p_sweep() at level Q: the k nearest of those that qualify.
+
+    Points and orders are read once. A point goes to the conditions that it
+    satisfies; a task hands on no more than the largest k of each.
+    """
+    most = {(float(p), c): max(k for k, q, d in parameters if (q, d) == (p, c)) for _, p, c in parameters}
+    counts, each = predicates.swept_counts(orders, [(k, p, c) for (p, c), k in most.items()])
+    both = with_distance(points, at, x, y).select(key, "d").join(counts, F.col(key) == F.col("o_custkey"), "left")
+    qualified = both.select(key, "d", F.explode(each).alias("p")).where(F.col("p.n") > F.col("p.more_than")).select("p.price_below", "p.more_than", key, "d")
+    ranked = qualified.withColumn("_rank", F.row_number().over(Window.partitionBy("price_below", "more_than").orderBy("d", key))).where(F.col("_rank") <= max(most.values(), default=0))
+    ks = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(float(p)).alias("p"), F.lit(c).cast("long").alias("c")) for k, p, c in parameters]).cast("array<struct<k: bigint, p: double, c: bigint>>")
+    asked = ranked.select("*", F.explode(ks).alias("a")).where((F.col("a.p") == F.col("price_below")) & (F.col("a.c") == F.col("more_than")) & (F.col("_rank") <= F.col("a.k")))
+    return asked.select("a.k", "price_below", "more_than", key, "d")
+
+
 def p_knn_first(points: DataFrame, keys: DataFrame, k: int, at: tuple[float, float], x: str, y: str, key: str, ties: str = "break") -> DataFrame:
     """The k nearest, then those that qualify. keys may carry columns, which come along."""
     return nearest(points, k, at, x, y, key, ties).join(keys, key)

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import binary
+
 #: The world: points lie in [0, WORLD) on both axes.
 WORLD = 131072.0
 
@@ -91,17 +90,8 @@ def with_positions(rows: DataFrame, name: str = "pos") -> DataFrame:
 
 
 def read_points_binary(spark: SparkSession, path: str, scale: int = 10) -> DataFrame:
-    """(pos, x, y) from big-endian int32 pairs y, x; of every ten points the first `scale` stay."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for content in pdf["content"]:
-                at = np.frombuffer(content, ">i4").reshape(-1, 2)
-                pos = np.arange(len(at))
-                keep = pos % 10 < scale
-                yield pd.DataFrame({"pos": pos[keep], "x": at[keep, 1].astype(float), "y": at[keep, 0].astype(float)})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "pos long, x double, y double")
+    """(pos, x, y) from big-endian int32 pairs y, x, by ranges of bytes: see binary.read_points()."""
+    return binary.read_points(spark, path, scale)
 
 
 def sample_points(points: DataFrame, n: int, seed: int = 0) -> DataFrame:
