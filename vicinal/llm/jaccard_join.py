@@ -77,7 +77,7 @@ def also(n: int) -> int:
     Each set looks at that many more of its rarest shingles than may be missing
     in the other. Chance meets in one shingle are many, in several few.
     """
-    return 1 + (n - needed(n)) // 4
+    return 1 + (n - needed(n)) // 2
 
 
 def signed(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
