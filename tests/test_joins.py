@@ -4,10 +4,13 @@ import math
 import random
 
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
-from vicinal.operators import join
+from vicinal import catalogue
+from vicinal.operators import join, predicates
 from vicinal.operators.join import Side
+from vicinal.sources import tables
 
 
 def points(spark, n, key, seed, extra=None, at=None):
@@ -114,3 +117,27 @@ def test_below_on_one_table(spark):
     rows, t = points(spark, 200, "o", 8, lambda rng, n: rng.random())
     found = join.below(side(t, "o"), side(t, "o"), 3, "o_v", "o_v")
     assert got(found, "o", "o_inner") == nearest(rows, rows, 3, lambda a, b: b[3] < a[3])
+
+
+def test_nested_loops_give_way_by_pairs(spark, monkeypatch):
+    """Few outer rows may meet many inner ones."""
+    outer, o = points(spark, 20, "o", 9, lambda rng, n: rng.random())
+    inner, i = points(spark, 500, "i", 10, lambda rng, n: rng.random())
+    looped, loop = [], join.nested_loop
+    monkeypatch.setattr(join, "nested_loop", lambda *a, **b: looped.append(1) or loop(*a, **b))
+    for most, times in ((10_000, 1), (9_999, 0)):
+        monkeypatch.setattr(join, "NESTED_PAIRS", most)
+        looped.clear()
+        assert got(join.knn_join(side(o, "o"), side(i, "i"), 3, "nested_loop")) == nearest(outer, inner, 3) and len(looped) == times
+        assert got(join.theta_relational(side(o, "o"), side(i, "i"), 3, "i_v", "o_v")) == nearest(outer, inner, 3, lambda a, b: b[3] < a[3]) and len(looped) == 2 * times
+
+
+@pytest.mark.parametrize("mode", ["reference", "tpch"])
+def test_late_items_are_dealt_over_tasks_of_so_many_rows(spark, duck, monkeypatch, mode):
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    found = predicates.late_counts(tables.suppliers(spark, SMALL), tables.items(spark, SMALL), tables.orders(spark, SMALL), mode)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    tasks = -(-tables.items(spark, SMALL).count() // 100)
+    assert f", {tasks}), REPARTITION_BY_NUM" in plan and plan.count("hashpartitioning(l_orderkey") == 1
+    sql = catalogue.ORACLE_SQL["q21_late_counts" + ("_tpch" if mode == "tpch" else "")]
+    assert sorted(map(tuple, found.collect())) == sorted(duck.execute(sql).fetchall())
