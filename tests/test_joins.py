@@ -141,3 +141,22 @@ def test_late_items_are_dealt_over_tasks_of_so_many_rows(spark, duck, monkeypatc
     assert f", {tasks}), REPARTITION_BY_NUM" in plan and plan.count("hashpartitioning(l_orderkey") == 1
     sql = catalogue.ORACLE_SQL["q21_late_counts" + ("_tpch" if mode == "tpch" else "")]
     assert sorted(map(tuple, found.collect())) == sorted(duck.execute(sql).fetchall())
+
+
+@pytest.mark.parametrize("run", ["pruned", "q_near", "below"])
+def test_pairs_are_dealt_over_tasks_of_so_many(spark, monkeypatch, run):
+    monkeypatch.setattr(tables, "TASK_ROWS", 200)
+    outer, o = points(spark, 60, "o", 11, lambda rng, n: rng.random())
+    inner, i = points(spark, 2000, "i", 12, lambda rng, n: rng.random())
+    asked, meet = [], join.Cells.meet
+    monkeypatch.setattr(join.Cells, "meet", lambda self, near: asked.append(self.tasks) or meet(self, near))
+    a, b = side(o, "o"), side(i, "i")
+    if run == "pruned":
+        found, want = join.pruned(a, b, 5, capacity=16), nearest(outer, inner, 5)
+    elif run == "q_near":
+        found, want = join.q_knn_first(a, b, lambda keys: few(keys, 2), 5, capacity=16), nearest(outer, inner, 5, lambda x, y: y[0] % 2 == 1)
+    else:
+        found, want = join.below(a, b, 5, "i_v", "o_v", capacity=16), nearest(outer, inner, 5, lambda x, y: y[3] < x[3])
+    assert got(found) == want and max(asked) > 4
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert run == "q_near" or f", {asked[-1]}), REPARTITION_BY_NUM" in plan
