@@ -327,6 +327,21 @@ def test_bin_completion_of_perfect_sets_and_of_hot_lengths():
     assert packing.plan_sequences({}, 4096) == [] and packing.bound({}, 4096) == 0
 
 
+def test_waste_is_gathered_where_lengths_are_many(monkeypatch):
+    rng = random.Random(26)
+    counts = Counter(min(4096, 1 + int(rng.expovariate(1 / 400))) for _ in range(6000))
+    assert sum(n for _, n in packing.best_fit(counts, 4096)) == packing.bound(counts, 4096) + 1 and len(counts) > packing.SEARCHED
+    entered, complete = [], packing.complete
+    monkeypatch.setattr(packing, "complete", lambda left, *a: entered.append(len(left)) or complete(left, *a))
+    plan = packing.plan_sequences(counts, 4096)
+    assert sum(n for _, n in plan) == packing.bound(counts, 4096) and not any(n > packing.SEARCHED for n in entered)
+    used = Counter()
+    for filling, times in plan:
+        assert sum(x * m for x, m in filling) <= 4096
+        used.update({x: m * times for x, m in filling})
+    assert used == counts
+
+
 def test_dominated_fillings():
     assert packing.dominated(((3, 1), (2, 1)), 0, 1 << 5) and not packing.dominated(((3, 1), (2, 1)), 0, 1 << 4)
     assert packing.dominated(((3, 1),), 2, 1 << 5) and packing.dominated(((3, 1),), 2, 1 << 2) and not packing.dominated(((3, 1),), 1, 1 << 5)
