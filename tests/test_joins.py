@@ -160,3 +160,29 @@ def test_pairs_are_dealt_over_tasks_of_so_many(spark, monkeypatch, run):
     assert got(found) == want and max(asked) > 4
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert run == "q_near" or f", {asked[-1]}), REPARTITION_BY_NUM" in plan
+
+
+def test_all_ties_of_crowded_places_are_listed_without_sorting_pairs(spark, monkeypatch):
+    monkeypatch.setattr(join, "PART_ROWS", 7)
+    monkeypatch.setattr(join, "TASK_PAIRS", 500)
+    rng = random.Random(3)
+    place = lambda: (float(rng.randrange(4) * 4000), float(rng.randrange(4) * 4000))
+    outer, inner = ([(i, *place(), f"{kind}{i}") for i in range(n)] for kind, n in (("o", 40), ("i", 300)))
+    kind = "id long, x double, y double, v string"  # names that the sides share
+    frames = [spark.createDataFrame([*rows, (900, None, 1.0, "none"), (901, float("nan"), 1.0, "nan")], kind) for rows in (outer, inner)]
+    sorted_, best_k = [], join.best_k
+    monkeypatch.setattr(join, "best_k", lambda pairs, *a: sorted_.append(pairs.count()) or best_k(pairs, *a))
+    for k in (1, 40):
+        df = join.knn_join(*[Side(f, "id", "x", "y") for f in frames], k, ties="all")
+        assert df.columns == ["id", "x", "y", "v", "id_inner", "x_inner", "y_inner", "v_inner", "d", "rn"] and dict(df.dtypes)["rn"] == "int"
+        want = nearest(outer, inner, k, ties="all")
+        assert got(df, "id", "id_inner") == want and len(want) > 2 * sum(sorted_)
+        assert {(r["v"], r["v_inner"]) for r in df.collect()} == {(f"o{a}", f"i{b}") for a, b, _ in want}
+        assert all(r["d"] == math.sqrt((r["x"] - r["x_inner"]) ** 2 + (r["y"] - r["y_inner"]) ** 2) for r in df.collect())
+        sorted_.clear()
+    twice = frames[1].union(frames[1])  # repeated rows are rows each
+    df = join.knn_join(Side(frames[0], "id", "x", "y"), Side(twice, "id", "x", "y"), 5, ties="all")
+    assert got(df, "id", "id_inner") == nearest(outer, inner + inner, 5, ties="all")
+    none = frames[0].where("false")
+    assert join.knn_join(Side(none, "id", "x", "y"), Side(frames[1], "id", "x", "y"), 5, ties="all").count() == 0
+    assert join.knn_join(Side(frames[0], "id", "x", "y"), Side(none, "id", "x", "y"), 5, ties="all").count() == 0
