@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vicinal.llm import dedup, extraction, mixing, packing, quality, queries, secrets, topk, toxicity, urls, warc
+from vicinal.llm.common import shared_dir
 from vicinal.llm.components import components
 from vicinal.llm.labelled_pages import PAGES, labelled_pages
 
@@ -785,3 +786,22 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     spark.read.parquet(f"{SMALL}/labels.parquet").write.parquet(str(tmp_path / "none" / "labels.parquet"))
     assert p.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_near_copies_write_narrow_steps_in_few_files(spark):
+    import pathlib
+
+    texts = [" ".join(f"w{g}_{j}" for j in range(40)) + f" end{i}" for g in range(20) for i in range(3)]
+    shared, before = pathlib.Path(shared_dir(spark).removeprefix("file:")), spark.conf.get("spark.sql.shuffle.partitions")
+    old = set(shared.iterdir())
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["id"]: r["class_id"] for r in dedup.classes(docs(spark, texts).repartition(4)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == brute_classes(texts)
+    files = [len(list(d.glob("part-*.parquet"))) for d in set(shared.iterdir()) - old]
+    # nodes and sets are written by all 16 tasks, what is narrow by as many as there are cores
+    assert len(files) > 8 and sum(n > 4 for n in files) <= 2

@@ -17,7 +17,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     minimum is taken per node before the shuffle, and the join back deals a hub
     over as many tasks as AQE wants. Every step is written to the shared folder.
     """
-    links = spool(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct())
+    links = spool(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct(), few=True)
     state = None
     for _ in range(rounds):
         both = links.select("x", "y").union(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
@@ -25,7 +25,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "x").where(F.col("y") > F.col("x")).select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
         least = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(least, "x").select(F.explode(F.array(F.struct(F.col("y").alias("x"), F.col("m").alias("y")), F.struct("x", F.col("m").alias("y")))).alias("e"))
-        after = spool(small.select("e.x", "e.y").where(F.col("x") != F.col("y")).distinct())
+        after = spool(small.select("e.x", "e.y").where(F.col("x") != F.col("y")).distinct(), few=True)
         now = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
         unspool(links)
         links = after

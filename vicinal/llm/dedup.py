@@ -284,7 +284,7 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     found = components(ends)
     least = found.select(F.col("node").alias("label"), F.col("label").alias("_least"))
     old = labels.join(least, "label", "left").select("node", F.coalesce("_least", "label").alias("label"))
-    return spool(old.union(found.join(labels, "node", "left_anti").select("node", "label")))
+    return spool(old.union(found.join(labels, "node", "left_anti").select("node", "label")), few=True)
 
 
 def mixed_buckets(placed: DataFrame, labels: DataFrame) -> DataFrame:
@@ -331,11 +331,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     nodes = spool(nodes.select("node", node_key(F.col("id"), F.col("node")).alias("rep"), "n", "bands"))
     several = base.groupBy("id").agg(F.min(F.xxhash64("node")).alias("low"), F.max(F.xxhash64("node")).alias("high")).where(F.col("low") < F.col("high"))
     shared = base.join(several, "id", "left_semi").join(nodes.select("node", "rep"), "node").select("id", "rep")
-    same_id = spool(shared.join(shared.groupBy("id").agg(F.min("rep").alias("a")), "id").where(F.col("a") < F.col("rep")).select("a", F.col("rep").alias("b")).distinct())
+    same_id = spool(shared.join(shared.groupBy("id").agg(F.min("rep").alias("a")), "id").where(F.col("a") < F.col("rep")).select("a", F.col("rep").alias("b")).distinct(), few=True)
     labels = joined(same_id.select(F.col("a").alias("node"), F.col("b").alias("label")).limit(0), same_id)
 
     met = nodes.select(F.explode("bands").alias("band"), "rep", "n")
-    buckets = spool(met.join(met.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("band"), "band"))
+    buckets = spool(met.join(met.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("band"), "band"), few=True)
     ids = buckets.select(id_of(F.col("rep")).alias("id")).distinct()
     some = texts(docs, id_col, text_col).join(ids, "id", "left_semi").withColumn("_md5", F.md5("text")).dropDuplicates(["id", "_md5"])
     sets = shingle_sets(some.select("id", "text"), shingle, counted).select(node_key(F.col("id"), F.col("node")).alias("rep"), "shingles")
@@ -345,19 +345,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     placed = buckets.join(own_shingles(sets), "rep", "left").select("band", "rep", "n", rest.alias("rest"), (rest / share - F.col("n") + 1e-6).alias("most"))
     sizes = placed.groupBy("band").agg(F.min("n").alias("least_n"), F.max("most").alias("largest"))
     placed = placed.join(sizes, "band").where((F.col("most") >= F.col("least_n")) & (F.col("n") <= F.col("largest"))).drop("least_n", "largest")
-    placed = spool(placed.drop("most"))
+    placed = spool(placed.drop("most"), few=True)
 
     # what is known of a node before it has met a leader: all that it shares may be the leader's, or none
     placed = placed.withColumns({"lead": F.lit(None).cast("binary"), "in_lead": F.col("rest"), "beside": F.col("rest")})
     enough = lambda a, b: F.least(f"in_lead{a}", f"in_lead{b}") + F.least(f"beside{a}", f"beside{b}") >= share * (F.col(f"n{a}") + F.col(f"n{b}")) - 1e-6
     for turn in range(2):
-        placed = spool(mixed_buckets(placed, labels))
+        placed = spool(mixed_buckets(placed, labels), few=True)
         former = placed.where(F.col("rep") == F.col("lead")).select("band", F.col("label").alias("led"))
         central = F.struct((1 - F.col("rest") / F.col("n")).alias("own"), F.xxhash64("rep").alias("h"), "rep", "label", "n", "in_lead", "beside")
         best = placed.join(former, "band", "left").groupBy("band").agg(F.min(F.when(~F.col("label").eqNullSafe(F.col("led")), central)).alias("best"))
         inside = placed.join(best.select("band", *[F.col(f"best.{c}").alias(f"{c}_2") for c in ("rep", "label", "n", "in_lead", "beside")]), "band")
         todo = inside.where((F.col("label") != F.col("label_2")) & ~F.col("rep").eqNullSafe(F.col("lead")) & enough("", "_2"))
-        found = spool(compared(todo.select(F.col("rep_2").alias("a"), F.col("rep").alias("b")).distinct(), sets, similarity))
+        found = spool(compared(todo.select(F.col("rep_2").alias("a"), F.col("rep").alias("b")).distinct(), sets, similarity), few=True)
         labels = joined(labels, found.where("near").select("a", "b"))
         if turn == 0:
             known = found.select(F.col("a").alias("lead"), F.col("b").alias("rep"), "common")
@@ -365,11 +365,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
             placed = placed.withColumns({"in_lead": F.coalesce("common", "rest"), "beside": F.coalesce(F.col("rest") - F.col("common"), F.col("rest"))}).drop("common", "label")
         else:
             placed = inside.where((F.col("rep") != F.col("lead")) & (F.col("rep") != F.col("rep_2"))).select("band", "rep", "n", "in_lead", "beside")
-    placed = spool(mixed_buckets(placed, labels))
+    placed = spool(mixed_buckets(placed, labels), few=True)
     other = placed.select("band", *[F.col(c).alias(f"{c}_2") for c in ("rep", "label", "n", "in_lead", "beside")])
     pairs = placed.join(other, "band").where((F.col("label") < F.col("label_2")) & enough("", "_2"))
     pairs = pairs.select(F.least("rep", "rep_2").alias("a"), F.greatest("rep", "rep_2").alias("b")).distinct()
-    labels = joined(labels, spool(compared(pairs, sets, similarity).where("near").select("a", "b")))
+    labels = joined(labels, spool(compared(pairs, sets, similarity).where("near").select("a", "b"), few=True))
 
     own = base.select("id", "node").join(nodes.select("node", "rep"), "node").select("id", "rep")
     return own.join(labels, F.col("rep") == labels["node"], "left").select("id", id_of(F.coalesce("label", "rep")).alias("class_id"))
