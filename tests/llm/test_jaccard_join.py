@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from vicinal.llm import jaccard_join, queries
@@ -60,6 +61,28 @@ def test_query_equals_all_pairs(spark, size):
     assert len({c for _, _, c in want}) < len(want)
 
 
+def test_words_are_hashed_together_in_lower_case(monkeypatch):
+    """Counts and hashes of the words of texts tell apart what their words in lower case do, whatever is hashed together."""
+    rng = random.Random(5)
+    parts = ["a", "B", "b", "Cc", "dÉ", "é", "x" * 63, "x" * 64, "X" * 65, "x" * 200, "\x1c", "\ud800"]
+    texts = [rng.choice(["", " "]) + rng.choice([" ", "\t \n", "\x0b", "\x0c\r"]).join(rng.choices(parts, k=rng.choice([0, 1, 2, 5, 40]))) for _ in range(60)]
+    lower = str.maketrans(jaccard_join.UPPER, jaccard_join.LOWER)
+    words = [WORD.findall(t.translate(lower)) for t in texts]
+    n, h = jaccard_join.word_hasher()(texts)
+    assert n.tolist() == [len(w) for w in words]
+    named = dict(zip(h.tolist(), [x for w in words for x in w], strict=True))
+    assert len(named) == len({x for w in words for x in w}) and [named[x] for x in h.tolist()] == [x for w in words for x in w]
+    monkeypatch.setattr(jaccard_join, "BYTES", 50)
+    assert all((a == b).all() for a, b in zip((n, h), jaccard_join.word_hasher()(texts), strict=True))
+
+
+def test_rarest_takes_the_first_of_equal_counts():
+    for often in ([3, 1, 1, 2, 1, 0], [5] * 7, [2**61, 4, 4, 2**61, 1], [], [1]):
+        for most in range(1, 9):
+            want = np.argsort(np.array(often, np.int64), kind="stable")[:most]
+            assert sorted(jaccard_join.rarest(np.array(often, np.int64), most)) == sorted(want)
+
+
 def family(rng, words, n, edits, first):
     base = [rng.choice(words) for _ in range(120)]
     rows = [(first, " ".join(base))] if rng.random() < 0.5 else []

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,9 +28,12 @@ _U = np.uint64
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every bit of the input reaches every bit of the output."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    x = x ^ (x >> _U(30))
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(27)
+    x *= _U(0x94D049BB133111EB)
+    x ^= x >> _U(31)
+    return x
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -111,11 +115,9 @@ class Darts:
 
 
 def word_hasher():
-    """A function from lists of words (bytes) to their 64-bit hashes, which remembers words."""
+    """A function from texts to (words of each text, their 64-bit hashes in order), which remembers words."""
     import xxhash
 
-    known: dict[bytes, int] = {}
-
     class Known(dict):
         def __missing__(self, word: bytes) -> int:
             if len(self) > REMEMBERED:
@@ -124,7 +126,13 @@ def word_hasher():
             return h
 
     known = Known()
-    return lambda words: np.fromiter(map(known.__getitem__, words), _U, len(words))
+
+    def run(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+        n = np.array([len(w) for w in words], np.int64)
+        return n, np.fromiter(map(known.__getitem__, chain.from_iterable(words)), _U, n.sum())
+
+    return run
 
 
 def windows(texts: list[str], size: int, hashes) -> tuple[np.ndarray, np.ndarray]:
@@ -132,26 +140,28 @@ def windows(texts: list[str], size: int, hashes) -> tuple[np.ndarray, np.ndarray
 
     A text with fewer words than a shingle is one shingle; one without words has none.
     """
-    words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-    n = np.array([len(w) for w in words])
-    h = hashes([x for w in words for x in w])
-    owner = np.repeat(np.arange(len(texts)), n)
-    left = np.repeat(np.cumsum(n), n) - np.arange(len(h))  # words from here to the end of the text
-    whole = np.minimum(np.repeat(n, n), size)
-    begins = np.nonzero(left >= whole)[0]
-    total = np.zeros(len(begins), _U)
+    n, h = hashes(texts)
+    starts = np.cumsum(n) - n
+    runs = np.where(n < size, n > 0, n - size + 1)
+    few = np.nonzero((n > 0) & (n < size))[0]
+    total, of_few = np.zeros(len(h), _U), np.zeros(len(few), _U)  # by first word; those of short texts apart
     for i in range(size):
-        inside = i < whole[begins]
-        at = np.minimum(begins + i, max(len(h) - 1, 0))
-        total += np.where(inside, mixed(h[at] + _U(i + 1)) * _U(2 * i + 3), _U(0)) if len(h) else _U(0)
-    return mixed(total), owner[begins]
+        part = mixed(h[i:] + _U(i + 1))
+        part *= _U(2 * i + 3)
+        total[: len(part)] += part
+        more = i < n[few]
+        of_few[more] += part[starts[few][more]]
+    total[starts[few]] = of_few
+    begins = np.arange(runs.sum()) + np.repeat(starts - np.cumsum(runs) + runs, runs)
+    return mixed(total[begins]), np.repeat(np.arange(len(texts)), runs)
 
 
 def shingles(texts: list[str], size: int, hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of texts: (hashes, times in the text, number of the text), by text and hash."""
     total, owner = windows(texts, size, hashes)
-    order = np.lexsort((total, owner))
-    total, owner = total[order], owner[order]
+    cut = np.searchsorted(owner, np.arange(len(texts) + 1))
+    for a, b in zip(cut, cut[1:]):
+        total[a:b].sort()
     first = np.ones(len(total), bool)
     first[1:] = (total[1:] != total[:-1]) | (owner[1:] != owner[:-1])
     starts = np.nonzero(first)[0]
@@ -214,11 +224,11 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(internal_id(id_col, text_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def shingle_sets(rows: DataFrame, shingle: int, counted: bool) -> DataFrame:
-    """(id, node, shingles) of rows (id, text): the shingles as uint64 in a row of bytes, and their node as in signed()."""
+def shingle_sets(rows: DataFrame, shingle: int, counted: bool, hasher: Callable = word_hasher) -> DataFrame:
+    """(id, node, shingles) of rows (id, text): the shingles as uint64 in a row of bytes, and their node as in signed(); hasher makes the function that hashes words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = word_hasher()
+        hashes = hasher()
         for pdf in batches:
             for at in range(0, len(pdf), CHUNK):
                 part = pdf.iloc[at : at + CHUNK]

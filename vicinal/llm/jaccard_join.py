@@ -21,8 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import positions, spool, spread, unspool
-from .dedup import CHUNK, id_of, internal_id, joined, mixed_buckets, node_key, shingle_sets, shingles, windows, word_hasher
+from .common import BLANKS, positions, spool, spread, unspool
+from .dedup import CHUNK, id_of, internal_id, joined, mixed, mixed_buckets, node_key, shingle_sets, shingles, windows
 
 #: Words in a shingle, and the similarity of linked documents in hundredths.
 SHINGLE, PERCENT = 3, 90
@@ -34,11 +34,47 @@ COLUMNS = 2**16
 PARTS = 64
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Places of a word that have numbers of their own for each byte, and bytes that are hashed together.
+PLACES, BYTES = 64, 2**20
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(internal_id(id_col, text_col).alias("id"), F.translate(text, UPPER, LOWER).alias("text"))
+    return docs.select(internal_id(id_col, text_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+def word_hasher():
+    """A function from texts to (words of each text, their 64-bit hashes in order): A-Z count as a-z.
+
+    A word's hash is the sum of random numbers for its bytes at their places,
+    so all words of some texts are hashed by a few array operations. After so
+    many places the numbers come again, mixed with how often they did.
+    """
+    numbers = mixed(np.arange(1, 256 * PLACES + 1, dtype=np.uint64)).reshape(PLACES, 256)
+    numbers[:, list(UPPER.encode())] = numbers[:, list(LOWER.encode())]
+    numbers, blank = numbers.ravel(), np.zeros(256, bool)
+    blank[list(BLANKS.encode())] = True
+
+    def some(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        data = np.frombuffer(b" ".join([b"", *raw, b""]), np.uint8)  # begins and ends with a blank
+        out = blank[data]
+        edges = np.nonzero(out[1:] != out[:-1])[0] + 1
+        begins, sizes = edges[::2], edges[1::2] - edges[::2]
+        first = np.cumsum(sizes) - sizes
+        place = np.arange(sizes.sum(), dtype=np.int32) - np.repeat(first.astype(np.int32), sizes)
+        value = numbers[place % PLACES * 256 + data[~out]]
+        far = np.nonzero(place >= PLACES)[0]
+        value[far] = mixed(value[far] + (place[far] // PLACES).astype(np.uint64))
+        texts = np.cumsum([1 + len(t) for t in raw])
+        n = np.diff(np.searchsorted(begins, texts), prepend=0)
+        return n, np.add.reduceat(value, first) if len(first) else value
+
+    def run(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        part = np.cumsum([len(t) for t in raw]) // BYTES
+        found = [some(raw[a:b]) for p in np.unique(part) for a, b in [np.searchsorted(part, [p, p + 1])]]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    return run
 
 
 def _cell(tokens: np.ndarray) -> np.ndarray:
@@ -80,6 +116,18 @@ def also(n: int) -> int:
     return 1 + (n - needed(n)) // 2
 
 
+def rarest(often: np.ndarray, most: int) -> np.ndarray:
+    """Where the `most` least counts are, in any order; of equal ones the first."""
+    if most >= len(often):
+        return np.arange(len(often))
+    bits = len(often).bit_length()
+    if int(often.max()) >> (63 - bits):
+        return np.argsort(often, kind="stable")[:most]
+    named = (often << bits) | np.arange(len(often))
+    named.partition(most - 1)
+    return named[:most] & ((1 << bits) - 1)
+
+
 def signed(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(id, node, n, home, bands, ask) per row (id, text): a hash that names the set of n shingles, its least one, its rarest ones, and how many of these any linked set has.
 
@@ -102,7 +150,7 @@ def signed(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     names.append(xxhash.xxh3_128_digest(tokens[a:b].tobytes()) if b > a else b"id %d" % part["id"].iloc[i])
                     homes.append(int(found[a]) if b > a else 0)
                     size = int(b - a)
-                    rare = np.argsort(often[a:b], kind="stable")[: size - needed(size) + also(size)]  # of equal ones those of least hash
+                    rare = rarest(often[a:b], size - needed(size) + also(size))
                     bands.append(found[a:b][rare])
                     ask.append(also(needed(size)))
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "node": names, "n": np.diff(cut), "home": homes, "bands": bands, "ask": ask})
@@ -290,7 +338,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     buckets = spool(met.join(nodes.select("short", "rep", "n"), "short").select("band", "rep", "n"))
     ids = buckets.select(id_of(F.col("rep")).alias("id")).distinct()
     # a repeated row gives its set again, which the steps below allow for
-    sets = shingle_sets(rows.join(ids, "id", "left_semi"), shingle, False).select(node_key(F.col("id"), F.col("node")).alias("rep"), "shingles")
+    sets = shingle_sets(rows.join(ids, "id", "left_semi"), shingle, False, word_hasher).select(node_key(F.col("id"), F.col("node")).alias("rep"), "shingles")
     sets = spool(sets.withColumn("short", F.xxhash64("rep")))
 
     rest = F.col("n") - F.coalesce("own", F.lit(0))
