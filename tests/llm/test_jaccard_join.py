@@ -2,11 +2,13 @@
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from vicinal.llm import jaccard_join, queries
+from vicinal.llm.common import shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -83,6 +85,16 @@ def test_rarest_takes_the_first_of_equal_counts():
             assert sorted(jaccard_join.rarest(np.array(often, np.int64), most)) == sorted(want)
 
 
+def test_what_is_read_no_more_is_deleted(spark):
+    """Of the rarest shingles of all documents nothing stays in the shared folder."""
+    spools = lambda: {p for p in Path(shared_dir(spark).removeprefix("file:")).iterdir() if p.name.startswith("spool-")}
+    before = spools()
+    table = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 7, 300))) for i in range(40)], "doc_id long, text string")
+    assert jaccard_join.join(table).count() == 40
+    left = [set(spark.read.parquet(str(p)).columns) for p in spools() - before]
+    assert {"id", "node", "n"} in left and not any("bands" in columns for columns in left)
+
+
 def family(rng, words, n, edits, first):
     base = [rng.choice(words) for _ in range(120)]
     rows = [(first, " ".join(base))] if rng.random() < 0.5 else []

@@ -300,6 +300,13 @@ def _shared(met: DataFrame) -> DataFrame:
     return spool(met.join(several, "band", "left_semi"))
 
 
+def _narrowed(wide: DataFrame, *columns: str) -> DataFrame:
+    """Some columns of what spool() wrote, written anew; the rest is deleted."""
+    out = spool(wide.select(*columns), few=True)
+    unspool(wide)
+    return out
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, n_shingles, component_id) per document: the smallest id that links lead to.
 
@@ -323,19 +330,24 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     table gives no rows; other columns are not read, and may have any name.
     """
     rows = _texts(docs, id_col, text_col)
-    base = spool(signed(rows, shingle))
-    nodes = base.groupBy("node").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "home", "bands", "ask")])
-    nodes = spool(nodes.select("node", node_key(F.col("id"), F.col("node")).alias("rep"), F.xxhash64("node").alias("short"), "n", "home", "bands", "ask"))
+    wide = spool(signed(rows, shingle))
+    nodes = wide.groupBy("node").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "home", "bands", "ask")])
+    banded = spool(nodes.select("node", node_key(F.col("id"), F.col("node")).alias("rep"), F.xxhash64("node").alias("short"), "n", "home", "bands", "ask"))
+    # bands are most of what was written, and are read once more only
+    base, nodes = _narrowed(wide, "id", "node", "n"), banded.drop("bands", "ask")
     several = base.groupBy("id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where(F.col("low") < F.col("high"))
     shared = base.join(several, "id", "left_semi").join(nodes.select("node", "rep"), "node").select("id", "rep")
     same_id = spool(shared.join(shared.groupBy("id").agg(F.min("rep").alias("a")), "id").where(F.col("a") < F.col("rep")).select("a", F.col("rep").alias("b")).distinct())
     labels = joined(same_id.select(F.col("a").alias("node"), F.col("b").alias("label")).limit(0), same_id)
 
     # by a short name, which two nodes may share: then both are looked at
-    met = _shared(nodes.select(F.explode("bands").alias("band"), "short", "ask"))
-    busy = met.groupBy("short").agg(F.count(F.lit(1)).alias("m"), F.min("ask").alias("ask")).where(F.col("m") >= F.col("ask")).select("short")
-    met = _shared(met.join(busy, "short", "left_semi"))
+    first = _shared(banded.select(F.explode("bands").alias("band"), "short", "ask"))
+    nodes = _narrowed(banded, *nodes.columns)
+    busy = first.groupBy("short").agg(F.count(F.lit(1)).alias("m"), F.min("ask").alias("ask")).where(F.col("m") >= F.col("ask")).select("short")
+    met = _shared(first.join(busy, "short", "left_semi"))
+    unspool(first)
     buckets = spool(met.join(nodes.select("short", "rep", "n"), "short").select("band", "rep", "n"))
+    unspool(met)
     ids = buckets.select(id_of(F.col("rep")).alias("id")).distinct()
     # a repeated row gives its set again, which the steps below allow for
     sets = shingle_sets(rows.join(ids, "id", "left_semi"), shingle, False, word_hasher).select(node_key(F.col("id"), F.col("node")).alias("rep"), "shingles")
