@@ -20,13 +20,17 @@ def valid(plan, counts, capacity):
     return sum(n for _, n in plan)
 
 
-def test_plans_of_perfect_quadruples():
+def quadruples():
     rng, lengths = random.Random(1), []
     while len(lengths) < 400:
         a, b, c = (rng.randint(600, 1500) for _ in range(3))
         if 600 <= 4096 - a - b - c <= 1500:
             lengths += [a, b, c, 4096 - a - b - c]
-    counts = Counter(lengths)
+    return lengths
+
+
+def test_plans_of_perfect_quadruples():
+    counts = Counter(quadruples())
     assert valid(packing.plan_sequences(counts, 4096), counts, 4096) == 100
 
 
@@ -61,3 +65,12 @@ def test_the_bound_is_none_over_the_optimum():
         capacity = rng.choice([30, 60, 100])
         lengths = [rng.randint(capacity // 8, int(capacity * 0.6)) for _ in range(9)]
         assert packing.bound(Counter(lengths), capacity) <= relaxed(Counter(lengths), capacity, None)[0] <= brute_fewest(lengths, capacity)
+
+
+def test_the_last_stage_of_the_pipeline_fills_every_sequence(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, "a " * (n - 1)) for i, n in enumerate(quadruples())], "doc_id long, text string")
+    got = corpus_pipeline.pack_sequences(spark, docs, "").toPandas()
+    assert sorted(got["length"]) == sorted(quadruples())
+    assert set(got.groupby("sequence_id")["length"].sum()) == {4096} and got["sequence_id"].nunique() == 100
